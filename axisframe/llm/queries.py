@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import near_dedup, substring_dedup
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,7 +32,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS ws FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS s FROM w
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS s FROM w
 ),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
@@ -44,3 +44,22 @@ FROM c LEFT JOIN n ON n.doc_id = c.doc_id""",
 )
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80).drop("n_links")
+
+
+@_query(
+    "op5_rlz_substring_dedup",
+    f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50),
+g AS (SELECT p.doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS h FROM p JOIN w ON w.doc_id = p.doc_id),
+f AS (SELECT h, min(doc_id) AS first FROM g GROUP BY h),
+d AS (SELECT g.doc_id, i FROM g JOIN f ON f.h = g.h WHERE g.doc_id > first),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM d),
+x AS (SELECT doc_id, list(k) AS gone FROM r GROUP BY doc_id),
+u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM w),
+t AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.k) AS kept FROM u ANTI JOIN r ON r.doc_id = u.doc_id AND r.k = u.k GROUP BY u.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN x ON x.doc_id = w.doc_id LEFT JOIN t ON t.doc_id = w.doc_id""",
+)
+def op5_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=50, digest=True).withColumnRenamed("kept", "kept_sha256")

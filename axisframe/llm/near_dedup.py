@@ -10,7 +10,8 @@ short.
 
 1. Documents with equal sets become one class; its smallest doc_id stands for it.
 2. Inverted lists: classes by retained key.  Each list ties its members to its
-   smallest one, and the number of lists that tie a pair is its overlap.
+   smallest one, and the number of lists that tie a pair is its overlap.  A
+   class's best tie is tried first, the others only if it left them apart.
 3. Union-sketch estimation: up to the smaller of both sketches' largest keys
    the two sets are known in full.  A pair goes on only if the overlap there
    and the best case for the rest can still reach t.
@@ -76,8 +77,22 @@ def _commonness(docs: DataFrame, words: int) -> np.ndarray:
     return np.log2(np.maximum(n, 1)).astype(np.uint64)
 
 
+def fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n (set size), x and y (a 128-bit fingerprint of the set)."""
+
+    def made(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            for piece in slices(batch.column(1)):
+                at, key = _sets(piece, words, None)
+                sums = [np.concatenate(([np.uint64(0)], np.cumsum(mix(key ^ np.uint64(c))))) for c in (0x1234567, 0x7654321ABC)]
+                yield pa.RecordBatch.from_arrays([ids.slice(piece.first, len(piece)), pa.array(np.diff(at), pa.int64()), *(pa.array((s[at[1:]] - s[at[:-1]]).view(np.int64)) for s in sums)], ["doc_id", "n", "x", "y"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, "doc_id long, n long, x long, y long")
+
+
 def sketches(docs: DataFrame, words: int, percent: int, order: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), x and y (a 128-bit fingerprint of the set), sketch (the retained keys)."""
+    """doc_id, n (set size) and sketch (the retained keys in rising order)."""
 
     def made(batches):
         for batch in batches:
@@ -85,13 +100,11 @@ def sketches(docs: DataFrame, words: int, percent: int, order: np.ndarray) -> Da
             for piece in slices(batch.column(1)):
                 at, key = _sets(piece, words, order)
                 n = np.diff(at)
-                sums = [np.concatenate(([np.uint64(0)], np.cumsum(mix(key ^ np.uint64(c))))) for c in (0x1234567, 0x7654321ABC)]
-                x, y = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
                 k = retained(n, percent)
                 raw = key.tobytes()
-                yield pa.RecordBatch.from_arrays([ids.slice(piece.first, len(piece)), pa.array(n, pa.int64()), pa.array(x), pa.array(y), pa.array([raw[8 * a : 8 * (a + b)] for a, b in zip(at[:-1].tolist(), k.tolist())], pa.binary())], ["doc_id", "n", "x", "y", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids.slice(piece.first, len(piece)), pa.array(n, pa.int64()), pa.array([raw[8 * a : 8 * (a + b)] for a, b in zip(at[:-1].tolist(), k.tolist())], pa.binary())], ["doc_id", "n", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, "doc_id long, n long, x long, y long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, "doc_id long, n long, sketch binary")
 
 
 def _postings(table: DataFrame) -> DataFrame:
@@ -124,37 +137,50 @@ def _bounded(batches, percent: int):
         yield pa.RecordBatch.from_arrays([cols["a"], cols["b"], pa.array(estimates, pa.float64())], ["a", "b", "estimate"]).filter(kept)
 
 
-def _exact(batches, percent: int):
+def _exact(batches, words: int, percent: int):
     for batch in batches:
         keep = []
-        for sa, sb in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-            p, q = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-            both = np.intersect1d(p, q, assume_unique=True).size
-            keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            sides = [[x for piece in slices(part.column(c)) for x in _each(*_sets(piece, words, None))] for c in ("ta", "tb")]
+            for p, q in zip(*sides):
+                both = np.intersect1d(p, q, assume_unique=True).size
+                keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _each(at: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
+    return [key[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
 def _links(pairs: DataFrame, table: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
+    """The pairs (a, b) whose full sets reach the similarity.
+
+    Only texts of documents in pairs that pass the estimate are shuffled: a
+    Bloom filter keeps the others in the scan.
+    """
     own = table.select("doc_id", "n", "sketch")
     withs = pairs.join(own.toDF("b", "nb", "sb"), "b").join(own.toDF("a", "na", "sa"), "a").select("a", "b", "na", "nb", "sa", "sb")
     likely = saved(withs.mapInArrow(lambda it: _bounded(it, percent), "a long, b long, estimate double"), "likely")
     ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     bits = bloom(ids, "doc_id", ids.count())
 
-    def made(batches):
+    def passing(batches):
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(may_contain(bits, own.astype(np.int64))))
-            ids = batch.column(0)
-            for piece in slices(batch.column(1)):
-                at, key = _sets(piece, words, None)
-                raw, at = key.tobytes(), (8 * at).tolist()
-                yield pa.RecordBatch.from_arrays([ids.slice(piece.first, len(piece)), pa.array([raw[i:j] for i, j in zip(at, at[1:])], pa.binary())], ["doc_id", "set"])
+            yield batch.filter(pa.array(may_contain(bits, own.astype(np.int64))))
+
+    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(passing, "doc_id long, text string").groupBy("doc_id").agg(F.min("text").alias("text"))
+    withs = likely.select("a", "b").join(full.toDF("b", "tb"), "b").join(full.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+    return saved(withs.mapInArrow(lambda it: _exact(it, words, percent), "a long, b long"), "links")
 
-    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(made, "doc_id long, set binary").groupBy("doc_id").agg(F.min("set").alias("set"))
-    withs = likely.select("a", "b").join(full.toDF("b", "sb"), "b").join(full.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
-    return saved(withs.mapInArrow(lambda it: _exact(it, percent), "a long, b long"), "links")
+
+def _more(pairs: DataFrame, links: DataFrame, comps: DataFrame, *rest) -> tuple[DataFrame, DataFrame]:
+    """Links and components with those of further pairs, if there are any."""
+    if pairs.isEmpty():
+        return links, comps
+    links = links.union(_links(pairs, *rest))
+    return links, saved(connected_components(links, "a", "b"), "components")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -174,30 +200,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     ready(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    order = _commonness(docs, words)
-    table = saved(sketches(docs, words, percent, order), "sketches")
-    real = table.filter("doc_id is not null and n > 0")
-    classes = real.groupBy("n", "x", "y").agg(F.min("doc_id").alias("rep"))
-    reps = real.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "x", "y"])
+    table = saved(fingerprints(docs, words), "sets")
+    classes = table.filter("doc_id is not null and n > 0").groupBy("n", "x", "y").agg(F.min("doc_id").alias("rep"))
+    reps = sketches(docs, words, percent, _commonness(docs, words)).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     # Of one doc_id with several texts, one sketch goes on.
-    reps = saved(reps.groupBy("doc_id").agg(F.min(F.struct("x", "n", "sketch")).alias("s")).select("doc_id", "s.n", "s.sketch"), "classes")
+    reps = saved(reps.groupBy("doc_id").agg(F.min(F.struct("n", "sketch")).alias("s")).select("doc_id", "s.n", "s.sketch"), "classes")
 
     by_key = Window.partitionBy("key").orderBy("doc")
     listed = _postings(reps).withColumns({"hub": F.first("doc").over(by_key), "hub_n": F.first("n").over(by_key), "next": F.lead("doc").over(by_key)})
     lists = saved(listed.filter("hub != doc or next is not null").select("key", "doc", "n", "hub", "hub_n"), "lists")
     in_reach = lambda m, n: (100 * F.least(m, n) >= percent * F.greatest(m, n))
     tied = lists.filter((F.col("hub") != F.col("doc")) & in_reach(F.col("n"), F.col("hub_n"))).groupBy(F.col("hub").alias("a"), F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("overlap"))
-    links = _links(tied.select("a", "b"), reps, docs, words, percent)
-
+    tied = saved(tied, "tied")
+    # Each class's best tie first: that joins most groups, and leaves few of the other ties to verify.
+    best = tied.groupBy("b").agg(F.max(F.struct("overlap", (-F.col("a")).alias("less"))).alias("m")).select((-F.col("m.less")).alias("a"), "b")
+    links = _links(best, reps, docs, words, percent)
     comps = saved(connected_components(links, "a", "b"), "components")
+    named = tied.join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left")
+    apart = named.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
+    links, comps = _more(saved(apart, "apart"), links, comps, reps, docs, words, percent)
+
     of = lists.join(comps.toDF("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     split = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo != hi and m > 2").select("key")
     left = saved(of.join(split, "key").filter("doc != hub").select("key", "doc", "n", "comp"), "split-lists")
     one, two = left.toDF("key", "a", "na", "ca"), left.toDF("key", "b", "nb", "cb")
-    more = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & in_reach(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    if not left.isEmpty():
-        links = links.union(_links(more, reps, docs, words, percent))
-        comps = saved(connected_components(links, "a", "b"), "components")
+    apart = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & in_reach(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    links, comps = _more(saved(apart, "apart"), links, comps, reps, docs, words, percent)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     rows = table.select("doc_id", "n", "x", "y").join(classes, ["n", "x", "y"], "left").join(comps.toDF("rep", "component"), "rep", "left").join(degree, "rep", "left")

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from .shared import ready
 
+#: The share of a run's ids that is cut into pieces of FILLER_IDS ids.
+FILLER_SHARE, FILLER_IDS = 0.03, 64
 #: Texts whose white space runs reach across a blank; they are encoded whole.
 _RUNS = re.compile(r"\s \s|\s $")
 
@@ -147,6 +149,14 @@ def _pack_run(run: list, capacity: int, first: int) -> tuple[dict, int]:
             first += 1
         if n % capacity:
             rests.append((doc, raw, n - n % capacity, n % capacity))
+    # The longest rests, up to a small share of the ids, are cut small: differencing evens the windows out with them.
+    rests.sort(key=lambda x: -x[3])
+    share, cut = FILLER_SHARE * sum(x[3] for x in rests), []
+    while rests and share >= rests[0][3]:
+        doc, raw, start, length = rests.pop(0)
+        cut += [(doc, raw, start + k, min(FILLER_IDS, length - k)) for k in range(0, length, FILLER_IDS)]
+        share -= length
+    rests += cut
     sizes = np.array([x[3] for x in rests], np.int64)
     own = windows(sizes, capacity)
     used: dict = {}
@@ -163,8 +173,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, closing_id: int
     """A row for every piece of every document, with its sequence and place there.
 
     ``vocabulary`` is the path of a byte-level BPE file, which must be there on
-    every executor.  Each id lies in exactly one piece; a document is cut only
-    at multiples of ``capacity``; a sequence's pieces fill it gapless from 0.
+    every executor.  Each id lies in exactly one piece; a document is cut
+    at multiples of ``capacity``, and a few long rests into small pieces; a sequence's pieces fill it gapless from 0.
     A null or empty text is the closing id alone.  Null and repeated doc_ids
     are packed as any other row.  An empty table gives no rows.
     """

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, substring_dedup
+from . import media, near_dedup, packing, substring_dedup, warc
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -63,3 +64,30 @@ FROM w LEFT JOIN x ON x.doc_id = w.doc_id LEFT JOIN t ON t.doc_id = w.doc_id""",
 )
 def op5_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=50, digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+@_query("op6_iso_media_columns")
+def op6_iso_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(media.stored(_table(spark, sf_dir, "documents")))
+
+
+@_query(
+    "op7_warc_transactions",
+    """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, upper(sha1(b)) AS h FROM p),
+m AS (SELECT h, n, max(page_id) AS m FROM d GROUP BY h, n)
+SELECT page_id, CAST(d.n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(d.h, CAST(k // 8 * 10 + 1 AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (k % 8) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id < m THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < m THEN m END AS refers_to
+FROM d JOIN m ON m.h = d.h AND m.n = d.n""",
+)
+def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(_table(spark, sf_dir, "pages"))
+
+
+@_query("op8_karmarkar_karp_packing")
+def op8_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

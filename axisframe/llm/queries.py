@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, near_dedup, packing, substring_dedup, warc
+from . import language_id, media, near_dedup, packing, quality, substring_dedup, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -91,3 +92,28 @@ def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_karmarkar_karp_packing")
 def op8_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query("op2_subword_language_id")
+def op2_subword_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = language_id.held_out(4, 2)
+    model = language_id.train(docs.filter(~held))
+    return language_id.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@_query("op10_boosted_quality")
+def op10_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = language_id.held_out(3, 1)
+    trees = quality.train(docs, _table(spark, sf_dir, "labels"), ~held)
+    return quality.score(docs, trees).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@_query("op4_kneser_ney_toxicity")
+def op4_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = language_id.held_out
+    # Fold 0 is held out, fold 4 sets the calibration, the others are counted.
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), counted=~fold(5, 0) & ~fold(5, 4), calibrating=fold(5, 4))
+    return toxicity.score(docs, *model).select("doc_id", fold(5, 0).alias("held_out"), "score", "predicted")

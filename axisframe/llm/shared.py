@@ -74,8 +74,8 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 CHUNK = 1 << 16
 
 
-def summed_arrays(df: DataFrame, made: Callable, sizes: dict[str, tuple[int, type]], how: str = "add") -> dict[str, np.ndarray]:
-    """Adds up (or ors) arrays of fixed sizes that tasks make from their rows.
+def summed_arrays(df: DataFrame, made: Callable, sizes: dict[str, tuple[int, type]], ored: tuple[str, ...] = ()) -> dict[str, np.ndarray]:
+    """Adds up (or, those in ``ored``, ors) arrays of fixed sizes that tasks make from their rows.
 
     ``made(batches)`` gives {name: array} for one partition.  Each array
     travels as compressed chunks that are combined on executors, so the driver
@@ -103,7 +103,7 @@ def summed_arrays(df: DataFrame, made: Callable, sizes: dict[str, tuple[int, typ
     while left:  # each level combines the chunks of 32 tasks
         left = 0 if left <= 32 else -(-left // 32)
         rows = rows.withColumn("part", F.floor(F.col("part") / 32).cast("int") if left else F.lit(0))
-        rows = rows.groupBy("name", "chunk", "part").applyInArrow(lambda key, t: _fold(t, kinds, how), schema)
+        rows = rows.groupBy("name", "chunk", "part").applyInArrow(lambda key, t: _fold(t, kinds, ored), schema)
     rows = rows.collect()
     out = {k: np.zeros(n, kind) for k, (n, kind) in sizes.items()}
     for r in rows:
@@ -112,16 +112,21 @@ def summed_arrays(df: DataFrame, made: Callable, sizes: dict[str, tuple[int, typ
     return out
 
 
-def _fold(table: pa.Table, kinds: dict, how: str) -> pa.Table:
+def _fold(table: pa.Table, kinds: dict, ored: tuple) -> pa.Table:
     import zlib
 
     name, total = table["name"][0].as_py(), None
     for x in table["data"]:
         part = np.frombuffer(zlib.decompress(x.as_py()), kinds[name])
-        total = part.copy() if total is None else (total + part if how == "add" else total | part)
+        total = part.copy() if total is None else (total | part if name in ored else total + part)
     return pa.table({"name": [name], "chunk": pa.array([table["chunk"][0].as_py()], pa.int32()), "part": pa.array([table["part"][0].as_py()], pa.int32()), "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
+def fraction_filter(column: str, share: float):
+    """Keeps about ``share`` of the values of a column, the same ones in every run."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) if share < 1 else 1 << 20)
+
+
 def may_contain(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Bloom test of 64-bit keys: false only for keys that were never put in."""
     from .textbytes import mix
@@ -155,4 +160,4 @@ def bloom(df: DataFrame, column: str, count: int, most_bits: int = 1 << 28) -> n
                 np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
         return {"bits": out}
 
-    return summed_arrays(df.select(F.col(column).cast("long")).dropna(), made, {"bits": (bits // 64, np.uint64)}, "or")["bits"]
+    return summed_arrays(df.select(F.col(column).cast("long")).dropna(), made, {"bits": (bits // 64, np.uint64)}, ("bits",))["bits"]

@@ -19,6 +19,9 @@ SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: ASCII letters and the bytes of all other characters.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -71,8 +74,9 @@ class Slice:
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
-    def find_words(self) -> Slice:
-        inside = ~_SPACE[self.data]
+    def find_words(self, letters: bool = False) -> Slice:
+        """Finds the words; with ``letters``, runs of LETTERS instead."""
+        inside = LETTERS[self.data] if letters else ~_SPACE[self.data]
         n = len(inside)
         cut = np.zeros(n + 1, bool)
         cut[self.bounds] = True

@@ -11,28 +11,30 @@ short.
 1. Documents with equal sets become one class; its smallest doc_id stands for it.
 2. Inverted lists: classes by retained key.  Each list ties its members to its
    smallest one, and the number of lists that tie a pair is its overlap.  A
-   class's best tie is tried first, the others only if it left them apart.
+   class's best tie is tried first.
 3. Union-sketch estimation: up to the smaller of both sketches' largest keys
    the two sets are known in full.  A pair goes on only if the overlap there
    and the best case for the rest can still reach t.
 4. Exact Jaccard on full sets verifies.
 5. Lists whose members are still in several components are paired across
-   components, filtered and verified in the same way.  Copies are in one
-   component by then, so this doesn't grow with the square of a group.
+   components; pairs with the overlap that t needs at least are filtered and
+   verified in the same way.  Copies are in one component by then, so this
+   doesn't grow with the square of a group.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import bloom, may_contain, ready, saved, summed_arrays
 from .textbytes import WordRuns, mix, slices
 
-ORDER_BITS = 20
+#: Buckets of hashes by which commonness is told, as a power of two: 16 a document within these bounds.
+LEAST_ORDER_BITS, MOST_ORDER_BITS = 20, 24
 
 
 def _shingles(piece, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +52,8 @@ def _sets(piece, words: int, order: np.ndarray | None) -> tuple[np.ndarray, np.n
     """(bounds, keys): each document's distinct keys in rising order."""
     doc, key = _shingles(piece, words)
     if order is not None:
-        key = (order[(key >> np.uint64(64 - ORDER_BITS)).astype(np.int64)] << np.uint64(58)) | (key >> np.uint64(6))
+        bits = np.uint64(64 - (len(order) - 1).bit_length())
+        key = (order[(key >> bits).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (key >> np.uint64(7))
     by = np.lexsort((key, doc))
     doc, key = doc[by], key[by]
     new = np.ones(len(key), bool)
@@ -63,18 +66,36 @@ def retained(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + (n > 0)
 
 
-def _commonness(docs: DataFrame, words: int) -> np.ndarray:
-    """For each bucket of hashes, how common it is: the logarithm of its count. One megabyte whatever the corpus is."""
+def least_overlap(na: Column, nb: Column, percent: int) -> Column:
+    """How many retained keys two sets of these sizes share at least if they reach the similarity.
+
+    Up to the smaller of both sketches' largest keys, all retained keys of one
+    set but those that only it has are retained by the other as well.
+    """
+    both = F.ceil((percent * (na + nb)) / F.lit(100.0 + percent) - F.lit(1e-9))
+    return F.greatest(F.lit(1), both - F.ceil(percent * F.greatest(na, nb) / F.lit(100.0) - F.lit(1e-9)) + 1)
+
+
+def _commonness(docs: DataFrame, words: int, bits: int, classes: np.ndarray) -> np.ndarray:
+    """For each bucket of hashes how common it is: its count on a scale of quarters of an octave.
+
+    Copies don't count: ``classes`` is a Bloom filter of the documents that do.
+    At most 16 MB, whatever the corpus is.
+    """
 
     def made(batches):
-        out = np.zeros(1 << ORDER_BITS, np.uint32)
+        out = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            for piece in slices(batch.column(0)):
-                out += np.bincount((_shingles(piece, words)[1] >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(out)).astype(np.uint32)
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(may_contain(classes, own.astype(np.int64))))
+            for piece in slices(batch.column(1)):
+                at, n = np.unique((_shingles(piece, words)[1] >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                out[at] += n.astype(np.uint32)
         return {"n": out}
 
-    n = summed_arrays(docs.select("text"), made, {"n": (1 << ORDER_BITS, np.uint32)})["n"]
-    return np.log2(np.maximum(n, 1)).astype(np.uint64)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    n = summed_arrays(rows, made, {"n": (1 << bits, np.uint32)})["n"]
+    return np.minimum(4 * np.log2(np.maximum(n, 1)), 127).astype(np.uint8)
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -93,12 +114,13 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
 
 def sketches(docs: DataFrame, words: int, percent: int, order: np.ndarray) -> DataFrame:
     """doc_id, n (set size) and sketch (the retained keys in rising order)."""
+    order = docs.sparkSession.sparkContext.broadcast(order)
 
     def made(batches):
         for batch in batches:
             ids = batch.column(0)
             for piece in slices(batch.column(1)):
-                at, key = _sets(piece, words, order)
+                at, key = _sets(piece, words, order.value)
                 n = np.diff(at)
                 k = retained(n, percent)
                 raw = key.tobytes()
@@ -175,14 +197,6 @@ def _links(pairs: DataFrame, table: DataFrame, docs: DataFrame, words: int, perc
     return saved(withs.mapInArrow(lambda it: _exact(it, words, percent), "a long, b long"), "links")
 
 
-def _more(pairs: DataFrame, links: DataFrame, comps: DataFrame, *rest) -> tuple[DataFrame, DataFrame]:
-    """Links and components with those of further pairs, if there are any."""
-    if pairs.isEmpty():
-        return links, comps
-    links = links.union(_links(pairs, *rest))
-    return links, saved(connected_components(links, "a", "b"), "components")
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and n_links for every row of ``docs``.
 
@@ -202,7 +216,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = docs.select("doc_id", "text")
     table = saved(fingerprints(docs, words), "sets")
     classes = table.filter("doc_id is not null and n > 0").groupBy("n", "x", "y").agg(F.min("doc_id").alias("rep"))
-    reps = sketches(docs, words, percent, _commonness(docs, words)).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    ids = saved(classes.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    n = ids.count()
+    order = _commonness(docs, words, max(LEAST_ORDER_BITS, min(MOST_ORDER_BITS, n.bit_length() + 4)), bloom(ids, "doc_id", n))
+    reps = sketches(docs, words, percent, order).join(ids, "doc_id", "left_semi")
     # Of one doc_id with several texts, one sketch goes on.
     reps = saved(reps.groupBy("doc_id").agg(F.min(F.struct("n", "sketch")).alias("s")).select("doc_id", "s.n", "s.sketch"), "classes")
 
@@ -216,16 +233,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     best = tied.groupBy("b").agg(F.max(F.struct("overlap", (-F.col("a")).alias("less"))).alias("m")).select((-F.col("m.less")).alias("a"), "b")
     links = _links(best, reps, docs, words, percent)
     comps = saved(connected_components(links, "a", "b"), "components")
-    named = tied.join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left")
-    apart = named.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    links, comps = _more(saved(apart, "apart"), links, comps, reps, docs, words, percent)
 
     of = lists.join(comps.toDF("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    split = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo != hi and m > 2").select("key")
-    left = saved(of.join(split, "key").filter("doc != hub").select("key", "doc", "n", "comp"), "split-lists")
+    split = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
+    left = saved(of.join(split, "key").select("key", "doc", "n", "comp"), "split-lists")
     one, two = left.toDF("key", "a", "na", "ca"), left.toDF("key", "b", "nb", "cb")
-    apart = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & in_reach(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    links, comps = _more(saved(apart, "apart"), links, comps, reps, docs, words, percent)
+    apart = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & in_reach(F.col("na"), F.col("nb")))
+    overlap = apart.groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    apart = saved(overlap.filter(F.col("overlap") >= least_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b").join(best, ["a", "b"], "left_anti"), "apart")
+    if not apart.isEmpty():
+        links = links.union(_links(apart, reps, docs, words, percent))
+        comps = saved(connected_components(links, "a", "b"), "components")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     rows = table.select("doc_id", "n", "x", "y").join(classes, ["n", "x", "y"], "left").join(comps.toDF("rep", "component"), "rep", "left").join(degree, "rep", "left")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, media, near_dedup, packing, quality, substring_dedup, toxicity, warc
+from . import decontaminate, language_id, media, near_dedup, packing, quality, substring_dedup, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -117,3 +117,8 @@ def op4_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Fold 0 is held out, fold 4 sets the calibration, the others are counted.
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"), counted=~fold(5, 0) & ~fold(5, 4), calibrating=fold(5, 4))
     return toxicity.score(docs, *model).select("doc_id", fold(5, 0).alias("held_out"), "score", "predicted")
+
+
+@_query("op1_template_decontamination")
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, media, near_dedup, packing, quality, substring_dedup, toxicity, warc
+from . import decontaminate, language_id, licenses, media, near_dedup, packing, quality, substring_dedup, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -122,3 +122,8 @@ def op4_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op1_template_decontamination")
 def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op9_sentence_rule_licenses", licenses.oracle())
+def op9_sentence_rule_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(_table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 Every capture is a request, a response (or a revisit of an equal payload) and
 a metadata record; the request and the metadata name the response in
-``WARC-Concurrent-To``.  Archives are plain WARC/1.1 files in the shared
+``WARC-Concurrent-To``.  Archives are gzipped WARC/1.1 files in the shared
 folder.  Their payloads are UTF-8, so Spark's text writer writes them, with the
 blank lines that close a record as its line separator.
 """
@@ -10,18 +10,19 @@ blank lines that close a record as its line separator.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, ready, saved
+from .shared import new_path, ready, saved, small_side
 
 #: Rows of one archive at most; a file is read whole by one task.
 CAPTURES_PER_FILE = 2_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_EMPTY_SHA1 = "da39a3ee5e6b4b0d3255bfef95601890afd80709"
 
 
 def base32(hex_digest: Column) -> Column:
@@ -44,8 +45,10 @@ def deduplicated(pages: DataFrame) -> DataFrame:
     """The captures with sha1, payload, record id and, for all but the largest page_id of equal payloads, the id of the response they revisit."""
     payload = F.coalesce("html", F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha1(payload.cast("binary")).alias("sha1")).withColumn("size", F.octet_length("payload"))
-    of = own.groupBy("sha1", "size").agg(F.max("page_id").alias("response_id"))
-    return own.join(of, ["sha1", "size"])
+    of = own.groupBy("sha1", "size").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n"))
+    # Only payloads that are there more than once have anything to say.
+    of = saved(of.filter("n > 1 and response_id is not null").drop("n"), "repeated-payloads")
+    return own.join(small_side(of), ["sha1", "size"], "left")
 
 
 def write(pages: DataFrame) -> str:
@@ -67,7 +70,7 @@ def write(pages: DataFrame) -> str:
         _record("metadata", urn("metadata", F.col("page_id")), "application/warc-fields", about, target, together),
     )
     rows = deduplicated(pages).select(F.explode(records).alias("record"))
-    rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 3 * CAPTURES_PER_FILE).text(path)
+    rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 3 * CAPTURES_PER_FILE).option("compression", "gzip").text(path)
     return path
 
 
@@ -94,6 +97,24 @@ def records(data: bytes):
         raise ValueError(f"no WARC record at byte {at}")
 
 
+def _plain(data: bytes) -> bytes:
+    """The bytes of an archive, of all its gzip members if it is compressed."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data))
+        data = member.unused_data
+    return b"".join(out) if out else data
+
+
+def _verify(fields: list, block: bytes) -> None:
+    """Raises if a response's payload isn't the one that its digest was taken of."""
+    if fields[0] == "response" and fields[4]:
+        payload = block[block.index(b"\r\n\r\n") + 4 :]
+        if base64.b32encode(hashlib.sha1(payload).digest()).decode() != fields[4].removeprefix("sha1:"):
+            raise ValueError(f"the payload of {fields[1]} doesn't match its digest")
+
+
 def read(spark, path: str) -> DataFrame:
     """A row per record of the archives: the header's fields and the block."""
 
@@ -103,7 +124,8 @@ def read(spark, path: str) -> DataFrame:
             for data in batch.column(0):
                 rows: list = [[] for _ in range(7)]
                 size = 0
-                for fields, block in records(data.as_py()):
+                for fields, block in records(_plain(data.as_py())):
+                    _verify(fields, block)
                     for own, v in zip(rows, (*fields, block)):
                         own.append(v)
                     size += len(block)
@@ -125,20 +147,24 @@ def transactions(archive: DataFrame) -> DataFrame:
     """One row per capture: capture_id, target_uri, and nested request, response and metadata.
 
     Records are joined by the id they are concurrent to (a response by its
-    own).  A capture without one of the records has a null there.  Records
+    own).  A capture without one of the records has nulls there.  Records
     that are exact repeats count once; records without an id go.
     """
     key = F.coalesce("concurrent_to", "record_id")
     head, body = _http(F.col("block"))
     kind = F.col("warc_type")
     side = lambda k, value: F.max(F.when(kind.isin(*k), value))
-    answer = F.struct("record_id", F.col("warc_type").alias("type"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "refers_to", head.alias("http_header"), body.alias("payload"))
-    return archive.filter(key.isNotNull()).groupBy(key.alias("capture_id")).agg(
+    answer = F.struct("record_id", F.col("warc_type").alias("type"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "refers_to", head.alias("http_header"))
+    rows = archive.filter(key.isNotNull()).groupBy(key.alias("capture_id")).agg(
         F.max("target_uri").alias("target_uri"),
         side(["request"], F.struct("record_id", head.alias("http_header"))).alias("request"),
-        side(["response", "revisit"], answer).alias("response"),
+        side(["response", "revisit"], answer).alias("answer"),
+        # Apart from the rest, so that who doesn't ask for payloads doesn't move them.
+        side(["response", "revisit"], body).alias("payload"),
         side(["metadata"], F.struct("record_id", F.decode("block", "UTF-8").alias("fields"))).alias("metadata"),
     )
+    response = F.struct(*(F.col("answer")[c].alias(c) for c in ("record_id", "type", "payload_digest", "refers_to", "http_header")), "payload")
+    return rows.select("capture_id", "target_uri", "request", response.alias("response"), "metadata")
 
 
 def captures(pages: DataFrame) -> DataFrame:

@@ -178,5 +178,12 @@ def captures(pages: DataFrame) -> DataFrame:
     rows.  Other columns are ignored.
     """
     table = transactions(read(pages.sparkSession, write(pages)))
-    page = F.nullif(F.regexp_extract("metadata.fields", r"pageId: (\S+)", 1), F.lit("null")).cast("long")
-    return table.select(page.alias("page_id"), F.regexp_extract("response.http_header", r"Content-Length: (\d+)", 1).cast("long").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.nullif(F.regexp_extract("response.refers_to", r":(\d+)>$", 1), F.lit("")).cast("long").alias("refers_to"))
+    # An empty match isn't a number.
+    number = lambda c, pattern: F.regexp_extract(c, pattern, 1).try_cast("long")
+    return table.select(
+        number("metadata.fields", r"pageId: (\S+)").alias("page_id"),
+        number("response.http_header", r"Content-Length: (\d+)").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        number("response.refers_to", r":(\d+)>$").alias("refers_to"),
+    )

@@ -118,8 +118,7 @@ def limits(t) -> tuple[int, int]:
 def wrapped(value: Column, t: DType) -> Column:
     """An exact whole number (any decimal) brought into the range of ``t`` modulo its size."""
     lo, _ = limits(t)
-    size = F.lit(1 << t.bits).cast("decimal(38,0)")
-    low = F.lit(lo).cast("decimal(38,0)")
+    size, low = (F.lit(str(n)).cast("decimal(38,0)") for n in (1 << t.bits, lo))
     d = value.cast("decimal(38,0)") - low
     r = d % size
     return (F.when(r < 0, r + size).otherwise(r) + low).cast(t.spark)
@@ -145,7 +144,7 @@ def cast(value: Column, a, b) -> Column:
         lo, hi = limits(b)
         x = value.cast("double")
         whole = F.when(x < 0, F.ceil(F.greatest(x, F.lit(float(lo))))).otherwise(F.floor(F.least(x, F.lit(float(hi)))))
-        edge = F.when(F.isnan(x), F.lit(0).cast(b.spark)).when(x >= float(hi), F.lit(hi).cast(b.spark)).when(x <= float(lo), F.lit(lo).cast(b.spark))
+        edge = F.when(F.isnan(x), F.lit(0).cast(b.spark)).when(x >= float(hi), F.lit(str(hi)).cast(b.spark)).when(x <= float(lo), F.lit(str(lo)).cast(b.spark))
         return edge.otherwise(whole.cast("decimal(38,0)").cast(b.spark))
     if b.kind in "iu":
         return value.cast(b.spark) if _holds(a, b) else wrapped(value, b)

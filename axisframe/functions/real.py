@@ -28,6 +28,11 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x worked out once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 # Arithmetic
 
 
@@ -271,7 +276,7 @@ def greater_equal(a, b) -> Column:
 
 def truth(x) -> Column:
     """NaN is true."""
-    return _c(x) != 0
+    return _d(x) != 0
 
 
 def logical_and(a, b) -> Column:
@@ -365,13 +370,12 @@ def int_power(a, n: int, t: DType = DTYPES["int64"]) -> Column:
     """a ** n for a known n >= 0, by squaring, modulo the type's size."""
     if n < 0:
         raise ValueError("whole numbers have no negative whole powers")
-    out, base = None, _c(a)
-    while n:
-        if n & 1:
-            out = base if out is None else int_multiply(out, base, t)
-        n >>= 1
-        base = int_multiply(base, base, t) if n else base
-    return F.lit(1).cast(t.spark) if out is None else out
+    bits = F.array(*(F.lit(int(b)) for b in f"{n:b}"))
+
+    def step(power: Column, bit: Column) -> Column:
+        return let(int_multiply(power, power, t), lambda s: F.when(bit == 1, int_multiply(s, _c(a), t)).otherwise(s))
+
+    return F.aggregate(bits, F.lit(1).cast(t.spark), step)
 
 
 def gcd(a, b) -> Column:

@@ -116,7 +116,7 @@ def blocked_matmul(a: NDFrame, b: NDFrame, block: int = 256) -> NDFrame:
     def cut(x: NDFrame, row: str, col: str) -> DataFrame:
         at = x.df.select(F.floor(F.col("i0") / block).cast("int").alias(row), F.floor(F.col("i1") / block).cast("int").alias(col), (F.col("i0") % block * block + F.col("i1") % block).cast("int").alias("at"), F.col("v").cast("double").alias("v"))
 
-        def pack(key, t: pa.Table) -> pa.Table:
+        def pack(key, t):
             out = np.zeros(block * block)
             out[t["at"].to_numpy()] = t["v"].to_numpy()
             return pa.table({row: pa.array([key[0].as_py()], pa.int32()), col: pa.array([key[1].as_py()], pa.int32()), "data": pa.array([out.tobytes()], pa.binary())})
@@ -128,7 +128,7 @@ def blocked_matmul(a: NDFrame, b: NDFrame, block: int = 256) -> NDFrame:
             products = [(np.frombuffer(x, float).reshape(block, block) @ np.frombuffer(y, float).reshape(block, block)).tobytes() for x, y in zip(t["data"].to_pylist(), t["other"].to_pylist())]
             yield pa.RecordBatch.from_arrays([t["r"], t["c"], pa.array(products, pa.binary())], ["r", "c", "data"])
 
-    def add(key, t: pa.Table) -> pa.Table:
+    def add(key, t):
         total = np.zeros(block * block)
         for x in t["data"]:
             total += np.frombuffer(x.as_py(), float)

@@ -108,7 +108,7 @@ def save(x: NDFrame, path: str) -> None:
     spark, kind = x.spark, np.dtype(x.dtype.name)
     rows = x.df.select(x.flat_index().alias("at"), F.col("v")).withColumn("block", F.floor(F.col("at") / WRITE_BLOCK))
 
-    def pack(key, t: pa.Table) -> pa.Table:
+    def pack(key, t):
         order = np.argsort(t["at"].to_numpy())
         if kind.kind == "c":
             v = t["v"].combine_chunks()

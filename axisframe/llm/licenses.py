@@ -84,6 +84,9 @@ RULES = [
 #: Every rule has a sentence with one of these, so texts without any need no cutting.
 KEYWORDS = ("licen", "permi", "softw", "redis", "liabl", "cc0", "cc by")
 
+#: A blank line or a line that ends with a colon; a sentence's end before what may start another.
+_BREAK, _END = r":?[ \t]*\r?\n[ \t]*\r?\n|:[ \t]*\r?\n", r"([.!?])[ \t\r\n]+([A-Z(*\"])"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -95,14 +98,14 @@ def normalised(text: str) -> str:
 
 
 def _normal(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.translate(c, _UPPER, _LOWER), "[^a-z0-9]+", " "))
 
 
-def _cut(small: Column) -> Column:
+def _cut(text: Column) -> Column:
     """(place, line, sentence) of all sentences and lines, normalised; line tells which of the two it is."""
-    whole = F.regexp_replace(F.regexp_replace(small, "\r?\n[ \t]*\r?\n", "\u0001"), "([.!?:])[ \t\r\n]+", "$1\u0001")
+    whole = F.regexp_replace(F.regexp_replace(text, _BREAK, "\u0001"), _END, "$1\u0001$2")
     part = lambda c, sep, line: F.transform(F.split(c, sep), lambda x, i: F.struct(i.alias("place"), F.lit(line).alias("line"), _normal(x).alias("sentence")))
-    return F.concat(part(whole, "\u0001", False), part(small, "\n", True))
+    return F.concat(part(whole, "\u0001", False), part(text, "\n", True))
 
 
 def licences(docs: DataFrame) -> DataFrame:
@@ -115,11 +118,10 @@ def licences(docs: DataFrame) -> DataFrame:
     gives no rows.
     """
     spark = docs.sparkSession
-    small = F.translate("text", _UPPER, _LOWER)
     known = F.broadcast(spark.createDataFrame([(normalised(s), k, k.startswith("line-")) for k, s in SENTENCES.items()], "sentence string, name string, line boolean"))
     rules = F.broadcast(spark.createDataFrame([(name, licence, list(ids), ids[0], len(ids)) for name, licence, ids in RULES], "rule string, licence string, ids array<string>, first string, n_sentences long"))
-    some = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), small.alias("small")).filter(F.col("small").rlike("|".join(KEYWORDS)))
-    found = some.select("doc_id", F.explode(_cut(F.col("small"))).alias("s")).select("doc_id", "s.*").filter(F.length("sentence") > 0).join(known, ["sentence", "line"]).select("doc_id", "line", "place", "name").distinct()
+    some = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike(f"(?i){'|'.join(KEYWORDS)}"))
+    found = some.select("doc_id", F.explode(_cut(F.col("text"))).alias("s")).select("doc_id", "s.*").filter(F.length("sentence") > 0).join(known, ["sentence", "line"]).select("doc_id", "line", "place", "name").distinct()
     # As many rows as a document has known sentences at different places.
     sequence = found.groupBy("doc_id", "line").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("seen"))
     at = F.filter(F.sequence(F.lit(0), F.size("seen") - F.size("ids")), lambda k: F.transform(F.slice("seen", k + 1, F.size("ids")), lambda x: x["name"]) == F.col("ids"))
@@ -136,12 +138,12 @@ def oracle() -> str:
     rules = ", ".join(f"({text(n)}, {text(x)}, [{', '.join(map(text, ids))}])" for n, x, ids in RULES)
     return f"""
 WITH known(sentence, name, line) AS (VALUES {known}), rules(rule, licence, ids) AS (VALUES {rules}),
-d AS (SELECT doc_id, translate(text, '{_UPPER}', '{_LOWER}') AS small FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
 p AS (
-  SELECT doc_id, false AS line, string_split(regexp_replace(regexp_replace(small, '\\r?\\n[ \\t]*\\r?\\n', chr(1), 'g'), '([.!?:])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM d
-  UNION ALL SELECT doc_id, true, string_split(small, chr(10)) FROM d
+  SELECT doc_id, false AS line, string_split(regexp_replace(regexp_replace(text, '{_BREAK}', chr(1), 'g'), '{_END}', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS parts FROM d
+  UNION ALL SELECT doc_id, true, string_split(text, chr(10)) FROM d
 ),
-s AS (SELECT doc_id, line, generate_subscripts(parts, 1) - 1 AS place, trim(regexp_replace(unnest(parts), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM p),
+s AS (SELECT doc_id, line, generate_subscripts(parts, 1) - 1 AS place, trim(regexp_replace(translate(unnest(parts), '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM p),
 f AS (SELECT DISTINCT doc_id, s.line, place, name FROM s JOIN known ON known.sentence = s.sentence AND known.line = s.line),
 n AS (SELECT doc_id, line, place, name, row_number() OVER (PARTITION BY doc_id, line ORDER BY place) AS k FROM f),
 q AS (SELECT doc_id, line, list(name ORDER BY k) AS names, list(place ORDER BY k) AS places FROM n GROUP BY doc_id, line),

@@ -17,9 +17,11 @@ short.
    and the best case for the rest can still reach t.
 4. Exact Jaccard on full sets verifies.
 5. Lists whose members are still in several components are paired across
-   components; pairs with the overlap that t needs at least are filtered and
-   verified in the same way.  Copies are in one component by then, so this
-   doesn't grow with the square of a group.
+   components, where a list's key can be the first that two sets share: from
+   its place on, each of them must have as many keys as their overlap needs.
+   Common keys come late in a set, so long lists make few pairs.  These are
+   filtered and verified in the same way.  Copies are in one component by
+   then, so this doesn't grow with the square of a group.
 """
 
 from __future__ import annotations
@@ -66,14 +68,9 @@ def retained(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + (n > 0)
 
 
-def least_overlap(na: Column, nb: Column, percent: int) -> Column:
-    """How many retained keys two sets of these sizes share at least if they reach the similarity.
-
-    Up to the smaller of both sketches' largest keys, all retained keys of one
-    set but those that only it has are retained by the other as well.
-    """
-    both = F.ceil((percent * (na + nb)) / F.lit(100.0 + percent) - F.lit(1e-9))
-    return F.greatest(F.lit(1), both - F.ceil(percent * F.greatest(na, nb) / F.lit(100.0) - F.lit(1e-9)) + 1)
+def overlap_needed(na: Column, nb: Column, percent: int) -> Column:
+    """How many keys two sets of these sizes share at least if they reach the similarity."""
+    return F.ceil((percent * (na + nb)) / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
 def _commonness(docs: DataFrame, words: int, bits: int, classes: np.ndarray) -> np.ndarray:
@@ -136,9 +133,10 @@ def _postings(table: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 512)
                 raw = part.column(2).to_pylist()
                 k = np.array([len(x) // 8 for x in raw])
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), *(pa.array(np.repeat(part.column(i).to_numpy(zero_copy_only=False), k), pa.int64()) for i in (0, 1))], ["key", "doc", "n"])
+                place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), *(pa.array(np.repeat(part.column(i).to_numpy(zero_copy_only=False), k), pa.int64()) for i in (0, 1)), pa.array(place.astype(np.int32))], ["key", "doc", "n", "place"])
 
-    return table.select("doc_id", "n", "sketch").mapInArrow(made, "key long, doc long, n long")
+    return table.select("doc_id", "n", "sketch").mapInArrow(made, "key long, doc long, n long, place int")
 
 
 def _bounded(batches, percent: int):
@@ -225,7 +223,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     by_key = Window.partitionBy("key").orderBy("doc")
     listed = _postings(reps).withColumns({"hub": F.first("doc").over(by_key), "hub_n": F.first("n").over(by_key), "next": F.lead("doc").over(by_key)})
-    lists = saved(listed.filter("hub != doc or next is not null").select("key", "doc", "n", "hub", "hub_n"), "lists")
+    lists = saved(listed.filter("hub != doc or next is not null").select("key", "doc", "n", "place", "hub", "hub_n"), "lists")
     in_reach = lambda m, n: (100 * F.least(m, n) >= percent * F.greatest(m, n))
     tied = lists.filter((F.col("hub") != F.col("doc")) & in_reach(F.col("n"), F.col("hub_n"))).groupBy(F.col("hub").alias("a"), F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("overlap"))
     tied = saved(tied, "tied")
@@ -236,11 +234,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     of = lists.join(comps.toDF("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     split = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    left = saved(of.join(split, "key").select("key", "doc", "n", "comp"), "split-lists")
-    one, two = left.toDF("key", "a", "na", "ca"), left.toDF("key", "b", "nb", "cb")
-    apart = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & in_reach(F.col("na"), F.col("nb")))
-    overlap = apart.groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    apart = saved(overlap.filter(F.col("overlap") >= least_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b").join(best, ["a", "b"], "left_anti"), "apart")
+    left = saved(of.join(split, "key").select("key", "doc", "n", "place", "comp"), "split-lists")
+    one, two = left.toDF("key", "a", "na", "pa", "ca"), left.toDF("key", "b", "nb", "pb", "cb")
+    needed = overlap_needed(F.col("na"), F.col("nb"), percent)
+    first = (F.col("na") - F.col("pa") >= needed) & (F.col("nb") - F.col("pb") >= needed)
+    apart = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & in_reach(F.col("na"), F.col("nb")) & first)
+    apart = saved(apart.select("a", "b").distinct().join(best, ["a", "b"], "left_anti"), "apart")
     if not apart.isEmpty():
         links = links.union(_links(apart, reps, docs, words, percent))
         comps = saved(connected_components(links, "a", "b"), "components")

@@ -17,6 +17,7 @@ import heapq
 import json
 import os
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,12 @@ class Tokenizer:
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> Tokenizer:
+    """The tokenizer of a file, read once by each Python worker whatever the number of its tasks."""
+    return Tokenizer(path)
+
+
 def divide(sizes: np.ndarray, k: int) -> np.ndarray:
     """The window of each size, when all are divided among ``k`` by multiway differencing."""
     m = len(sizes)
@@ -83,17 +90,16 @@ def divide(sizes: np.ndarray, k: int) -> np.ndarray:
         _, b = heapq.heappop(heap)
         both = sums[a] + sums[b][::-1]
         by = np.argsort(both, kind="stable")
-        to = np.empty(k, np.int64)
-        to[by] = np.arange(k)
-        merged.append((a, b, to))
+        merged.append((a, b, by))
         sums[a] = sums[b] = None
         both = both[by]
         sums.append(both)
         heapq.heappush(heap, (-int(both[-1] - both[0]), len(sums) - 1))
     place: dict = {len(sums) - 1: np.arange(k)}
     for i in range(len(merged) - 1, -1, -1):
-        a, b, to = merged[i]
-        own = place.pop(m + i)[to]
+        a, b, by = merged[i]
+        own = np.empty(k, np.int64)
+        own[by] = place.pop(m + i)
         place[a], place[b] = own, own[::-1]
     return np.array([place[i][k - 1] for i in range(m)], np.int64)
 
@@ -160,7 +166,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, closing_id: int
 
         context = TaskContext.get()
         first, run, held = (context.partitionId() if context else 0) << 40, [], 0
-        model, closing = Tokenizer(vocabulary), np.array([closing_id], "<u4").tobytes()
+        model, closing = tokenizer(vocabulary), np.array([closing_id], "<u4").tobytes()
         names = ["doc_id", "text"]
         for batch in batches:
             at = 0

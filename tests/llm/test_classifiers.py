@@ -61,6 +61,25 @@ def test_toxicity(spark, none):
     assert {x["score"] for x in toxicity.score(df.limit(5), *blank).collect()} == {0.5}
 
 
+def test_each_class_is_a_distribution_of_words():
+    r = np.random.default_rng(4)
+    n = r.poisson(0.7, (2, 12, 12)) * (r.random((12, 12)) < 0.6)
+    n[1, 3] = 0
+    n[:, 5] = 0
+    both = n.sum(axis=0)
+    totals = ((both > 0).sum(), (both.sum(axis=0) > 0).sum(), tuple((x > 0).sum() for x in n), tuple((x.sum(axis=0) > 0).sum() for x in n))
+    p = []
+    for v in range(12):
+        for w in [k for k in range(12) if both[:, k].any()] + [None]:
+            of = lambda x: [0 if w is None else y for y in x]
+            pair = of(n[:, v, w] if w is not None else (0, 0))
+            before = of((n[:, :, w] > 0).sum(axis=1) if w is not None else (0, 0))
+            p.append((pair, n[:, v].sum(axis=1), (n[:, v] > 0).sum(axis=1), before, (both[v] > 0).sum(), (both[:, w] > 0).sum() if w is not None else 0))
+    args = [np.array([x[k] for x in p], float).T for k in range(6)]
+    for c in toxicity.log_probabilities(totals, *args):
+        np.testing.assert_allclose(np.exp(c).reshape(12, -1).sum(axis=1), 1)
+
+
 def test_neighbour_counts_are_linear_counts():
     bits = np.array([0, 1, 3, (1 << 64) - 1], np.uint64)
     got = toxicity._neighbours(bits)

@@ -80,6 +80,20 @@ def test_each_class_is_a_distribution_of_words():
         np.testing.assert_allclose(np.exp(c).reshape(12, -1).sum(axis=1), 1)
 
 
+def test_toxicity_counts_are_exact(spark):
+    r = random.Random(5)
+    names = ["".join(r.choice("abdeghilnorst") for _ in range(9)) for _ in range(1500)]
+    rows = [(f"{names[k]} common", k % 2) for k in range(1500)] + [(f"{names[k]} common; {names[k]} common", 1) for k in range(0, 900, 2)]
+    got = toxicity.counts(spark.createDataFrame(rows, "text string, label int").repartition(5), 12).persist()
+    pairs = got.filter(F.col("kind") == toxicity.PAIR)
+    # A start and a pair of each name, and of repeated names what leads from one pair to the next.
+    assert pairs.count() == 1500 * 2 + 450
+    assert {(x["ordinary"], x["toxic"]) for x in pairs.filter("ordinary + toxic > 1").collect()} == {(1, 1)}
+    most = {k: got.filter(F.col("kind") == k).agg(F.max("ordinary"), F.max("toxic")).first() for k in range(1, 6)}
+    assert tuple(most[toxicity.PREDECESSORS]) == (750, 750 + 450)
+    assert tuple(most[toxicity.ALL_PREDECESSORS]) == (1500, 0) and tuple(most[toxicity.ALL_FOLLOWERS]) == (1500, 0)
+
+
 def test_neighbour_counts_are_linear_counts():
     bits = np.array([0, 1, 3, (1 << 64) - 1], np.uint64)
     got = toxicity._neighbours(bits)

@@ -94,6 +94,14 @@ def test_toxicity_counts_are_exact(spark):
     assert tuple(most[toxicity.ALL_PREDECESSORS]) == (1500, 0) and tuple(most[toxicity.ALL_FOLLOWERS]) == (1500, 0)
 
 
+def test_toxicity_counts_what_does_not_calibrate(spark):
+    rows = [(k, "all the same words" if k else "zebra") for k in range(2000)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int")
+    model, _ = toxicity.train(docs, marks, F.lit(True), F.col("doc_id") % 2 == 0, most=100)
+    ordinary, toxic = model.table.filter(F.col("kind") == toxicity.PAIR).agg(F.max("ordinary"), F.max("toxic")).first()
+    assert toxic == 1000 and 850 <= ordinary < 950
+
+
 def test_neighbour_counts_are_linear_counts():
     bits = np.array([0, 1, 3, (1 << 64) - 1], np.uint64)
     got = toxicity._neighbours(bits)

@@ -2,9 +2,10 @@
 
 Texts are brought to templates: numbers, units after numbers, and names become
 typed placeholders, everything else lower-case words without punctuation.
-Every window of WINDOW template tokens of the benchmark is hashed; of the
-documents every STRIDE-th one is, so that any run of WINDOW + STRIDE - 1 equal
-tokens meets.  The hash join gives alignments of a document and an item, which
+Every window of WINDOW template tokens of the benchmark and of the documents is
+hashed, so that any run of WINDOW equal tokens meets; windows of few words are
+hashed with what their placeholders stand for.  The hash join gives alignments
+of a document and an item, which
 are then compared token by token.  Placeholders only count where the slots are
 consistent: equal values of the item stand for equal values of the document
 and the other way round.  A re-parameterised question thus matches, and a text
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .shared import saved, small_side
 
-WINDOW, STRIDE = 8, 4
-#: Different words other than placeholders that a benchmark window of WINDOW tokens needs.
+WINDOW = 8
+#: Different words that a benchmark window of WINDOW tokens needs; placeholders count only by what they stand for.
 LEAST_WORDS = 4
 #: The share of an item's tokens that a document must have in the item's order.
 LEAST_SHARE = 0.5
@@ -33,10 +34,10 @@ UNITS = (
     "w", "kw", "v", "a", "n", "j", "kj", "pa", "kpa", "k", "c", "f", "percent", "dollar", "dollars", "cent", "cents", "euro", "euros",
 )
 
-_NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
+_NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*+"
 _MEASURE = rf"{_NUMBER} ?((?i:{'|'.join(UNITS)}))\b"
 #: Capitalised words after a small letter, digit, comma or semicolon and a blank: not at a sentence's start.
-_NAME = r"([\p{Ll}0-9,;] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
+_NAME = r"([\p{Ll}0-9,;] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*+)"
 
 
 def _named(text: Column) -> Column:
@@ -51,6 +52,17 @@ def tokens(text: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
+def exact(text: Column) -> Column:
+    """The template with what each placeholder stands for behind it, token by token in the same places."""
+    t = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "§ʘ", "  "), _NAME, "$1 §n$2§e ")
+    t = F.regexp_replace(t, r"(?<=\p{Ll}) (?=\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*+§e)", "ʘ")
+    t = F.regexp_replace(F.regexp_replace(t, "§e", ""), _MEASURE.replace(_NUMBER, f"({_NUMBER})"), " §d$1 §u$2 ")
+    t = F.regexp_replace(t, rf"(?<!§d)(?<![0-9])(?<![0-9][.,:/])({_NUMBER})", " §d$1 ")
+    t = F.regexp_replace(t, "(?<=[0-9])[.,:/](?=[0-9])", "ʘ")
+    t = F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}§]+", " "))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+
+
 def slots(text: Column) -> Column:
     """What the placeholders of each kind stand for, in the order of the text."""
     small = lambda c: F.transform(c, lambda x: F.lower(x))
@@ -62,9 +74,9 @@ def slots(text: Column) -> Column:
     )
 
 
-def _windows(t: Column, length: int, stride: int) -> Column:
-    """(at, key) of every ``stride``-th window of ``length`` tokens."""
-    at = F.when(F.size(t) >= length, F.sequence(F.lit(0), F.size(t) - length, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+def _windows(t: Column, length: int) -> Column:
+    """(at, key) of every window of ``length`` tokens."""
+    at = F.when(F.size(t) >= length, F.sequence(F.lit(0), F.size(t) - length)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(t, i + 1, length)).alias("key")))
 
 
@@ -82,30 +94,43 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = LEAST_SHAR
     An item matches where at least ``least_share`` of its template tokens stand
     in the document in the item's order, at the alignments that share a window.
     Items shorter than a window are found as a whole.  Placeholders count only
-    if their values map one to one.  Items without LEAST_WORDS different words
-    in any window (or, if shorter, without two words) can't be told from
-    chance and match nothing.
+    if their values map one to one, at all alignments or else at one of them.
+    Windows with less than LEAST_WORDS different words (or items that are
+    shorter and have less than two) can't be told from chance as templates:
+    they are looked for with their numbers, units and names as they stand, and
+    not at all if that gives less than LEAST_WORDS different tokens.
 
     Null and empty texts hold nothing and are found nowhere; rows with a null
     id are ignored; rows that repeat an id are compared each, and their best
     match is returned once.  Other columns are ignored; empty tables give no
     rows.
     """
-    bench = benchmark.filter("item_id is not null").select("item_id", tokens(F.col("text")).alias("bt"), slots(F.col("text")).alias("bv")).filter(F.size("bt") > 0)
+    bench = benchmark.filter("item_id is not null").select("item_id", tokens(F.col("text")).alias("bt"), exact(F.col("text")).alias("be"), slots(F.col("text")).alias("bv")).filter(F.size("bt") > 0)
     bench = saved(bench, "benchmark")
     own = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     short = sorted(r["n"] for r in bench.filter(F.size("bt") < WINDOW).select(F.size("bt").alias("n")).distinct().collect())
     words = lambda t: F.size(F.array_distinct(F.filter(t, lambda x: ~x.startswith("§"))))
 
-    long = bench.filter(F.size("bt") >= WINDOW).select("item_id", "bt", F.explode(_windows(F.col("bt"), WINDOW, 1)).alias("w"))
-    sides = long.filter(words(F.slice("bt", F.col("w.at") + 1, WINDOW)) >= LEAST_WORDS).select("item_id", F.col("w.at").alias("item_at"), F.col("w.key").alias("key"))
-    if short:
-        whole = bench.filter((F.size("bt") < WINDOW) & (words(F.col("bt")) > 1))
-        sides = sides.union(whole.select("item_id", F.lit(0), F.xxhash64("bt")))
+    lengths = [WINDOW, *short]
+    sides = None
+    for n in lengths:
+        of = bench.filter(F.size("bt") == n) if n < WINDOW else bench
+        at = F.explode(_windows(F.col("bt"), n)).alias("w")
+        of = of.select("item_id", "bt", "be", at)
+        own_words = words(F.slice("bt", F.col("w.at") + 1, n))
+        filled = F.slice("be", F.col("w.at") + 1, n)
+        enough = own_words >= (LEAST_WORDS if n == WINDOW else 2)
+        alike = F.size(F.col("be")) == F.size("bt")
+        key = F.when(enough, F.col("w.key")).when(alike & (F.size(F.array_distinct(filled)) >= LEAST_WORDS), F.xxhash64(filled))
+        of = of.select("item_id", F.col("w.at").alias("item_at"), key.alias("key"), (~enough).alias("filled")).filter("key is not null")
+        sides = of if sides is None else sides.union(of)
     sides = saved(sides, "benchmark-windows")
-    every = [_windows(F.col("t"), WINDOW, STRIDE), *(_windows(F.col("t"), n, 1) for n in short)]
-    seen = own.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.explode(F.flatten(F.array(*every)) if short else every[0]).alias("w"))
-    hits = seen.select("doc_id", F.col("w.at").alias("at"), F.col("w.key").alias("key")).join(small_side(sides), "key")
+    every = [_windows(F.col("t"), n) for n in lengths]
+    # Only a benchmark with such windows makes the documents' windows be hashed twice.
+    if sides.filter("filled").limit(1).count():
+        every += [_windows(F.col("e"), n) for n in lengths]
+    seen = own.select("doc_id", tokens(F.col("text")).alias("t"), exact(F.col("text")).alias("e")).select("doc_id", F.explode(F.flatten(F.array(*every)) if len(every) > 1 else every[0]).alias("w"))
+    hits = seen.select("doc_id", F.col("w.at").alias("at"), F.col("w.key").alias("key")).join(small_side(sides.drop("filled")), "key")
     hits = saved(hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
 
     pairs = own.join(small_side(hits), "doc_id").join(small_side(bench), "item_id")
@@ -115,11 +140,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = LEAST_SHAR
     slot_places = F.filter("places", lambda k: F.get("bt", k).startswith("§"))
     filled = F.transform(slot_places, lambda k: F.struct(_slot_value(F.col("bt"), F.col("bv"), k).alias("b"), _slot_value(F.col("t"), F.col("v"), k + F.col("shift")).alias("d")))
     pairs = pairs.select("doc_id", "item_id", F.size("bt").alias("item_tokens"), F.filter("places", lambda k: ~F.get("bt", k).startswith("§")).alias("words"), slot_places.alias("slot_places"), filled.alias("filled"))
-    spots = pairs.groupBy("doc_id", "item_id", "item_tokens").agg(*(F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in ("words", "slot_places", "filled")))
-    different = lambda side: F.size(F.array_distinct(F.transform("filled", lambda x: x[side])))
-    consistent = (different("b") == F.size("filled")) & (different("d") == F.size("filled"))
-    matched = F.size("words") + F.when(consistent, F.size("slot_places")).otherwise(0)
-    out = spots.select("doc_id", "item_id", "item_tokens", matched.alias("matched_tokens"), (matched / F.col("item_tokens")).alias("share"), F.size("slot_places").alias("slots"), consistent.alias("slots_consistent"))
+    different = lambda c, side: F.size(F.array_distinct(F.transform(c, lambda x: x[side])))
+    one_to_one = lambda c: (different(c, "b") == F.size(F.array_distinct(c))) & (different(c, "d") == F.size(F.array_distinct(c)))
+    pairs = pairs.withColumn("alone", F.when(one_to_one(F.col("filled")), F.size("slot_places")).otherwise(0))
+    spots = pairs.groupBy("doc_id", "item_id", "item_tokens").agg(*(F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in ("words", "slot_places", "filled")), F.max("alone").alias("alone"))
+    # A document may hold an item more than once, with other values each time: then one alignment's slots count.
+    together = one_to_one(F.col("filled"))
+    consistent = together | (F.col("alone") > 0)
+    n_slots = F.when(together | (F.col("alone") == 0), F.size("slot_places")).otherwise(F.col("alone"))
+    matched = F.size("words") + F.when(consistent, n_slots).otherwise(0)
+    out = spots.select("doc_id", "item_id", "item_tokens", matched.alias("matched_tokens"), (matched / F.col("item_tokens")).alias("share"), n_slots.alias("slots"), consistent.alias("slots_consistent"))
     return out.filter(F.col("share") >= least_share)
 
 

@@ -151,3 +151,25 @@ def test_equal_texts_equal_media(spark, tmp_path):
     spark.createDataFrame([(1, "same"), (2, "same")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     a, b = op6_iso_media_columns(spark, str(tmp_path)).drop("doc_id").collect()
     assert a == b
+
+
+def test_decontamination_misses_no_window(spark):
+    short, sums = "grey owls rarely visit our northern barn twice", "12 + 47 = 59; 88 + 11.5 = 99.5; 31 + 6 kg = 37 kg"
+    slots = "Take {} and {} and {} then add {} and {} and {}, {}, {}, {}, {}, {}, {}"
+    items = [(1, short), (2, sums), (3, slots.format(*range(12)))]
+    docs = [(k, "so " * k + short + " and more") for k in range(4)] + [(10, f"We know: {sums}."), (11, sums.replace("59", "60").replace("88", "77").replace("31", "41").replace("6 kg", "3 kg"))]
+    docs += [(20, slots.format(*range(20, 32)) + " or " + slots.format(*range(51, 39, -1))), (21, slots.format(*[5, 6] * 6))]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["share"]) for r in got} == {(0, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (10, 2, 1), (20, 3, 1)}
+
+
+def test_decontamination_of_long_runs_of_names(spark):
+    docs = spark.createDataFrame([(1, "so " + "Anna " * 20000 + "1.2" * 20000)], "doc_id long, text string")
+    assert decontaminate.leaks(docs, spark.createDataFrame([(1, "we all know what 3 owls of the barn eat")], "item_id long, text string")).count() == 0
+
+
+def test_exact_templates_keep_places(spark):
+    text = "Yesterday the man Tom Jones saw 3.5 kg of 12,7 apples; old Anna said 5/6 and 7km, A1 2"
+    r = spark.createDataFrame([(text,)], "text string").select(decontaminate.tokens(F.col("text")).alias("t"), decontaminate.exact(F.col("text")).alias("e")).first()
+    assert len(r["t"]) == len(r["e"]) and all(e == t or e.startswith(t) and t[0] == "§" for t, e in zip(r["t"], r["e"]))
+    assert "§ntomʘjones" in r["e"] and "§d3ʘ5" in r["e"]

@@ -5,12 +5,15 @@ but letters as a blank.  Each hashes to one of 2**BITS embeddings; a document
 is their average, and a linear softmax over it gives the languages.  Both
 layers are trained together by stochastic gradient descent in numpy, on a
 sample of labelled rows whose size per language is a parameter.  A part of the
-sample is held back to set the softmax's temperature and the confidence below
-which a document is rejected.
+sample is held back to set the softmax's temperature and what is rejected: a
+text that is less sure, or whose subwords are less likely, for its length than
+all but FALSE_REJECTIONS of the held-back rows.
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,6 +23,8 @@ from .shared import fraction_filter, ready
 from .textbytes import LETTERS, LOWER, slices
 
 BITS, DIM, SIZES = 15, 16, (2, 3, 4)
+#: The share of held-back rows that each of the two cut-offs may reject.
+FALSE_REJECTIONS = 0.0001
 
 
 def _subwords(piece):
@@ -43,21 +48,29 @@ def _ranges(piece, size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Score tables of a trained classifier: ``table`` has each subword's share of each language's logit."""
+    """Score tables of a trained classifier: ``table`` has each subword's share of each language's logit, and in its last row its log-likelihood."""
 
-    def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, threshold: float):
-        self.langs, self.table, self.bias, self.threshold = langs, table, bias, threshold
+    def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, sureness: tuple[float, float, float, float], usual: tuple[float, float, float, float]):
+        self.langs, self.table, self.bias, self.sureness, self.usual = langs, table, bias, sureness, usual
 
-    def probabilities(self, piece) -> np.ndarray:
-        total, count = np.zeros((len(piece), len(self.langs))), np.zeros(len(piece))
+    def judged(self, piece) -> tuple[np.ndarray, np.ndarray]:
+        """The languages' probabilities, and which documents aren't in any of them."""
+        total, count = np.zeros((len(piece), len(self.table))), np.zeros(len(piece))
         for size, code, some in _subwords(piece):
             lo, hi = _ranges(piece, size, len(code))
             sums = np.concatenate(([0], np.cumsum(some)))
             count += sums[hi] - sums[lo]
-            for k in range(len(self.langs)):
+            for k in range(len(self.table)):
                 own = np.concatenate(([0.0], np.cumsum(np.where(some, self.table[k][code], 0.0))))
                 total[:, k] += own[hi] - own[lo]
-        return softmax(total / np.maximum(count, 1)[:, None] + self.bias)
+        mean = total / np.maximum(count, 1)[:, None]
+        p = softmax(mean[:, :-1] + self.bias)
+        return p, (strangeness(_logit(p.max(axis=1)), count, *self.sureness[:3]) > self.sureness[3]) | (strangeness(mean[:, -1], count, *self.usual[:3]) > self.usual[3])
+
+
+def strangeness(mean: np.ndarray, n: np.ndarray, middle: float, between: float, within: float) -> np.ndarray:
+    """How many deviations a text's confidence or mean log-likelihood of ``n`` subwords is below the middle; short texts vary more."""
+    return (middle - mean) / np.sqrt(between + within / np.maximum(n, 1))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -89,6 +102,15 @@ def _sampled(rows: DataFrame) -> list:
     return [(r["lang"], np.frombuffer(bytes(r["codes"]), np.int32), np.frombuffer(bytes(r["counts"]), np.int32)) for r in rows]
 
 
+def _logit(p: np.ndarray) -> np.ndarray:
+    return np.log((p + 1e-9) / (1 - p + 1e-9))
+
+
+def _cut(x: np.ndarray) -> float:
+    """What all but FALSE_REJECTIONS of ``x`` stay below; so small a share of few rows comes from a normal tail."""
+    return float(max(np.quantile(x, 1 - FALSE_REJECTIONS, method="higher"), x.mean() + NormalDist().inv_cdf(1 - FALSE_REJECTIONS) * x.std()))
+
+
 def train(labelled: DataFrame, per_language: int = 600, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model | None:
     """A model of ``labelled`` (doc_id, text, lang), from about ``per_language`` rows of each language.
 
@@ -134,9 +156,20 @@ def train(labelled: DataFrame, per_language: int = 600, epochs: int = 6, rate: f
     grid = np.geomspace(0.5, 20, 40)
     warm = grid[np.argmin([-np.log(softmax(logits[test] / t)[np.arange(len(test)), y[test]] + 1e-12).mean() for t in grid])]
     sure = softmax(logits[test] / warm).max(axis=1)
-    # Half the confidence of the least sure thousandth, and never more than chance and a half.
-    threshold = float(min(np.quantile(sure, 0.001) / 2, 1.5 / (len(langs) + 1), 0.5))
-    return Model(langs, (embed @ weight / warm).T.astype(np.float32).copy(), bias / warm, threshold)
+    seen = np.bincount(np.concatenate([rows[i][1] for i in learn]), np.concatenate([rows[i][2] for i in learn]), 1 << BITS) + 0.1
+    likely = np.log(seen / seen.sum())
+    n = np.array([rows[i][2].sum() for i in test], float)
+    logit = _logit(sure)
+    off = (logit - logit.mean()) ** 2
+    sureness = (float(logit.mean()), float(max(off.mean() / 2, 0.05**2)), float((off * n).mean() / 2))
+    sureness += (_cut(strangeness(logit, n, *sureness)),)
+    mean = np.array([share[i] @ likely[rows[i][1]] for i in test])
+    squares = np.array([share[i] @ (likely[rows[i][1]] - m) ** 2 for i, m in zip(test, mean)])
+    middle, within = float(np.average(mean, weights=n)), float(squares.mean())
+    between = float(max(np.mean((mean - middle) ** 2 - within / n), 0.05**2))
+    far = _cut(strangeness(mean, n, middle, between, within))
+    table = np.vstack([(embed @ weight / warm).T, likely])
+    return Model(langs, table.astype(np.float32), bias / warm, sureness, (middle, between, within, far))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -144,7 +177,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     A null text and one without any letter are ``und`` with score 0 and
     rejected.  Any other text gets its likeliest language and the calibrated
-    probability of it, and is rejected if that is below the model's threshold.
+    probability of it, and is rejected if that or its subwords are too strange
+    for its length.
     Without a model all are ``und`` and rejected.  Whole texts count, however
     long; other columns are ignored; an empty table gives no rows.
     """
@@ -154,17 +188,17 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             for piece in slices(batch.column(1)):
                 if model is None:
-                    name, sure = ["und"] * len(piece), np.zeros(len(piece))
+                    name, sure, out = ["und"] * len(piece), np.zeros(len(piece)), np.ones(len(piece), bool)
                 else:
-                    p = model.probabilities(piece)
+                    p, out = model.judged(piece)
                     best = p.argmax(axis=1)
                     name, sure = [model.langs[i] for i in best], np.clip(p[np.arange(len(p)), best], 0, 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), batch.column(2).slice(piece.first, len(piece)), pa.array(name, pa.string()), pa.array(sure, pa.float64())], ["doc_id", "some", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), batch.column(2).slice(piece.first, len(piece)), pa.array(name, pa.string()), pa.array(sure, pa.float64()), pa.array(out)], ["doc_id", "some", "lang_pred", "score", "strange"])
 
     some = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("some")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", some).mapInArrow(made, "doc_id long, some boolean, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", some).mapInArrow(made, "doc_id long, some boolean, lang_pred string, score double, strange boolean")
     known = F.col("some") & (F.col("lang_pred") != "und")
-    return rows.select("doc_id", F.when(known, F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(known, F.col("score")).otherwise(0.0).alias("score"), (~known | (F.col("score") < (model.threshold if model else 0.0))).alias("rejected"))
+    return rows.select("doc_id", F.when(known, F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(known, F.col("score")).otherwise(0.0).alias("score"), (~known | F.col("strange")).alias("rejected"))
 
 
 def held_out(folds: int, fold: int) -> Column:
@@ -187,7 +221,7 @@ def accept(docs: DataFrame) -> DataFrame:
             at = batch.schema.get_field_index("text")
             keep = [np.zeros(0, bool)]
             for piece in slices(batch.column(at)):
-                keep.append(model.probabilities(piece).max(axis=1) >= model.threshold if model else np.zeros(len(piece), bool))
+                keep.append(~model.judged(piece)[1] if model else np.zeros(len(piece), bool))
             yield batch.filter(pa.array(np.concatenate(keep)))
 
     return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(made, docs.schema)

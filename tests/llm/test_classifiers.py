@@ -35,6 +35,19 @@ def test_language(spark, none):
     assert kept.columns == df.columns and kept.count() == len(rows) - 3
 
 
+def test_languages_that_were_left_out_are_rejected(spark):
+    r = random.Random(6)
+    rows = [(k, invented(lang, r, r.randint(20, 60)), lang) for k, lang in enumerate(["en", "de"] * 200)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = [(k, "".join(r.choice("бгджклмнпрст аеиоу") for _ in range(200)), None) for k in range(50)] + [(100 + k, "".join(r.choice("qxzjkvwy ") for _ in range(200)), None) for k in range(50)]
+    odd += [(200 + k, invented("es", r, 60), None) for k in range(50)]
+    odd += [(300 + k, invented(lang, r, 40), None) for k, lang in enumerate(["en", "de"] * 50)]
+    got = language_id.identify(spark.createDataFrame(odd, "doc_id long, text string, lang string"), model).collect()
+    assert all(x["rejected"] for x in got if x["doc_id"] < 200)
+    assert np.mean([x["rejected"] for x in got if 200 <= x["doc_id"] < 300]) > 0.95
+    assert np.mean([x["rejected"] for x in got if x["doc_id"] >= 300]) < 0.05
+
+
 def test_toxicity(spark, none):
     r = random.Random(2)
     vocabulary = ["".join(r.choice("abdeghilnorst") for _ in range(r.randint(2, 7))) for _ in range(3000)]

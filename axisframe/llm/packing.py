@@ -33,43 +33,60 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 class Tokenizer:
-    """Ids of a byte-level BPE file of the tokenizers library.
+    """Ids of a byte-level BPE file of the tokenizers library, as its ``encode`` with ``add_special_tokens=False`` gives them.
 
     The file's vocabulary is merged by tiktoken, which gives the same ids in a
-    tenth of the time; a text that its expression engine gives up on is encoded
-    by tokenizers itself.  Special tokens in a text are ordinary text.
+    tenth of the time if the file cuts texts by PATTERN and merges in the order
+    of its ids.  Other files, texts that hold the string of an added token, and
+    texts that tiktoken's expression engine gives up on, are encoded by
+    tokenizers itself.  With ``special_as_text`` the string of an added token
+    is ordinary text, else it is that token.
     """
 
-    def __init__(self, path: str):
-        import tiktoken
-
-        self.path, self.slow = path, None
+    def __init__(self, path: str, special_as_text: bool = False):
+        self.path, self.special_as_text, self.fast, self.slow = path, special_as_text, None, None
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)
-        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        of = {chr(b): b for b in kept} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(kept))}
-        special = {x["content"] for x in vocabulary.get("added_tokens", [])}
-        ranks = {bytes(of[c] for c in token): i for token, i in vocabulary["model"]["vocab"].items() if token not in special}
-        self.fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.added = [x["content"] for x in vocabulary.get("added_tokens", [])]
+        if self.is_plain(vocabulary):
+            import tiktoken
+
+            kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            of = {chr(b): b for b in kept} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(kept))}
+            ranks = {bytes(of[c] for c in token): i for token, i in vocabulary["model"]["vocab"].items() if token not in set(self.added)}
+            self.fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @staticmethod
+    def is_plain(vocabulary: dict) -> bool:
+        """Whether the file's texts are cut by PATTERN and its pairs merged in the order of their ids, and nothing else is done to them."""
+        model, cut = vocabulary["model"], vocabulary.get("pre_tokenizer") or {}
+        if model.get("type") != "BPE" or vocabulary.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            return False
+        if any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return False
+        merged = [model["vocab"]["".join(x.split(" ") if isinstance(x, str) else x)] for x in model["merges"]]
+        return all(a < b for a, b in zip(merged, merged[1:]))
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
-        try:
-            return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
-        except (ValueError, RuntimeError):
-            if self.slow is None:
-                import tokenizers
+        if self.fast and (self.special_as_text or not any(x in text for x in self.added)):
+            try:
+                return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
+            except (ValueError, RuntimeError):  # the expression engine's bounds
+                pass
+        if self.slow is None:
+            import tokenizers
 
-                os.environ["TOKENIZERS_PARALLELISM"] = "false"
-                self.slow = tokenizers.Tokenizer.from_file(self.path)
-                self.slow.encode_special_tokens = True
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            self.slow = tokenizers.Tokenizer.from_file(self.path)
+            self.slow.encode_special_tokens = self.special_as_text
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> Tokenizer:
+def tokenizer(path: str, special_as_text: bool = False) -> Tokenizer:
     """The tokenizer of a file, read once by each Python worker whatever the number of its tasks."""
-    return Tokenizer(path)
+    return Tokenizer(path, special_as_text)
 
 
 def divide(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -150,12 +167,13 @@ def _pack_run(run: list, capacity: int, first: int) -> tuple[dict, int]:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, closing_id: int = 1, run_tokens: int = 1 << 20) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, closing_id: int = 1, run_tokens: int = 1 << 20, special_as_text: bool = False) -> DataFrame:
     """A row for every piece of every document, with its sequence and place there.
 
     ``vocabulary`` is the path of a byte-level BPE file, which must be there on
     every executor.  Each id lies in exactly one piece; a document is cut
     at multiples of ``capacity``, and a few long rests into small pieces; a sequence's pieces fill it gapless from 0.
+    ``special_as_text`` is as in Tokenizer.
     A null or empty text is the closing id alone.  Null and repeated doc_ids
     are packed as any other row.  An empty table gives no rows.
     """
@@ -166,7 +184,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, closing_id: int
 
         context = TaskContext.get()
         first, run, held = (context.partitionId() if context else 0) << 40, [], 0
-        model, closing = tokenizer(vocabulary), np.array([closing_id], "<u4").tobytes()
+        model, closing = tokenizer(vocabulary, special_as_text), np.array([closing_id], "<u4").tobytes()
         names = ["doc_id", "text"]
         for batch in batches:
             at = 0

@@ -1,26 +1,56 @@
-"""Intermediate tables in the folder that the cluster shares."""
+"""Intermediate tables in the folder that the cluster shares, size-checked broadcasts, and the package on executors."""
 
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
+import sys
 import tempfile
 import uuid
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a side that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes of a side that may be broadcast; beyond them the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 1 << 26
+
+_ROOT = str(Path(__file__).resolve().parents[1])
+_shipped: set = set()
+
+
+def one_machine(spark: SparkSession) -> bool:
+    """Whether the driver is the only executor, as in tests."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package: by its path where there is one machine, else from an archive that Spark sends to them."""
+    context = spark.sparkContext
+    if one_machine(spark):
+        env = context.environment
+        if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
+    elif context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        own = tempfile.mkdtemp(prefix="axisframe-package-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(f"{own}/axisframe-package", "zip", _ROOT, Path(__file__).resolve().parent.name))
+    if _ROOT not in sys.path:
+        sys.path.append(_ROOT)
+    return spark
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where it names none."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
+    """The shared folder that the cluster names; a temporary one only where it names none and there is one machine."""
+    if named := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return named
-    if not (own := spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="axisframe-checkpoints-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own
+    if not one_machine(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="axisframe-checkpoints-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -44,9 +74,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has no more than ``most`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has no more than ``most`` rows, and no more than BROADCAST_BYTES by the bytes ``size`` of a row, else as it is.
+
+    The count stops at the bound, and ``df`` should be cheap to compute twice
+    (a saved table or a scan of two columns).
+    """
+    n, total = df.select((size if size is not None else F.lit(0)).cast("long").alias("size")).limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and total <= BROADCAST_BYTES else df
 
 
 def numbered(df: DataFrame, order: list, name: str = "pos") -> DataFrame:

@@ -1,74 +1,35 @@
-"""Tables in the shared folder, size-checked broadcasts and Bloom filters."""
+"""Joins that spread hot keys, sums of arrays over all tasks, and Bloom filters."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import sys
-import tempfile
-import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a side that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+from ..storage import new_path, ready, saved, small_side
 
-_ROOT = str(Path(__file__).resolve().parents[2])
+__all__ = ["CHUNK", "bloom", "fraction_filter", "may_contain", "new_path", "ready", "saved", "small_side", "spread_join", "summed_arrays"]
 
+#: A key is hot if it has this many rows, or more than one in SPREAD_SHARE of all rows: so there are never more than SPREAD_SHARE hot keys.
+HOT_ROWS, SPREAD_SHARE, SPREAD_OVER = 1_000, 100_000, 32
 
-def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package wherever they were started."""
-    env = spark.sparkContext.environment
-    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
-    if _ROOT not in sys.path:
-        sys.path.append(_ROOT)
-    return spark
 
+def spread_join(rows: DataFrame, firsts: DataFrame, keys: tuple, count: str, by: str) -> DataFrame:
+    """``rows`` joined with ``firsts``, which has one row for each key and the number of its rows in ``count``.
 
-def folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where it names none."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named
-    if not (own := spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="axisframe-checkpoints-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended: whoever owns the shared folder clears it
-        pass
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{folder(spark)}/axisframe/{name}-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
-    return path
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: cut lineage that outlives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has no more than ``most`` rows, else as it is.
-
-    The count stops at the bound, and ``df`` should be cheap to compute twice
-    (a saved table or a scan of two columns).
+    Hot keys are broadcast, which their bound allows, to salt their rows by
+    ``by``; ``firsts`` has them once for each salt.  So no task gets all rows
+    of a key, whatever their number.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    total = firsts.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) >= max(HOT_ROWS, total // SPREAD_SHARE)
+    marks = F.broadcast(firsts.filter(hot).select(*keys, F.lit(True).alias("_hot")))
+    salted = rows.join(marks, list(keys), "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SPREAD_OVER))).otherwise(F.lit(0)).cast("int")).drop("_hot")
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(SPREAD_OVER - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(firsts.withColumn("_salt", F.explode(copies)).drop(count), [*keys, "_salt"]).drop("_salt")
 
 
 CHUNK = 1 << 16

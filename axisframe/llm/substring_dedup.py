@@ -4,17 +4,21 @@ A window is ``window`` consecutive words.  Every window names one of its
 eight-word grams, the leftmost with the least hash, as its anchor; as this
 follows from the window's words alone, equal windows of any two documents have
 equal anchors.  Runs of neighbouring windows with one anchor make a block
-(about 22 windows), and the blocks of all documents are the index.
-
-A document is parsed from left to right into factors: where a block also
-occurs whole in a document with a smaller id, the factor goes on through all
-of it; at a factor's boundaries, where the anchor is known but the block
-differs, its windows are looked up one by one among the windows of the other
-blocks with that anchor.  Only blocks whose first document is this one need
-that, since all other occurrences of the block are whole copies.  Factors are
-at least one window long; their words become duplicate spans.
+(about 22 windows).  The reference is made of the first occurrences of all
+blocks, and of all windows of blocks that share an anchor without being equal,
+in the document with the smallest id; it is indexed by anchor and content.
+
+A document is parsed from left to right into factors (source, place in the
+source, length).  At the leftmost window that the reference has from a smaller
+document, a factor starts there and greedily goes on as long as the source's
+next windows are the document's next ones too, across whole blocks and, at
+their edges, window by window.  A factor is thus a window long at least.  Its
+first and last words are then compared, as text, with those of its source, and
+its words become a duplicate span.
 
 The result is exact: no window is sampled, whatever the number of copies.
+Anchors, blocks and windows that very many documents share are spread over
+several tasks.
 """
 
 from __future__ import annotations
@@ -24,13 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import bloom, may_contain, ready, saved
+from .shared import bloom, may_contain, ready, saved, spread_join
 from .textbytes import WordRuns, mix, slices
 
 GRAM = 8
+#: Words of the pieces in which sources are asked for a factor's ends.
+PIECE = 64
 
 
 def _blocks(piece, window: int):
@@ -85,8 +92,8 @@ def _longs(batch, *names: str) -> list[np.ndarray]:
     return [batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in names]
 
 
-def _factors(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, lo, hi): word spans that are covered by windows which a smaller document has too."""
+def _matches(docs: DataFrame, window: int) -> DataFrame:
+    """(doc, lo, n, source, at): the n windows of doc from word lo on are those of a smaller document, the source, from word at on."""
     index = saved(_index(docs, window), "blocks")
     of_anchor = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("block").alias("least"), F.max("block").alias("most"), F.min("doc").alias("first"), F.max("doc").alias("last"))
     shared = saved(of_anchor.filter("m > 1 and first != last").select("anchor", (F.col("least") != F.col("most")).alias("differ")), "anchors")
@@ -96,15 +103,21 @@ def _factors(docs: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(may_contain(bits, *_longs(batch, "anchor"))))
 
+    def first(rows, *keys):
+        return rows.groupBy(*keys).agg(F.min("doc").alias("source"), F.max("doc").alias("last"), F.min_by("lo", "doc").alias("at"), F.count(F.lit(1)).alias("m"))
+
+    def later(rows, firsts, *keys):
+        return spread_join(rows, saved(firsts.filter("source != last").drop("last"), "repeated"), keys, "m", "doc").filter("doc > source")
+
     near = index.mapInArrow(passing, index.schema)
-    firsts = saved(near.groupBy("anchor", "block").agg(F.min("doc").alias("first")), "firsts")
-    copies = near.join(firsts, ["anchor", "block"]).filter("doc > first").select("doc", "lo", (F.col("lo") + F.col("n") + (window - 1)).alias("hi"))
+    firsts = saved(first(near, "anchor", "block"), "firsts")
+    copies = later(near, firsts, "anchor", "block").select("doc", "lo", "n", "source", "at")
 
-    edges = firsts.join(shared.filter("differ").select("anchor"), "anchor", "left_semi").select("anchor", "block", "first")
+    edges = firsts.join(shared.filter("differ").select("anchor"), "anchor", "left_semi").select("anchor", "block", "source")
 
     def keyed(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_key(*_longs(batch, "anchor", "block", "first")))], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(_key(*_longs(batch, "anchor", "block", "source")))], ["key"])
 
     keys = saved(edges.mapInArrow(keyed, "key long"), "edges")
     marked = bloom(keys, "key", keys.count())
@@ -121,29 +134,90 @@ def _factors(docs: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc, n)), pa.array(np.repeat(anchor, n)), pa.array(runs.hashes(one, window).view(np.int64)), pa.array((one - np.repeat(piece.of[row], n)).astype(np.int32))], ["doc", "anchor", "w", "lo"])
 
     looked = docs.mapInArrow(windows, "doc long, anchor long, w long, lo int")
-    found = looked.groupBy("anchor", "w").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first != last").select("anchor", "w", "first")
-    partly = looked.join(found, ["anchor", "w"]).filter("doc > first").select("doc", "lo", (F.col("lo") + window).alias("hi"))
+    partly = later(looked, first(looked, "anchor", "w"), "anchor", "w").select("doc", "lo", F.lit(1).alias("n"), "source", "at")
     return copies.union(partly)
 
 
-def _cut(batch, keep_text: bool) -> Iterator[pa.RecordBatch]:
-    ids, spans = batch.column("doc_id"), batch.column("spans")
+def parse(row: np.ndarray, lo: np.ndarray, n: np.ndarray, source: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(row, lo, length, source, at) of the factors of documents ``row``, each of which goes on while the next match continues it in its source."""
+    by = np.lexsort((lo, row))
+    row, lo, n, source, at = row[by], lo[by], n[by], source[by], at[by]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (source[1:] != source[:-1]) | (at[1:] - at[:-1] != n[:-1]) | (lo[1:] - lo[:-1] != n[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row)) - 1 if len(first) else first
+    return row[first], lo[first], lo[last] + n[last] + (window - 1) - lo[first], source[first], at[first]
+
+
+def factors(docs: DataFrame, window: int = 50) -> DataFrame:
+    """(doc, lo, length, source, at): the words of doc from word lo on are those of a smaller document, the source, from word at on.
+
+    Factors are ``window`` words long at least, and cover exactly the windows
+    that a smaller document has too.  Null ids and texts have none, rows that
+    repeat an id count as one document, an empty table gives no rows.
+    """
+    ready(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    grouped = _matches(docs, window).groupBy("doc").agg(F.collect_list(F.struct("lo", "n", "source", "at")).alias("found"))
+
+    def walked(batches):
+        for batch in batches:
+            found = batch.column("found")
+            row = np.repeat(np.arange(batch.num_rows), found.value_lengths())
+            own, *rest = parse(row, *(x.to_numpy(zero_copy_only=False).astype(np.int64) for x in found.flatten().flatten()), window)
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(own)), *map(pa.array, rest)], ["doc", "lo", "length", "source", "at"])
+
+    return grouped.mapInArrow(walked, "doc long, lo long, length long, source long, at long")
+
+
+def _with_ends(found: DataFrame, docs: DataFrame, gram: int) -> DataFrame:
+    """(doc, lo, hi, head, tail): factors with the first and the last ``gram`` words of their sources."""
+    found = saved(found, "factors")
+    sources = saved(found.select("source").distinct(), "sources")
+    bits = bloom(sources, "source", sources.count())
+
+    def cut(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(may_contain(bits, *_longs(batch, "doc_id"))))
+            for piece in slices(batch.column("text")):
+                piece.find_words()
+                data, out = piece.data.tobytes(), {"of": [], "piece": [], "words": []}
+                words = [data[i:j] for i, j in zip(piece.starts.tolist(), piece.ends.tolist())]
+                for k, (a, b) in enumerate(zip(piece.of[:-1].tolist(), piece.of[1:].tolist())):
+                    for at in range(a, b, PIECE):
+                        out["of"].append(piece.first + k)
+                        out["piece"].append((at - a) // PIECE)
+                        out["words"].append(b" ".join(words[at : min(at + PIECE + gram - 1, b)]).decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(out["of"], pa.int64())), pa.array(out["piece"], pa.int64()), pa.array(out["words"], pa.string())], ["source", "piece", "words"])
+
+    pieces = docs.mapInArrow(cut, "source long, piece long, words string")
+    for name, at in (("head", F.col("at")), ("tail", F.col("at") + F.col("length") - gram)):
+        words = F.array_join(F.slice(F.split("words", " "), (at % PIECE).cast("int") + 1, gram), " ")
+        found = found.withColumn("piece", F.floor(at / PIECE)).join(pieces, ["source", "piece"]).select(*found.columns, words.alias(name))
+    return found.select("doc", "lo", (F.col("lo") + F.col("length")).alias("hi"), "head", "tail")
+
+
+def _cut(batch, gram: int, digest: bool) -> Iterator[pa.RecordBatch]:
+    rows, spans = batch.column("row"), batch.column("spans")
     for piece in slices(batch.column("text")):
         piece.find_words()
         gone = np.zeros(len(piece.starts) + 1, np.int64)
-        own = spans.slice(piece.first, len(piece))
-        many = np.array(own.value_lengths().fill_null(0))
-        lo, hi = (x.to_numpy() for x in own.flatten().flatten())
-        at, most = np.repeat(piece.of[:-1], many), np.repeat(piece.of[1:], many)
-        np.add.at(gone, np.minimum(lo + at, most), 1)
-        np.add.at(gone, np.minimum(hi + at, most), -1)
-        gone = np.cumsum(gone)[:-1] > 0
         data, out, removed = piece.data.tobytes(), [], []
+        starts, ends = piece.starts.tolist(), piece.ends.tolist()
+        for k, own in enumerate(spans.slice(piece.first, len(piece)).to_pylist()):
+            a, b = int(piece.of[k]), int(piece.of[k + 1])
+            for s in own or ():
+                lo, hi = a + s["lo"], a + s["hi"]
+                # Only what its source's own words confirm at both ends is a factor.
+                if hi <= b and all(b" ".join(data[i:j] for i, j in zip(starts[at : at + gram], ends[at : at + gram])) == s[end].encode() for at, end in ((lo, "head"), (hi - gram, "tail"))):
+                    gone[lo] += 1
+                    gone[hi] -= 1
+        gone = np.cumsum(gone)[:-1] > 0
         for k in range(len(piece)):
             a, b = piece.of[k], piece.of[k + 1]
             own = gone[a:b]
             removed.append(int(own.sum()))
-            if keep_text:
+            if not digest:
                 text = data[piece.bounds[k] : piece.bounds[k + 1]]
                 if removed[-1]:
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
@@ -157,7 +231,22 @@ def _cut(batch, keep_text: bool) -> Iterator[pa.RecordBatch]:
             else:
                 left = np.flatnonzero(~own) + a
                 out.append(hashlib.sha256(b" ".join(data[i:j] for i, j in zip(piece.starts[left].tolist(), piece.ends[left].tolist()))).hexdigest())
-        yield pa.RecordBatch.from_arrays([ids.slice(piece.first, len(piece)), pa.array(np.diff(piece.of), pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([rows.slice(piece.first, len(piece)), pa.array(np.diff(piece.of), pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], ["row", "n_words", "n_removed", "kept"])
+
+
+def _removed(docs: DataFrame, row: Column, window: int, digest: bool) -> DataFrame:
+    """row, n_words, n_removed and kept for every row of ``docs``, in whose place ``row`` stands."""
+    ready(docs.sparkSession)
+    gram = min(GRAM, window)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    spans = _with_ends(factors(texts, window), texts, gram).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "head", "tail")).alias("spans"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", row.alias("row")).join(spans, F.col("_id") == F.col("doc"), "left").select("row", "text", "spans")
+
+    def cut(batches):
+        for batch in batches:
+            yield from _cut(batch, gram, digest)
+
+    return rows.mapInArrow(cut, T.StructType([rows.schema["row"], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")), T.StructField("kept", T.StringType())]))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, digest: bool = False) -> DataFrame:
@@ -172,31 +261,24 @@ def remove_repeats(docs: DataFrame, window: int = 50, digest: bool = False) -> D
     A null text has no words and an empty ``kept``.  Documents shorter than a
     window, and rows with a null doc_id, keep every word and lend none.  Rows
     that repeat a doc_id are one document here: none removes the other's
-    words, and what is removed from one is removed at the same places of all.
-    Other columns are ignored; an empty table gives no rows.
+    words, and what is found in one is removed from all that have the same
+    words at the same place's ends.  Other columns are ignored; an empty table
+    gives no rows.
     """
-    ready(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = _factors(docs.filter("doc_id is not null and text is not null"), window)
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    rows = docs.join(spans, docs.doc_id == spans.doc, "left").select("doc_id", "text", "spans")
-
-    def cut(batches):
-        for batch in batches:
-            yield from _cut(batch, not digest)
-
-    return rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    out = _removed(docs, F.col("doc_id").cast("long"), window, digest)
+    return out.withColumnRenamed("row", "doc_id")
 
 
 def cut_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """``docs`` with repeated passages cut from ``text`` and ``n_chars`` set anew where it is a column.
 
     Documents that lose every word go; those that lose none are unchanged, a
-    null text included.  doc_id must be unique, as in a corpus it is; rows with
-    a null doc_id are kept as they are.
+    null text included.  Rows that repeat a doc_id keep each what is left of
+    its own text; rows with a null doc_id are kept as they are.
     """
-    cut = remove_repeats(docs, window).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("n_words").alias("_words"), F.col("n_removed").alias("_removed"), F.col("kept").alias("_kept")).dropDuplicates(["_id"])
-    rows = docs.join(cut, docs.doc_id == F.col("_id"), "left").filter("_id is null or _removed < _words")
-    text = F.coalesce("_kept", docs["text"])
-    new = {"text": text, "n_chars": F.when(F.col("_id").isNull(), docs["n_chars"]).otherwise(F.length(text).cast("long"))} if "n_chars" in docs.columns else {"text": text}
-    return rows.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))
+    cut = _removed(docs, F.struct(*(docs[c] for c in docs.columns)), window, False).filter("n_removed = 0 or n_removed < n_words")
+    touched = F.col("n_removed") > 0
+    new = {"text": F.when(touched, F.col("kept")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(touched, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))
+    return cut.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

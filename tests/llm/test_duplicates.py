@@ -2,10 +2,12 @@
 
 import hashlib
 import itertools
+from unittest import mock
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from axisframe.llm import near_dedup, substring_dedup
+from axisframe.llm import near_dedup, shared, substring_dedup
 from axisframe.llm.components import connected_components
 
 from .conftest import DOCS, corpus, words
@@ -117,6 +119,51 @@ def test_cut_repeats_keeps_columns_and_clean_rows(spark, docs, none):
     assert substring_dedup.cut_repeats(null).count() == 2
 
 
+def test_factors_are_walked_greedily(spark, docs, rows):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(120)) for x in "abc")
+    own = [(1, f"{a} {b}"), (2, f"x y {c}"), (3, f"{a} {b} z {c} {a}"), (4, "q " + " ".join(c.split()[10:70]) + " " + " ".join(a.split()[:49]))]
+    got = sorted(tuple(r) for r in substring_dedup.factors(spark.createDataFrame(own, "doc_id long, text string")).collect())
+    assert got == [(3, 0, 240, 1, 0), (3, 241, 120, 2, 2), (3, 361, 120, 1, 0), (4, 1, 60, 2, 12)]
+    # Factors say what they claim, and cover exactly the windows that a smaller document has.
+    texts, covered = {d: words(t) for d, t in rows}, {d: set() for d, _ in rows}
+    for r in substring_dedup.factors(docs).collect():
+        assert r["source"] < r["doc"] and r["length"] >= 50
+        assert texts[r["doc"]][r["lo"] : r["lo"] + r["length"]] == texts[r["source"]][r["at"] : r["at"] + r["length"]]
+        covered[r["doc"]] |= set(range(r["lo"], r["lo"] + r["length"]))
+    want = repeats_by_hand(rows, 50)
+    assert all(len(covered[d]) == want[d][1] for d in covered)
+
+
+def test_parse_breaks_where_the_source_does():
+    n = np.array
+    got = substring_dedup.parse(n([0, 0, 0, 0, 1]), n([22, 0, 40, 60, 60]), n([18, 22, 5, 2, 1]), n([7, 7, 7, 8, 8]), n([122, 100, 140, 3, 3]), 50)
+    assert [tuple(int(v) for v in x) for x in zip(*got)] == [(0, 0, 94, 7, 100), (0, 60, 51, 8, 3), (1, 60, 50, 8, 3)]
+
+
+def test_ends_that_differ_are_no_factor(spark):
+    """A match that its source's words don't confirm, as by a collision of hashes, removes nothing."""
+    rows = [(1, " ".join(f"a{k}" for k in range(60))), (2, " ".join(f"a{k}" for k in range(60))), (3, " ".join(f"b{k}" for k in range(60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    false = spark.createDataFrame([(2, 0, 60, 1, 0), (3, 0, 60, 1, 0)], "doc long, lo long, length long, source long, at long")
+    with mock.patch.object(substring_dedup, "factors", lambda docs, window: false):
+        assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()} == {1: 0, 2: 60, 3: 0}
+
+
+def test_rows_that_repeat_an_id_keep_their_own_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (2, f"one {a}"), (2, f"two {a}"), (2, b), (2, b)]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], DOCS)
+    assert sorted(r["text"].split()[0] for r in substring_dedup.cut_repeats(df).collect()) == ["a0", "b0", "b0", "one", "two"]
+
+
+def test_hot_keys_are_spread(spark):
+    rows = spark.range(5000).select((F.col("id") % 7 * (F.col("id") % 2)).alias("k"), F.col("id").alias("v"))
+    firsts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("least"))
+    got = shared.spread_join(rows, firsts, ("k",), "m", "v")
+    assert got.count() == 5000 and got.join(rows, ["k", "v"]).count() == 5000 and got.filter("least > v").count() == 0
+    assert got.select("k", "least").distinct().count() == 7
+
+
 def test_growth_of_shared_passages(spark):
     """Many documents around one passage: every later one loses it, whatever stands around it."""
     passage = " ".join(f"p{k}" for k in range(64))

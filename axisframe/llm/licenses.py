@@ -1,11 +1,12 @@
 """Licence scans by sentence rules, in DataFrame functions alone.
 
-A text is cut into sentences at sentence ends and blank lines, and into lines;
-both are normalised to lower-case letters and digits with single blanks.
+Comment signs and list numbers are taken from the starts of lines.  A text is
+then cut into sentences at sentence ends and blank lines, and into lines; both
+are normalised to lower-case letters and digits with single blanks.
 Known licence sentences have identifiers.  The identifiers of a document's
 sentences, in their order and without the unknown ones between them, are
-matched against rules: sequences of identifiers that name a licence.  One-line
-notices are rules of one identifier and are looked up among the lines.
+matched against rules: sequences of identifiers that name a licence.  Short
+notices are rules of one identifier and are looked up among the lines as well.
 """
 
 from __future__ import annotations
@@ -38,6 +39,25 @@ SENTENCES = {
     "mpl-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "unlicense-free": "This is free and unencumbered software released into the public domain.",
+    "gpl-2-only-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl-classpath": "As a special exception, the copyright holders of this library give you permission to link this library with independent modules to produce an executable, regardless of the license terms of these independent modules, and to copy and distribute the resulting executable under terms of your choice, provided that you also meet, for each linked independent module, the terms and conditions of the license of that module.",
+    "lgpl-2-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-2-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-see": "See the GNU Lesser General Public License for more details.",
+    "agpl-3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-see": "See the GNU Affero General Public License for more details.",
+    "epl-2-available": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "epl-1-available": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "bsl-distributed": "Distributed under the Boost Software License, Version 1.0.",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liable": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "zlib-notice": "This notice may not be removed or altered from any source distribution.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "artistic-2-terms": "This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed.",
+    "wtfpl-copies": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "cc0-dedicated": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
     "line-mit": "Released under the MIT License.",
     "line-mit-licensed": "Licensed under the MIT License.",
     "line-mit-spdx": "SPDX-License-Identifier: MIT",
@@ -58,6 +78,16 @@ SENTENCES = {
     "line-cc0": "Released under CC0 1.0.",
 }
 
+# Identifiers of the public licence list that notices may name, and the terms of Creative Commons licences.
+IDENTIFIERS = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0 WITH LLVM-exception", "Artistic-2.0", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "EPL-1.0", "EPL-2.0",
+    "GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0-or-later", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "Unlicense", "WTFPL", "Zlib",
+)
+COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_SPDX = {f"line-spdx-{x.lower().replace(' ', '-')}": x for x in IDENTIFIERS}
+_COMMONS = {f"line-commons-{k.lower()}-{version}": (f"CC-{k}-{version}", f"This work is licensed under a Creative Commons {terms} {version} International License.") for k, terms in COMMONS.items() for version in ("4.0",)}
+SENTENCES |= {k: f"SPDX-License-Identifier: {x}" for k, x in _SPDX.items()} | {k: text for k, (_, text) in _COMMONS.items()}
+
 #: (rule, licence, identifiers in their order)
 RULES = [
     ("mit-text", "MIT", ("mit-grant", "mit-notice", "mit-as-is")),
@@ -71,6 +101,23 @@ RULES = [
     ("gpl-3-header", "GPL-3.0-or-later", ("gpl-3-free", "gpl-hope", "gpl-see")),
     ("mpl-header", "MPL-2.0", ("mpl-subject", "mpl-copy")),
     ("unlicense-text", "Unlicense", ("unlicense-free",)),
+    ("gpl-2-only-header", "GPL-2.0-only", ("gpl-2-only-free", "gpl-hope", "gpl-see")),
+    ("gpl-2-classpath-header", "GPL-2.0-or-later WITH Classpath-exception-2.0", ("gpl-2-free", "gpl-hope", "gpl-see", "gpl-classpath")),
+    ("gpl-2-only-classpath-header", "GPL-2.0-only WITH Classpath-exception-2.0", ("gpl-2-only-free", "gpl-hope", "gpl-see", "gpl-classpath")),
+    ("lgpl-2-header", "LGPL-2.1-or-later", ("lgpl-2-free", "lgpl-2-hope", "lgpl-see")),
+    ("lgpl-3-header", "LGPL-3.0-or-later", ("lgpl-3-free", "gpl-hope", "lgpl-see")),
+    ("agpl-3-header", "AGPL-3.0-or-later", ("agpl-3-free", "gpl-hope", "agpl-see")),
+    ("epl-2-header", "EPL-2.0", ("epl-2-available",)),
+    ("epl-1-header", "EPL-1.0", ("epl-1-available",)),
+    ("bsl-notice", "BSL-1.0", ("bsl-distributed",)),
+    ("zlib-text", "Zlib", ("zlib-as-is", "zlib-liable", "zlib-grant", "zlib-notice")),
+    ("zlib-no-restrictions", "Zlib", ("zlib-as-is", "zlib-liable", "zlib-grant")),
+    ("0bsd-text", "0BSD", ("0bsd-grant", "isc-as-is")),
+    ("artistic-2-text", "Artistic-2.0", ("artistic-2-terms",)),
+    ("wtfpl-text", "WTFPL", ("wtfpl-copies",)),
+    ("cc0-text", "CC0-1.0", ("cc0-dedicated",)),
+    *((name, licence, (name,)) for name, licence in _SPDX.items()),
+    *((name, licence, (name,)) for name, (licence, _) in _COMMONS.items()),
     *(
         (name, licence, (name,))
         for name, licence in {
@@ -84,8 +131,10 @@ RULES = [
 #: Every rule has a sentence with one of these, so texts without any need no cutting.
 KEYWORDS = ("licen", "permi", "softw", "redis", "liabl", "cc0", "cc by")
 
-#: A blank line or a line that ends with a colon; a sentence's end before what may start another.
-_BREAK, _END = r":?[ \t]*\r?\n[ \t]*\r?\n|:[ \t]*\r?\n", r"([.!?])[ \t\r\n]+([A-Z(*\"])"
+#: Comment signs and list numbers at a line's start.
+_LEAD = r"(?m)^[ \t#/*;%>!<-]*(?:[(]?[0-9a-z]{1,2}[.)][ \t]+)?"
+#: A blank line or a line that ends with a colon; a sentence's end before what may start another, a digit or a comment sign included if a word comes before.
+_BREAK, _END, _END_OF_WORD = r":?[ \t]*\r?\n[ \t]*\r?\n|:[ \t]*\r?\n", r"([.!?])[ \t\r\n]+([A-Z(*\"])", r"([a-z]{2}[.!?:])[ \t\r\n]+([0-9#/<])"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -103,7 +152,9 @@ def _normal(c: Column) -> Column:
 
 def _cut(text: Column) -> Column:
     """(place, line, sentence) of all sentences and lines, normalised; line tells which of the two it is."""
-    whole = F.regexp_replace(F.regexp_replace(text, _BREAK, "\u0001"), _END, "$1\u0001$2")
+    # Lines end at line feeds alone, and loops give nothing back.
+    text = F.regexp_replace(text, _LEAD.replace("(?m)", "(?md)").replace("]*(", "]*+(").replace(")?", ")?+"), "")
+    whole = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _BREAK, "\u0001"), _END_OF_WORD, "$1\u0001$2"), _END, "$1\u0001$2")
     part = lambda c, sep, line: F.transform(F.split(c, sep), lambda x, i: F.struct(i.alias("place"), F.lit(line).alias("line"), _normal(x).alias("sentence")))
     return F.concat(part(whole, "\u0001", False), part(text, "\n", True))
 
@@ -111,24 +162,26 @@ def _cut(text: Column) -> Column:
 def licences(docs: DataFrame) -> DataFrame:
     """A row for every document and rule that matches it: doc_id, licence, rule, n_sentences and place.
 
-    ``place`` is the number, from 0, of the first line (for one-line notices)
-    or sentence at which the rule's sequence starts.  Null and empty texts
-    match nothing; rows with a null doc_id are ignored; rows that repeat a
-    doc_id and text count once.  Other columns are ignored; an empty table
-    gives no rows.
+    ``place`` is the number, from 0, of the first line (for notices that are a
+    line of their own) or else sentence at which the rule's sequence starts.
+    Null and empty texts match nothing; rows with a null doc_id are ignored;
+    rows that repeat a doc_id are one document, and count once if they are
+    equal.  Whole texts count.  Other columns are ignored; an empty table gives
+    no rows.
     """
     spark = docs.sparkSession
     known = F.broadcast(spark.createDataFrame([(normalised(s), k, k.startswith("line-")) for k, s in SENTENCES.items()], "sentence string, name string, line boolean"))
     rules = F.broadcast(spark.createDataFrame([(name, licence, list(ids), ids[0], len(ids)) for name, licence, ids in RULES], "rule string, licence string, ids array<string>, first string, n_sentences long"))
     some = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike(f"(?i){'|'.join(KEYWORDS)}"))
-    found = some.select("doc_id", F.explode(_cut(F.col("text"))).alias("s")).select("doc_id", "s.*").filter(F.length("sentence") > 0).join(known, ["sentence", "line"]).select("doc_id", "line", "place", "name").distinct()
+    found = some.select("doc_id", F.explode(_cut(F.col("text"))).alias("s")).select("doc_id", "s.*").filter(F.length("sentence") > 0).join(known.withColumnRenamed("line", "short"), "sentence").filter("short or not line").select("doc_id", "line", "place", "name").distinct()
     # As many rows as a document has known sentences at different places.
     sequence = found.groupBy("doc_id", "line").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("seen"))
     at = F.filter(F.sequence(F.lit(0), F.size("seen") - F.size("ids")), lambda k: F.transform(F.slice("seen", k + 1, F.size("ids")), lambda x: x["name"]) == F.col("ids"))
     names = F.array_distinct(F.transform("seen", lambda x: x["name"]))
-    starts = sequence.select("doc_id", "seen", F.explode(names).alias("first")).join(rules, "first").filter(F.size("seen") >= F.size("ids"))
-    starts = starts.select("doc_id", "licence", "rule", "n_sentences", F.get("seen", F.get(at, F.lit(0)))["place"].cast("long").alias("place"))
-    return starts.filter("place is not null")
+    starts = sequence.select("doc_id", "line", "seen", F.explode(names).alias("first")).join(rules, "first").filter(F.size("seen") >= F.size("ids"))
+    starts = starts.select("doc_id", "line", "licence", "rule", "n_sentences", F.get("seen", F.get(at, F.lit(0)))["place"].cast("long").alias("place")).filter("place is not null")
+    first = F.min(F.struct((~F.col("line")).alias("sentence"), "place"))["place"]
+    return starts.groupBy("doc_id", "licence", "rule", "n_sentences").agg(first.alias("place"))
 
 
 def oracle() -> str:
@@ -138,14 +191,14 @@ def oracle() -> str:
     rules = ", ".join(f"({text(n)}, {text(x)}, [{', '.join(map(text, ids))}])" for n, x, ids in RULES)
     return f"""
 WITH known(sentence, name, line) AS (VALUES {known}), rules(rule, licence, ids) AS (VALUES {rules}),
-d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, regexp_replace(text, '{_LEAD}', '', 'g') AS text FROM documents WHERE text IS NOT NULL),
 p AS (
-  SELECT doc_id, false AS line, string_split(regexp_replace(regexp_replace(text, '{_BREAK}', chr(1), 'g'), '{_END}', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS parts FROM d
+  SELECT doc_id, false AS line, string_split(regexp_replace(regexp_replace(regexp_replace(text, '{_BREAK}', chr(1), 'g'), '{_END_OF_WORD}', '\\1' || chr(1) || '\\2', 'g'), '{_END}', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS parts FROM d
   UNION ALL SELECT doc_id, true, string_split(text, chr(10)) FROM d
 ),
 s AS (SELECT doc_id, line, generate_subscripts(parts, 1) - 1 AS place, trim(regexp_replace(translate(unnest(parts), '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM p),
-f AS (SELECT DISTINCT doc_id, s.line, place, name FROM s JOIN known ON known.sentence = s.sentence AND known.line = s.line),
+f AS (SELECT DISTINCT doc_id, s.line, place, name FROM s JOIN known ON known.sentence = s.sentence AND (known.line OR NOT s.line)),
 n AS (SELECT doc_id, line, place, name, row_number() OVER (PARTITION BY doc_id, line ORDER BY place) AS k FROM f),
 q AS (SELECT doc_id, line, list(name ORDER BY k) AS names, list(place ORDER BY k) AS places FROM n GROUP BY doc_id, line),
-m AS (SELECT n.doc_id, rule, licence, ids, place FROM n JOIN q ON q.doc_id = n.doc_id AND q.line = n.line JOIN rules ON ids[1] = name WHERE names[k : k + len(ids) - 1] = ids)
-SELECT doc_id, licence, rule, CAST(len(any_value(ids)) AS BIGINT) AS n_sentences, CAST(min(place) AS BIGINT) AS place FROM m GROUP BY doc_id, licence, rule"""
+m AS (SELECT n.doc_id, n.line, rule, licence, ids, place FROM n JOIN q ON q.doc_id = n.doc_id AND q.line = n.line JOIN rules ON ids[1] = name WHERE names[k : k + len(ids) - 1] = ids)
+SELECT doc_id, licence, rule, CAST(len(any_value(ids)) AS BIGINT) AS n_sentences, CAST(coalesce(min(place) FILTER (line), min(place)) AS BIGINT) AS place FROM m GROUP BY doc_id, licence, rule"""

@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, ready, saved, small_side
+from .shared import new_path, ready, saved, small_side, spread_join
 
-#: Rows of one archive at most; a file is read whole by one task.
-CAPTURES_PER_FILE = 2_000
+#: Bytes of payload of one archive at most, but for a single longer one, as a file is read whole by one task; and what makes a payload long.
+FILE_BYTES, LONG_BYTES = 1 << 27, 1 << 17
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -42,35 +42,43 @@ def _record(kind: Column | str, record: Column, content: str, block: Column, *mo
 
 
 def deduplicated(pages: DataFrame) -> DataFrame:
-    """The captures with sha1, payload, record id and, for all but the largest page_id of equal payloads, the id of the response they revisit."""
+    """The captures with their record's name, payload, sha1 and size, and for all but the largest page_id of equal payloads, the page_id and the name of the response they revisit.
+
+    A name is the page_id and a hash of url and payload, so that rows that
+    repeat a page_id are told apart unless they are equal.
+    """
     payload = F.coalesce("html", F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha1(payload.cast("binary")).alias("sha1")).withColumn("size", F.octet_length("payload"))
-    of = own.groupBy("sha1", "size").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n"))
+    about = F.sha1(F.concat_ws("|", F.coalesce(F.col("url").isNotNull().cast("string")), F.coalesce("url", F.lit("")), "sha1").cast("binary"))
+    own = own.withColumn("name", F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.substring(about, 1, 16)))
+    of = own.filter("page_id is not null").groupBy("sha1", "size").agg(F.max(F.struct("page_id", "name")).alias("response"), F.count(F.lit(1)).alias("n"))
     # Only payloads that are there more than once have anything to say.
-    of = saved(of.filter("n > 1 and response_id is not null").drop("n"), "repeated-payloads")
+    of = saved(of.filter("n > 1").select("sha1", "size", F.col("response.page_id").alias("response_id"), F.col("response.name").alias("response_name")), "repeated-payloads")
     return own.join(small_side(of), ["sha1", "size"], "left")
 
 
 def write(pages: DataFrame) -> str:
     """Writes the archives of ``pages`` (page_id, url, html) and returns their folder."""
     spark, path = ready(pages.sparkSession), new_path(pages.sparkSession, "warc")
-    urn = lambda kind, page: F.concat(F.lit("<urn:x-capture:"), F.lit(f"{kind}:"), F.coalesce(page.cast("string"), F.concat(F.lit("null-"), F.sha1(F.concat_ws("|", F.coalesce("url", F.lit("")), "sha1").cast("binary")))), F.lit(">"))
+    urn = lambda kind, name: F.concat(F.lit(f"<urn:x-capture:{kind}:"), F.col(name), F.lit(">"))
     revisit = F.coalesce(F.col("page_id") < F.col("response_id"), F.lit(False))
     kept = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"), kept)
     uri = _uri(F.coalesce("url", F.lit("urn:x-none")))
-    target, together = F.concat(F.lit("WARC-Target-URI: "), uri), F.concat(F.lit("WARC-Concurrent-To: "), urn("response", F.col("page_id")))
+    target, together = F.concat(F.lit("WARC-Target-URI: "), uri), F.concat(F.lit("WARC-Concurrent-To: "), urn("response", "name"))
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32(F.col("sha1")))
-    refers = [F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), urn("response", F.col("response_id")))), F.when(revisit, F.lit(f"WARC-Profile: {_PROFILE}"))]
+    refers = [F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), urn("response", "response_name"))), F.when(revisit, F.lit(f"WARC-Profile: {_PROFILE}"))]
     get = F.concat(F.lit("GET "), uri, F.lit(" HTTP/1.1\r\n\r\n"))
     about = F.concat_ws("\r\n", F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))), F.concat(F.lit("hasUrl: "), F.col("url").isNotNull().cast("string")), F.lit(""))
     records = F.array(
-        _record("request", urn("request", F.col("page_id")), "application/http; msgtype=request", get, target, together),
-        _record(F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), urn("response", F.col("page_id")), "application/http; msgtype=response", http, target, digest, *refers),
-        _record("metadata", urn("metadata", F.col("page_id")), "application/warc-fields", about, target, together),
+        _record("request", urn("request", "name"), "application/http; msgtype=request", get, target, together),
+        _record(F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), urn("response", "name"), "application/http; msgtype=response", http, target, digest, *refers),
+        _record("metadata", urn("metadata", "name"), "application/warc-fields", about, target, together),
     )
-    rows = deduplicated(pages).select(F.explode(records).alias("record"))
-    rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 3 * CAPTURES_PER_FILE).option("compression", "gzip").text(path)
+    most = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    for part, size in (("short", LONG_BYTES), ("long", most)) if most > LONG_BYTES else (("short", LONG_BYTES),):
+        rows = deduplicated(pages).filter(F.col("size") > LONG_BYTES if part == "long" else F.col("size") <= LONG_BYTES).select(F.explode(records).alias("record"))
+        rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 3 * max(1, FILE_BYTES // size)).option("compression", "gzip").text(f"{path}/{part}")
     return path
 
 
@@ -107,34 +115,36 @@ def _plain(data: bytes) -> bytes:
     return b"".join(out) if out else data
 
 
-def _verify(fields: list, block: bytes) -> None:
-    """Raises if a response's payload isn't the one that its digest was taken of."""
-    if fields[0] == "response" and fields[4]:
-        payload = block[block.index(b"\r\n\r\n") + 4 :]
-        if base64.b32encode(hashlib.sha1(payload).digest()).decode() != fields[4].removeprefix("sha1:"):
-            raise ValueError(f"the payload of {fields[1]} doesn't match its digest")
+def _payload_bytes(fields: list, block: bytes) -> int | None:
+    """How many bytes of payload a response has; raises if they aren't those that its digest was taken of."""
+    if fields[0] != "response":
+        return None
+    payload = block[block.index(b"\r\n\r\n") + 4 :]
+    if fields[4] and base64.b32encode(hashlib.sha1(payload).digest()).decode() != fields[4].removeprefix("sha1:"):
+        raise ValueError(f"the payload of {fields[1]} doesn't match its digest")
+    return len(payload)
 
 
 def read(spark, path: str) -> DataFrame:
-    """A row per record of the archives: the header's fields and the block."""
+    """A row per record of the archives: the header's fields, the block, and how many bytes of payload it has if it is a response."""
 
     def made(batches):
-        schema = pa.schema([*((x, pa.string()) for x in _FIELDS), ("block", pa.binary())])
+        schema = pa.schema([*((x, pa.string()) for x in _FIELDS), ("payload_bytes", pa.int64()), ("block", pa.binary())])
         for batch in batches:
             for data in batch.column(0):
-                rows: list = [[] for _ in range(7)]
+                rows: list = [[] for _ in schema]
                 size = 0
                 for fields, block in records(_plain(data.as_py())):
-                    _verify(fields, block)
-                    for own, v in zip(rows, (*fields, block)):
+                    for own, v in zip(rows, (*fields, _payload_bytes(fields, block), block)):
                         own.append(v)
                     size += len(block)
                     if size > 1 << 22:
                         yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, schema)], schema=schema)
-                        rows, size = [[] for _ in range(7)], 0
+                        rows, size = [[] for _ in schema], 0
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, schema)], schema=schema)
 
-    return ready(spark).read.format("binaryFile").load(path).select("content").mapInArrow(made, ", ".join(f"{x} string" for x in _FIELDS) + ", block binary")
+    files = ready(spark).read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("content").mapInArrow(made, ", ".join(f"{x} string" for x in _FIELDS) + ", payload_bytes long, block binary")
 
 
 def _http(block: Column) -> tuple[Column, Column]:
@@ -144,46 +154,50 @@ def _http(block: Column) -> tuple[Column, Column]:
 
 
 def transactions(archive: DataFrame) -> DataFrame:
-    """One row per capture: capture_id, target_uri, and nested request, response and metadata.
+    """One row per capture: capture_id, target_uri, copies, and nested request, response and metadata.
 
     Records are joined by the id they are concurrent to (a response by its
     own).  A capture without one of the records has nulls there.  Records
-    that are exact repeats count once; records without an id go.
+    that repeat an id count once, and ``copies`` tells how often a response
+    does; records without an id go.
     """
     key = F.coalesce("concurrent_to", "record_id")
     head, body = _http(F.col("block"))
     kind = F.col("warc_type")
     side = lambda k, value: F.max(F.when(kind.isin(*k), value))
-    answer = F.struct("record_id", F.col("warc_type").alias("type"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "refers_to", head.alias("http_header"))
+    answer = F.struct("record_id", F.col("warc_type").alias("type"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "refers_to", head.alias("http_header"), "payload_bytes")
     rows = archive.filter(key.isNotNull()).groupBy(key.alias("capture_id")).agg(
         F.max("target_uri").alias("target_uri"),
+        F.count(F.when(kind.isin("response", "revisit"), 1)).alias("copies"),
         side(["request"], F.struct("record_id", head.alias("http_header"))).alias("request"),
         side(["response", "revisit"], answer).alias("answer"),
         # Apart from the rest, so that who doesn't ask for payloads doesn't move them.
         side(["response", "revisit"], body).alias("payload"),
         side(["metadata"], F.struct("record_id", F.decode("block", "UTF-8").alias("fields"))).alias("metadata"),
     )
-    response = F.struct(*(F.col("answer")[c].alias(c) for c in ("record_id", "type", "payload_digest", "refers_to", "http_header")), "payload")
-    return rows.select("capture_id", "target_uri", "request", response.alias("response"), "metadata")
+    response = F.struct(*(F.col("answer")[c].alias(c) for c in ("record_id", "type", "payload_digest", "refers_to", "http_header", "payload_bytes")), "payload")
+    return rows.select("capture_id", "target_uri", "copies", "request", response.alias("response"), "metadata")
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to, all from archives written and read back.
+    """page_id, payload_bytes, payload_digest, record_type and refers_to for every row of ``pages``, all from archives written and read back.
 
     Of equal payloads the largest page_id is the response and the others
-    revisit it.  A null html is an empty payload, a null url has no target.
-    A row with a null page_id is always a response, unless only such rows have
-    its payload, in which case they all are; rows equal in page_id, or with a
-    null page_id in url and html, are one capture.  An empty table gives no
-    rows.  Other columns are ignored.
+    revisit it; a revisit's payload is that of the response it refers to.  A
+    null html is an empty payload, a null url has no target.  A row with a
+    null page_id is always a response.  Rows that repeat a page_id are
+    captures of their own, equal ones too.  An empty table gives no rows.
+    Other columns are ignored.
     """
     table = transactions(read(pages.sparkSession, write(pages)))
     # An empty match isn't a number.
     number = lambda c, pattern: F.regexp_extract(c, pattern, 1).try_cast("long")
-    return table.select(
-        number("metadata.fields", r"pageId: (\S+)").alias("page_id"),
-        number("response.http_header", r"Content-Length: (\d+)").alias("payload_bytes"),
-        F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.type").alias("record_type"),
-        number("response.refers_to", r":(\d+)>$").alias("refers_to"),
-    )
+    copy = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
+    answer = ["record_id", "type", "payload_digest", "refers_to", "payload_bytes"]
+    table = saved(table.filter("copies > 0").select(number("metadata.fields", r"pageId: (\S+)").alias("page_id"), copy, *(F.col(f"response.{c}").alias(c) for c in answer)), "captures")
+    revisits = table.filter("type = 'revisit'").drop("payload_bytes")
+    asked = revisits.groupBy("refers_to").agg(F.count(F.lit(1)).alias("n"))
+    found = asked.join(table.filter("type = 'response' and copy = 1").select(F.col("record_id").alias("refers_to"), "payload_bytes"), "refers_to")
+    revisits = spread_join(revisits, found, ("refers_to",), "n", "page_id")
+    of = lambda rows, refers: rows.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), refers.alias("refers_to"))
+    return of(table.filter("type = 'response'"), F.lit(None).cast("long")).union(of(revisits, number("refers_to", r":(-?\d+):[0-9a-f]+>$")))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fraction_filter, ready
+from .shared import ready, saved, small_side
 from .textbytes import LETTERS, LOWER, slices
 
 BITS, DIM, SIZES = 15, 16, (2, 3, 4)
@@ -120,13 +120,10 @@ def train(labelled: DataFrame, per_language: int = 600, epochs: int = 6, rate: f
     """
     ready(labelled.sparkSession)
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return None
-    pick = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        pick = pick | ((F.col("lang") == lang) & fraction_filter("doc_id", per_language / n))
-    rows = [r for r in _sampled(labelled.filter(pick)) if len(r[1])]
+    counts = saved(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    least = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("n") < F.lit(per_language << 20)
+    picked = labelled.join(small_side(counts), "lang").filter(least)
+    rows = [r for r in _sampled(picked) if len(r[1])]
     langs = sorted({r[0] for r in rows})
     if not langs:
         return None

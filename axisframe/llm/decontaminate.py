@@ -133,7 +133,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = LEAST_SHAR
     hits = seen.select("doc_id", F.col("w.at").alias("at"), F.col("w.key").alias("key")).join(small_side(sides.drop("filled")), "key")
     hits = saved(hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
 
-    pairs = own.join(small_side(hits), "doc_id").join(small_side(bench), "item_id")
+    # An array's word and its bookkeeping take about 40 bytes.
+    pairs = own.join(small_side(hits), "doc_id").join(small_side(bench, size=120 * F.size("bt")), "item_id")
     pairs = pairs.select("doc_id", "item_id", "shift", "bt", "bv", tokens(F.col("text")).alias("t"), slots(F.col("text")).alias("v"))
     places = F.filter(F.sequence(F.lit(0), F.size("bt") - 1), lambda k: (k + F.col("shift") >= 0) & (F.get("bt", k) == F.get("t", F.greatest(k + F.col("shift"), F.lit(0)))))
     pairs = pairs.withColumn("places", places)

@@ -89,13 +89,14 @@ class Slice:
         self.of = np.searchsorted(self.starts, self.bounds)
         return self
 
-    def word_hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, with A-Z lower-cased if asked for."""
+    def word_hashes(self, lower: bool = False, most: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's bytes (its first ``most`` ones), with A-Z lower-cased if asked for."""
         data = LOWER[self.data] if lower else self.data
         up, down = _byte_powers.upto(len(data) + 1)
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        ends = self.ends if most is None else np.minimum(self.ends, self.starts + most)
+        return mix((total[ends] - total[self.starts]) * down[self.starts])
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), np.diff(self.of))

@@ -1,6 +1,7 @@
 """Language, toxicity and quality: accuracy on rows that weren't learnt from, and odd rows."""
 
 import random
+from unittest import mock
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -79,16 +80,19 @@ def test_each_class_is_a_distribution_of_words():
     n = r.poisson(0.7, (2, 12, 12)) * (r.random((12, 12)) < 0.6)
     n[1, 3] = 0
     n[:, 5] = 0
-    both = n.sum(axis=0)
-    totals = ((both > 0).sum(), (both.sum(axis=0) > 0).sum(), tuple((x > 0).sum() for x in n), tuple((x.sum(axis=0) > 0).sum() for x in n))
-    p = []
+    both, stem = n.sum(axis=0), np.arange(12) // 3
+    stems = np.stack([[x[:, stem == s].sum() for s in range(4)] for x in n])
+    totals = toxicity.Totals((both > 0).sum(), (both.sum(axis=0) > 0).sum(), tuple((x > 0).sum() for x in n), tuple((x.sum(axis=0) > 0).sum() for x in n), tuple(stems.sum(axis=1)))
+    entry = n * (both > 1)  # pairs that are pruned count for the words alone
+    kept = entry.sum(axis=0) > 0
+    p, words = [], [k for k in range(12) if both[:, k].any()] + [None]
     for v in range(12):
-        for w in [k for k in range(12) if both[:, k].any()] + [None]:
-            of = lambda x: [0 if w is None else y for y in x]
-            pair = of(n[:, v, w] if w is not None else (0, 0))
-            before = of((n[:, :, w] > 0).sum(axis=1) if w is not None else (0, 0))
-            p.append((pair, n[:, v].sum(axis=1), (n[:, v] > 0).sum(axis=1), before, (both[v] > 0).sum(), (both[:, w] > 0).sum() if w is not None else 0))
-    args = [np.array([x[k] for x in p], float).T for k in range(6)]
+        for w in words:
+            of = lambda x: (0, 0) if w is None else x  # noqa: B023, E731
+            p.append((of(entry[:, v, w]) if w is not None else (0, 0), entry[:, v].sum(axis=1), (entry[:, v] > 0).sum(axis=1), (n[:, :, w] > 0).sum(axis=1) if w is not None else (0, 0), stems[:, stem[w]] if w is not None else (0, 0), kept[v].sum(), (both[:, w] > 0).sum() if w is not None else 0))
+    args = [np.array([x[k] for x in p], float).T for k in range(7)]
+    one = slice(0, len(words))
+    totals.mass = tuple(m.sum() for m in toxicity.word_masses(totals, args[3][:, one], args[4][:, one], args[6][one]))
     for c in toxicity.log_probabilities(totals, *args):
         np.testing.assert_allclose(np.exp(c).reshape(12, -1).sum(axis=1), 1)
 
@@ -97,28 +101,46 @@ def test_toxicity_counts_are_exact(spark):
     r = random.Random(5)
     names = ["".join(r.choice("abdeghilnorst") for _ in range(9)) for _ in range(1500)]
     rows = [(f"{names[k]} common", k % 2) for k in range(1500)] + [(f"{names[k]} common; {names[k]} common", 1) for k in range(0, 900, 2)]
-    got = toxicity.counts(spark.createDataFrame(rows, "text string, label int").repartition(5), 12).persist()
-    pairs = got.filter(F.col("kind") == toxicity.PAIR)
-    # A start and a pair of each name, and of repeated names what leads from one pair to the next.
-    assert pairs.count() == 1500 * 2 + 450
-    assert {(x["ordinary"], x["toxic"]) for x in pairs.filter("ordinary + toxic > 1").collect()} == {(1, 1)}
-    most = {k: got.filter(F.col("kind") == k).agg(F.max("ordinary"), F.max("toxic")).first() for k in range(1, 6)}
-    assert tuple(most[toxicity.PREDECESSORS]) == (750, 750 + 450)
-    assert tuple(most[toxicity.ALL_PREDECESSORS]) == (1500, 0) and tuple(most[toxicity.ALL_FOLLOWERS]) == (1500, 0)
+    pairs, words, stems = toxicity.counts(spark.createDataFrame(rows, "text string, label int").repartition(5), 12)
+    # A start and a pair of each name; what leads from one pair of a repeated name to the next is in one document each.
+    assert pairs.count() == 2 * 450 and {(x["ordinary"], x["toxic"]) for x in pairs.collect()} == {(1, 1)}
+    best = words.orderBy(F.desc("types")).first()
+    assert words.count() == 1501 and (best["ordinary"], best["toxic"], best["types"]) == (750, 750 + 450, 1500)
+    assert {(x["ordinary"], x["toxic"], x["types"]) for x in words.filter("types < 1500").collect()} == {(1, 0, 1), (0, 1, 1), (1, 2, 2)}
+    assert stems.agg(F.max("ordinary"), F.max("toxic")).first() == (750, 750 + 450)
 
 
 def test_toxicity_counts_what_does_not_calibrate(spark):
     rows = [(k, "all the same words" if k else "zebra") for k in range(2000)]
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int")
-    model, _ = toxicity.train(docs, marks, F.lit(True), F.col("doc_id") % 2 == 0, most=100)
-    ordinary, toxic = model.table.filter(F.col("kind") == toxicity.PAIR).agg(F.max("ordinary"), F.max("toxic")).first()
-    assert toxic == 1000 and 850 <= ordinary < 950
+    seen = []
 
+    def counted(rows, buckets, counts=toxicity.counts):
+        seen.append(rows.groupBy("label").count().collect())
+        return counts(rows, buckets)
 
-def test_neighbour_counts_are_linear_counts():
-    bits = np.array([0, 1, 3, (1 << 64) - 1], np.uint64)
-    got = toxicity._neighbours(bits)
-    assert got[0] == 0 and 0.9 < got[1] < 1.1 and 1.9 < got[2] < 2.2 and got[3] > 200
+    with mock.patch.object(toxicity, "counts", counted):
+        toxicity.train(docs, marks, F.lit(True), F.col("doc_id") % 2 == 0, most=100)
+    n = {x["label"]: x["count"] for x in seen[0]}
+    assert n[1] == 1000 and 850 <= n[0] < 950
+
+
+def test_words_that_begin_as_toxic_ones_tell(spark):
+    r = random.Random(8)
+    ends = ["".join(r.choice("abdeghilnorst") for _ in range(3)) for _ in range(800)]
+    rows = [(k, " ".join([*(r.choice(ends) + r.choice(ends) for _ in range(40)), *(("malus" + "p" + r.choice(ends)) for _ in range(k % 4 == 0))])) for k in range(1200)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    fold = language_id.held_out
+    model = toxicity.train(docs, marks, ~fold(5, 0), fold(5, 4))
+    new = spark.createDataFrame([(1, "abdabd maluspzzz ghigho"), (2, "abdabd zzzmalusp ghigho")], "doc_id long, text string")
+    assert {x["doc_id"]: x["predicted"] for x in toxicity.score(new, *model).collect()} == {1: 1, 2: 0}
+
+
+def test_packed_arrays_come_back():
+    r = np.random.default_rng(1)
+    arrays = [np.sort(r.integers(0, 1 << 63, 1000).astype(np.uint64)), r.integers(0, 300, 50), np.zeros(0, np.int64), np.array([7]), np.array([(1 << 64) - 1, 0], np.uint64)]
+    for a, b in zip(arrays, toxicity._unpacked(toxicity._packed(*arrays))):
+        assert (a.astype(np.uint64) == b).all() and len(a) == len(b)
 
 
 def test_quality(spark, none):

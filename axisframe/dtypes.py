@@ -149,3 +149,112 @@ def cast(value: Column, a, b) -> Column:
     if b.kind in "iu":
         return value.cast(b.spark) if _holds(a, b) else wrapped(value, b)
     return value.cast(b.spark)
+
+
+@dataclass(frozen=True)
+class FloatInfo:
+    """What a floating type can hold; of a complex type its parts'."""
+
+    bits: int
+    eps: float
+    epsneg: float
+    max: float
+    min: float
+    tiny: float
+    smallest_subnormal: float
+    precision: int
+
+    @property
+    def smallest_normal(self) -> float:
+        return self.tiny
+
+
+def finfo(t) -> FloatInfo:
+    """Derived from the width of the fraction and of the exponent."""
+    t = dtype(t)
+    if t.kind not in "fc":
+        raise ValueError(f"{t.name} isn't a floating type")
+    bits = t.bits // (2 if t.kind == "c" else 1)
+    fraction = {16: 10, 32: 23, 64: 52}[bits]
+    top = 2 ** (bits - fraction - 2) - 1  # the largest exponent
+    most = 2.0**top * (2 - 2.0**-fraction)
+    return FloatInfo(bits, 2.0**-fraction, 2.0 ** -(fraction + 1), most, -most, 2.0 ** (1 - top), 2.0 ** (1 - top - fraction), int(fraction * 0.30103))
+
+
+@dataclass(frozen=True)
+class IntInfo:
+    bits: int
+    min: int
+    max: int
+
+
+def iinfo(t) -> IntInfo:
+    t = dtype(t)
+    if t.kind not in "iu":
+        raise ValueError(f"{t.name} isn't an integer type")
+    return IntInfo(t.bits, *limits(t))
+
+
+#: Groups of types, each of which holds the kinds that are named.
+FAMILIES = {"generic": "biufc", "number": "iufc", "integer": "iu", "signedinteger": "i", "unsignedinteger": "u", "inexact": "fc", "floating": "f", "complexfloating": "c", "bool": "b"}
+
+
+def issubdtype(a, b) -> bool:
+    """Whether type ``a`` is type ``b`` or belongs to the family that ``b`` names."""
+    if a in FAMILIES and a != "bool":
+        return b in FAMILIES and set(FAMILIES[a]) <= set(FAMILIES[b])
+    return dtype(a).kind in FAMILIES[b] if b in FAMILIES else dtype(a) == dtype(b)
+
+
+#: Kinds by the names that isdtype takes.
+KINDS = {"bool": "b", "signed integer": "i", "unsigned integer": "u", "integral": "iu", "real floating": "f", "complex floating": "c", "numeric": "iufc"}
+
+
+def isdtype(t, kind) -> bool:
+    if isinstance(kind, tuple):
+        return any(isdtype(t, k) for k in kind)
+    return dtype(t).kind in KINDS[kind] if kind in KINDS else dtype(t) == dtype(kind)
+
+
+def min_scalar_type(x) -> DType:
+    """The smallest type that holds a number."""
+    if isinstance(x, bool):
+        return dtype("bool")
+    if isinstance(x, int):
+        names = ("uint8", "uint16", "uint32", "uint64") if x >= 0 else ("int8", "int16", "int32", "int64")
+        fitting = [n for n in names if limits(n)[0] <= x <= limits(n)[1]]
+        if not fitting:
+            raise OverflowError(f"no integer type holds {x}")
+        return dtype(fitting[0])
+    parts = (x.real, x.imag) if isinstance(x, complex) else (x,)
+    # An infinity or a NaN has no size.
+    most = max((abs(p) for p in parts if abs(p) < float("inf")), default=0.0)
+    bits = next((n for n in (16, 32) if most <= finfo(f"float{n}").max), 64)
+    return dtype(f"complex{max(64, 2 * bits)}" if isinstance(x, complex) else f"float{bits}")
+
+
+def common_type(*types) -> DType:
+    """The inexact type that arrays of all these types fit into."""
+    kinds = [dtype(t) for t in types]
+    if any(t.kind == "b" for t in kinds):
+        raise TypeError("booleans have no inexact type")
+    return promote(*(t if t.kind in "fc" else dtype("float64") for t in kinds))
+
+
+# One letter for each type, and what it is called.
+LETTERS = {"?": ("bool", "bool"), "b": ("int8", "signed char"), "B": ("uint8", "unsigned char"), "h": ("int16", "short"), "H": ("uint16", "unsigned short"), "i": ("int32", "integer"), "I": ("uint32", "unsigned integer"), "l": ("int64", "long integer"), "L": ("uint64", "unsigned long integer"), "e": ("float16", "half precision"), "f": ("float32", "single precision"), "d": ("float64", "double precision"), "F": ("complex64", "complex single precision"), "D": ("complex128", "complex double precision")}
+
+
+def typename(letter: str) -> str:
+    return LETTERS[letter][1]
+
+
+def mintypecode(letters: str, typeset: str = "GDFgdf", default: str = "d") -> str:
+    """The letter of the smallest type of ``typeset`` that all of ``letters`` in it can be cast to."""
+    order = "gdfGDF"[::-1]
+    own = [c for c in letters if c in typeset]
+    if not own:
+        return default
+    if "F" in own and "d" in own:
+        return "D"
+    return min(own, key="GDFgdf".index) if any(c in order for c in own) else own[0]

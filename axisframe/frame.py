@@ -373,16 +373,22 @@ class NDFrame:
     # Selection
 
     def __getitem__(self, key) -> NDFrame:
-        """Slices, whole numbers, None, Ellipsis, one list of places, or a boolean array of the leading axes."""
+        """Slices, whole numbers, None, Ellipsis, index arrays or lists, or a boolean array of the leading axes."""
         if isinstance(key, NDFrame) and key.dtype.kind == "b":
             return self._masked(key)
         key = key if isinstance(key, tuple) else (key,)
-        if Ellipsis in [k for k in key if not isinstance(k, NDFrame)]:
-            at = key.index(Ellipsis)
+        if any(k is Ellipsis for k in key):
+            at = next(j for j, k in enumerate(key) if k is Ellipsis)
             missing = self.ndim - sum(k is not None and k is not Ellipsis for k in key)
             key = (*key[:at], *[slice(None)] * missing, *key[at + 1 :])
         if sum(k is not None for k in key) > self.ndim:
             raise IndexError("too many indices")
+        arrays = [k for k in key if isinstance(k, NDFrame) or getattr(k, "ndim", 1) != 1 or (isinstance(k, list) and k and isinstance(k[0], (list, tuple)))]
+        lists = [k for k in key if k is not None and not isinstance(k, (slice, int))]
+        if arrays or len(lists) > 1 or (lists and any(isinstance(k, int) for k in key)):
+            from .operators.indexing import advanced
+
+            return advanced(self, (*key, *[slice(None)] * (self.ndim - sum(k is not None for k in key))))
         out, columns, shape, where, axis, places = self, [], [], F.lit(True), 0, None
         for k in (*key, *[slice(None)] * (self.ndim - sum(k is not None for k in key))):
             if k is None:
@@ -402,8 +408,6 @@ class NDFrame:
                     raise IndexError(f"index {k} is out of bounds for axis {axis} of size {n}")
                 where = where & (i == k % n)
             else:
-                if places is not None:
-                    raise NotImplementedError("one list of places at a time")
                 places = (axis, [p % n for p in k])
                 if any(not -n <= p < n for p in k):
                     raise IndexError("a place is out of bounds")
@@ -457,9 +461,9 @@ class NDFrame:
     def scan(self, f: Callable[[Column], Column], merge: Callable[[Column, Column], Column], axis: int, kind=None) -> NDFrame:
         """A running aggregate along an axis.
 
-        Other axes divide the work.  A lone axis is cut into blocks: each is
-        scanned on its own and then merged with the blocks before it, of which
-        there is one row each.
+        The axis is cut into blocks: each is scanned on its own and then merged
+        with the scan of the blocks before it, which are cut into blocks
+        themselves if they are many.
         """
         axis = normal_axis(axis, self.ndim)
         others = [f"i{k}" for k in range(self.ndim) if k != axis]
@@ -468,9 +472,11 @@ class NDFrame:
             return self._new(self.df.withColumn("v", f(F.col("v")).over(w)), self.shape, kind)
         df = self.df.withColumn("_block", F.floor(self._i(axis) / SCAN_BLOCK))
         inner = Window.partitionBy(*others, "_block").orderBy(f"i{axis}").rowsBetween(Window.unboundedPreceding, 0)
-        before = Window.partitionBy(*others).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        totals = df.groupBy(*others, "_block").agg(f(F.col("v")).alias("_total")).withColumn("_before", f(F.col("_total")).over(before)).drop("_total")
-        both = df.withColumn("_own", f(F.col("v")).over(inner)).join(totals, [*others, "_block"])
+        blocks = df.groupBy(*others, F.col("_block").alias(f"i{axis}")).agg(f(F.col("v")).alias("v"))
+        shape = [-(-n // SCAN_BLOCK) if k == axis else n for k, n in enumerate(self.shape)]
+        running = NDFrame(blocks, shape, kind or self.dtype).scan(f, merge, axis, kind)
+        totals = running.df.select(*others, (self._i(axis) + 1).alias("_block"), F.col("v").alias("_before"))
+        both = df.withColumn("_own", f(F.col("v")).over(inner)).join(totals, [*others, "_block"], "left")
         return self._new(both.withColumn("v", F.when(F.col("_before").isNull(), F.col("_own")).otherwise(merge(F.col("_before"), F.col("_own")))), self.shape, kind)
 
 

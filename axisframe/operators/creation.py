@@ -32,6 +32,26 @@ def ones(spark: SparkSession, shape: Sequence[int], kind="float64") -> NDFrame:
     return full(spark, shape, 1, kind)
 
 
+def empty(spark: SparkSession, shape: Sequence[int], kind="float64") -> NDFrame:
+    """As zeros: there is no memory to leave as it is."""
+    return zeros(spark, shape, kind)
+
+
+def identity(spark: SparkSession, n: int, kind="float64") -> NDFrame:
+    return eye(spark, n, kind=kind)
+
+
+def zeros_like(x: NDFrame, kind=None) -> NDFrame:
+    return full_like(x, 0, kind)
+
+
+def ones_like(x: NDFrame, kind=None) -> NDFrame:
+    return full_like(x, 1, kind)
+
+
+empty_like = zeros_like
+
+
 def full_like(x: NDFrame, fill, kind=None) -> NDFrame:
     return x.map(lambda v: F.lit(fill).cast(dtype(kind or x.dtype).spark), kind)
 
@@ -151,3 +171,102 @@ def of_arrays(df, column: str, index: str, width: int, n: int | None = None) ->
     """A matrix of an array column: one row a place."""
     rows = df.select(F.col(index).cast("long").alias("i0"), F.posexplode(column).alias("i1", "v"))
     return NDFrame(rows.select("i0", F.col("i1").cast("long").alias("i1"), F.col("v").cast("double").alias("v")), [df.count() if n is None else n, width])
+
+
+def diagflat(x: NDFrame, k: int = 0) -> NDFrame:
+    """All elements on the k-th diagonal of a matrix."""
+    return diag(x.ravel(), k)
+
+
+def _axis(spark: SparkSession, key: slice) -> NDFrame:
+    start = key.start or 0
+    if isinstance(key.step, complex):
+        return linspace(spark, start, key.stop, int(abs(key.step)))
+    return arange(spark, start, key.stop, 1 if key.step is None else key.step)
+
+
+class Grid:
+    """Meshes by slices, ``Grid(spark)[0:3, 0:1:5j]``: full ones, or open ones of size 1 along all other axes."""
+
+    def __init__(self, spark: SparkSession, dense: bool = True):
+        self.spark, self.dense = spark, dense
+
+    def __getitem__(self, key) -> list[NDFrame]:
+        axes = [_axis(self.spark, k) for k in (key if isinstance(key, tuple) else (key,))]
+        if self.dense:
+            return meshgrid(*axes, indexing="ij")
+        return [a.reshape([a.shape[0] if j == k else 1 for j in range(len(axes))]) for k, a in enumerate(axes)]
+
+
+def mgrid(spark: SparkSession) -> Grid:
+    return Grid(spark)
+
+
+def ogrid(spark: SparkSession) -> Grid:
+    return Grid(spark, dense=False)
+
+
+class Joiner:
+    """Ranges, numbers and arrays put together by an index: ``Joiner(spark)[0:3, 7, x]``, along one axis or as columns."""
+
+    def __init__(self, spark: SparkSession, columns: bool = False):
+        self.spark, self.columns = spark, columns
+
+    def __getitem__(self, key) -> NDFrame:
+        from .joining import column_stack, concatenate
+
+        parts = [k if isinstance(k, NDFrame) else _axis(self.spark, k) if isinstance(k, slice) else array(self.spark, k if isinstance(k, (list, tuple)) else [k]) for k in (key if isinstance(key, tuple) else (key,))]
+        return column_stack(parts) if self.columns else concatenate(parts)
+
+
+def r_(spark: SparkSession) -> Joiner:
+    return Joiner(spark)
+
+
+def c_(spark: SparkSession) -> Joiner:
+    return Joiner(spark, columns=True)
+
+
+def asarray(spark: SparkSession, x, kind=None) -> NDFrame:
+    """An array as it is or cast, anything else as ``array`` makes it."""
+    return (x if kind is None else x.astype(kind)) if isinstance(x, NDFrame) else array(spark, x, kind)
+
+
+def asarray_chkfinite(spark: SparkSession, x, kind=None) -> NDFrame:
+    """As asarray; the job fails at an element that isn't finite."""
+    out = asarray(spark, x, kind)
+    if out.dtype.kind not in "fc":
+        return out
+    parts = lambda v: [v["re"], v["im"]] if out.dtype.kind == "c" else [v]
+
+    def checked(v: Column) -> Column:
+        odd = F.lit(False)
+        for p in parts(v):
+            odd = odd | F.isnan(p) | (F.abs(p) == float("inf"))
+        return F.when(odd, F.raise_error(F.lit("arrays mustn't hold infs or NaNs"))).otherwise(v)
+
+    return out.map(checked)
+
+
+def copy(x: NDFrame) -> NDFrame:
+    """The array itself: nothing can change it."""
+    return x
+
+
+def fromfunction(spark: SparkSession, f, shape: Sequence[int], kind="float64") -> NDFrame:
+    """Values by a function of the index columns, which are cast to ``kind``."""
+    return grid(spark, shape, f(*(F.col(c).cast(dtype(kind).spark) for c in idx(len(shape)))), kind)
+
+
+def fromiter(spark: SparkSession, values, kind, count: int = -1) -> NDFrame:
+    """From an iterable on the driver."""
+    from itertools import islice
+
+    return array(spark, list(values if count < 0 else islice(values, count)), kind)
+
+
+def frombuffer(spark: SparkSession, buffer: bytes, kind="float64", count: int = -1, offset: int = 0) -> NDFrame:
+    """From bytes on the driver."""
+    import numpy as np
+
+    return array(spark, np.frombuffer(buffer, dtype(kind).name, count, offset))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import dtypes
 from ..dtypes import promote
-from ..frame import NDFrame, normal_axis
+from ..frame import NDFrame, broadcast_shapes, normal_axis
 
 
 def concatenate(arrays: Sequence[NDFrame], axis: int | None = 0) -> NDFrame:
@@ -188,3 +188,39 @@ def unpackbits(x: NDFrame, little: bool = False) -> NDFrame:
     df = x.df.select(F.col("i0").alias("_b"), "v", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_k"))
     bit = F.call_function("shiftright", F.col("v").cast("int"), F.col("_k") if little else 7 - F.col("_k")).bitwiseAND(F.lit(1))
     return NDFrame(df.select((F.col("_b") * 8 + F.col("_k")).alias("i0"), bit.cast("smallint").alias("v")), [x.shape[0] * 8], "uint8")
+
+
+def append(x: NDFrame, values: NDFrame, axis: int | None = None) -> NDFrame:
+    """``values`` behind ``x``: of both flattened, or along an axis."""
+    return concatenate([x.ravel(), values.ravel()], 0) if axis is None else concatenate([x, values], axis)
+
+
+def broadcast_arrays(*arrays: NDFrame) -> list[NDFrame]:
+    shape = broadcast_shapes(*(x.shape for x in arrays))
+    return [x.broadcast_to(shape) for x in arrays]
+
+
+def rollaxis(x: NDFrame, axis: int, start: int = 0) -> NDFrame:
+    """Moves an axis before the one that is at ``start``."""
+    axis, start = normal_axis(axis, x.ndim), start + x.ndim if start < 0 else start
+    return x.moveaxis(axis, start - (axis < start))
+
+
+def hsplit(x: NDFrame, parts) -> list[NDFrame]:
+    return split(x, parts, 1 if x.ndim > 1 else 0)
+
+
+def vsplit(x: NDFrame, parts) -> list[NDFrame]:
+    return split(x, parts, 0)
+
+
+def dsplit(x: NDFrame, parts) -> list[NDFrame]:
+    return split(x, parts, 2)
+
+
+def fliplr(x: NDFrame) -> NDFrame:
+    return x.flip(1)
+
+
+def flipud(x: NDFrame) -> NDFrame:
+    return x.flip(0)

@@ -12,7 +12,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..frame import NDFrame, normal_axis
 from ..functions import real as R
+from ..storage import numbered
 
 
 def lane(by: list[str], order: list) -> WindowSpec:
@@ -99,3 +101,108 @@ def convolve(x: Column, kernel: list[float], w: WindowSpec) -> Column:
     for k, c in enumerate(kernel[1:], 1):
         out = out + F.coalesce(F.lag(x, k).over(w), F.lit(0.0)) * c
     return out
+
+
+def ediff1d(df: DataFrame, order: list[str], value: str, to_begin: list[float] = (), to_end: list[float] = ()) -> DataFrame:
+    """pos and v: the differences of neighbours along a whole column, between values put before and behind them.
+
+    Places are numbered by ranges, and each value meets its follower by a join
+    on the place, so no task gets the whole column.
+    """
+    placed = numbered(df.select(*order, F.col(value).alias("_v")), [F.col(c) for c in order])
+    n, lead = placed.count(), len(to_begin)
+    after = placed.select((F.col("pos") - 1).alias("pos"), F.col("_v").alias("_next"))
+    inner = placed.select("pos", "_v").join(after, "pos").select((F.col("pos") + lead).alias("pos"), (F.col("_next") - F.col("_v")).cast("double").alias("v"))
+    ends = [(k, float(v)) for k, v in enumerate(to_begin)] + [(lead + max(n - 1, 0) + k, float(v)) for k, v in enumerate(to_end)]
+    return inner.union(df.sparkSession.createDataFrame(ends, "pos long, v double")) if ends else inner
+
+
+def convolve1d(x: NDFrame, kernel: list[float], mode: str = "full") -> NDFrame:
+    """The convolution of a vector with a kernel on the driver: full, as long as the longer, or only where both overlap whole.
+
+    Each element is sent to the places it counts for, and places are summed:
+    the vector may have any length, as its parts are convolved apart.
+    """
+    n, m = x.shape[0], len(kernel)
+    terms = F.posexplode(F.array(*(F.lit(float(c)) for c in kernel))).alias("_k", "_c")
+    spread = x.df.select("i0", "v", terms).groupBy((F.col("i0") + F.col("_k")).alias("i0")).agg(F.sum(F.col("v") * F.col("_c")).alias("v"))
+    size = {"full": n + m - 1, "same": max(n, m), "valid": max(n, m) - min(n, m) + 1}[mode]
+    first = {"full": 0, "same": (min(n, m) - 1) // 2, "valid": min(n, m) - 1}[mode]
+    own = spread.filter((F.col("i0") >= first) & (F.col("i0") < first + size))
+    return NDFrame(own.select((F.col("i0") - first).alias("i0"), "v"), [size])
+
+
+def correlate(x: NDFrame, kernel: list[float], mode: str = "valid") -> NDFrame:
+    """The cross-correlation of a vector with a kernel: the convolution with the kernel turned round."""
+    out = convolve1d(x, kernel[::-1], mode)
+    if mode != "same" or x.shape[0] >= len(kernel):
+        return out
+    full = convolve1d(x, kernel[::-1], "full")  # of a longer kernel the middle lies the other way
+    first, size = x.shape[0] // 2, len(kernel)
+    return NDFrame(full.df.filter((F.col("i0") >= first) & (F.col("i0") < first + size)).select((F.col("i0") - first).alias("i0"), "v"), [size])
+
+
+def accumulate(x: NDFrame, f, merge, axis: int = 0, kind=None) -> NDFrame:
+    """Running results of an associative aggregate ``f`` along an axis, block totals of which ``merge`` puts together."""
+    return x.scan(f, merge, axis, kind)
+
+
+def reduceat(x: NDFrame, places: list[int], f) -> NDFrame:
+    """Aggregates of a vector from each place up to the next; of a place that isn't below the next its element alone."""
+    n = x.shape[0]
+    if any(not 0 <= p < n for p in places):
+        raise IndexError("a place is out of bounds")
+    ends = [*places[1:], n]
+    spans = [(k, a, b if a < b else a + 1) for k, (a, b) in enumerate(zip(places, ends))]
+    table = F.broadcast(x.spark.createDataFrame(spans, "_k long, _a long, _b long"))
+    rows = x.df.join(table, (F.col("i0") >= F.col("_a")) & (F.col("i0") < F.col("_b")))
+    return NDFrame(rows.groupBy(F.col("_k").alias("i0")).agg(f(F.col("v")).alias("v")), [len(places)], x.dtype)
+
+
+def at(x: NDFrame, places: DataFrame, f, merge) -> NDFrame:
+    """A copy of a vector in which each place of ``places`` (i0, v) has taken in all its values.
+
+    Values of one place are aggregated by ``f`` before they move, and
+    ``merge`` puts what is there and the aggregate together.
+    """
+    new = places.groupBy("i0").agg(f(F.col("v")).alias("_n"))
+    both = x.df.join(new, "i0", "left")
+    return NDFrame(both.withColumn("v", F.when(F.col("_n").isNull(), F.col("v")).otherwise(merge(F.col("v"), F.col("_n")))), x.shape, x.dtype)
+
+
+def apply_over_axes(f, x: NDFrame, axes: list[int]) -> NDFrame:
+    """Reduces one axis after the other, each of which stays with size 1."""
+    for axis in axes:
+        x = x.reduce(f, axis=axis, keepdims=True)
+    return x
+
+
+def sorted_lanes(x: NDFrame, axis: int = -1) -> NDFrame:
+    """Each lane along an axis in rising order, NaNs last; complex numbers by their real parts, then imaginary ones."""
+    axis = normal_axis(axis, x.ndim)
+    others = [f"i{k}" for k in range(x.ndim) if k != axis]
+    w = Window.partitionBy(*others).orderBy("v")
+    return NDFrame(x.df.withColumn(f"i{axis}", (F.row_number().over(w) - 1).cast("long")), x.shape, x.dtype)
+
+
+def partition(x: NDFrame, kth: int, axis: int = -1) -> NDFrame:
+    """Lanes in which nothing before place ``kth`` is larger, nothing after it smaller: sorted lanes are."""
+    normal_axis(kth, x.shape[normal_axis(axis, x.ndim)])
+    return sorted_lanes(x, axis)
+
+
+def argpartition(x: NDFrame, kth: int, axis: int = -1) -> NDFrame:
+    """The places that partition lanes; equal values in the order of their places."""
+    axis = normal_axis(axis, x.ndim)
+    normal_axis(kth, x.shape[axis])
+    others = [f"i{k}" for k in range(x.ndim) if k != axis]
+    w = Window.partitionBy(*others).orderBy("v", f"i{axis}")
+    rows = x.df.select(*others, F.col(f"i{axis}").alias("_from"), (F.row_number().over(w) - 1).cast("long").alias(f"i{axis}"))
+    return NDFrame(rows.withColumn("v", F.col("_from")), x.shape, "int64")
+
+
+def sort_complex(x: NDFrame) -> NDFrame:
+    """All elements as complex numbers in rising order along one axis."""
+    flat = x.astype("complex128").ravel()
+    ranked = numbered(flat.df.select("v", F.col("i0")), [F.col("v")["re"], F.col("v")["im"], F.col("i0")])
+    return NDFrame(ranked.select(F.col("pos").alias("i0"), "v"), [x.size], "complex128")

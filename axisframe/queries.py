@@ -755,3 +755,6 @@ def rolling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tumbling(_table(spark, sf_dir, "events"), "ts", "value", ["event_type"], "1 day")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 3).alias("total"), "low", "high")
 
+
+
+from . import index_queries  # noqa: E402, F401  registers its queries

@@ -251,10 +251,7 @@ def typename(letter: str) -> str:
 
 def mintypecode(letters: str, typeset: str = "GDFgdf", default: str = "d") -> str:
     """The letter of the smallest type of ``typeset`` that all of ``letters`` in it can be cast to."""
-    order = "gdfGDF"[::-1]
     own = [c for c in letters if c in typeset]
     if not own:
         return default
-    if "F" in own and "d" in own:
-        return "D"
-    return min(own, key="GDFgdf".index) if any(c in order for c in own) else own[0]
+    return "D" if "F" in own and "d" in own else min(own, key="GDFgdf".find)

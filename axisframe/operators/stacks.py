@@ -1,7 +1,9 @@
 """Linear algebra and Fourier transforms of stacks of small arrays.
 
 The last axes (a matrix or a vector) are brought together for each place of
-the leading axes, and numpy works on many of them at once in Arrow batches.
+the leading axes.  Determinants, inverses, equations and triangular factors of
+real matrices are worked out inside the JVM, powers and norms by joins and
+sums; for the rest numpy works on all cells of an Arrow batch in one call.
 One matrix or vector has to fit in a task; their number is free.  What the
 whole table adds up to (least squares on many rows, principal components) goes
 through small sums instead.
@@ -19,6 +21,9 @@ from pyspark.sql import functions as F
 
 from ..dtypes import dtype
 from ..frame import NDFrame, idx
+from ..storage import ready
+from . import elimination
+from .contractions import matmul
 
 
 def _stacked(x: NDFrame, core: int) -> DataFrame:
@@ -32,7 +37,8 @@ def _stacked(x: NDFrame, core: int) -> DataFrame:
 
 
 def per_cell(f: Callable[[np.ndarray], np.ndarray], x: NDFrame, core: int, out_core: tuple[int, ...], kind: str = "float64") -> NDFrame:
-    """``f`` of each cell (its last ``core`` axes); results have the shape ``out_core``."""
+    """``f`` of stacks of cells (their last ``core`` axes); the results' last axes have the shape ``out_core``."""
+    ready(x.spark)
     lead, shape, size = x.ndim - core, x.shape[x.ndim - core :], math.prod(out_core)
     is_complex, wide = x.dtype.kind == "c", dtype(kind).kind == "c"
     names = idx(lead)
@@ -42,10 +48,9 @@ def per_cell(f: Callable[[np.ndarray], np.ndarray], x: NDFrame, core: int, out_c
             cells = batch.column(lead)
             values = cells.flatten().field("v")
             raw = values.field(0).to_numpy(zero_copy_only=False) + 1j * values.field(1).to_numpy(zero_copy_only=False) if is_complex else values.to_numpy(zero_copy_only=False)
-            done = [np.asarray(f(m)).reshape(-1) for m in raw.reshape(-1, *shape)]
-            flat = np.concatenate(done) if done else np.zeros(0)
+            flat = np.asarray(f(raw.reshape(-1, *shape))).reshape(-1) if batch.num_rows else np.zeros(0)
             index = [pa.array(np.repeat(batch.column(k).to_numpy(zero_copy_only=False), size), pa.int64()) for k in range(lead)]
-            at = np.tile(np.arange(size), len(done))
+            at = np.tile(np.arange(size), batch.num_rows)
             core_index = [pa.array(a, pa.int64()) for a in np.unravel_index(at, out_core)] if out_core else []
             if wide:
                 v = pa.StructArray.from_arrays([pa.array(flat.real.astype(float)), pa.array(np.imag(flat).astype(float))], ["re", "im"])
@@ -69,22 +74,27 @@ def _same(x: NDFrame) -> str:
 
 def inv(x: NDFrame) -> NDFrame:
     n = _square(x)
-    return per_cell(np.linalg.inv, x, 2, (n, n), _same(x))
+    return per_cell(np.linalg.inv, x, 2, (n, n), _same(x)) if x.dtype.kind == "c" else elimination.inv(x)
 
 
 def det(x: NDFrame) -> NDFrame:
     _square(x)
-    return per_cell(np.linalg.det, x, 2, (), _same(x))
+    return per_cell(np.linalg.det, x, 2, (), _same(x)) if x.dtype.kind == "c" else elimination.det(x)
 
 
 def slogdet(x: NDFrame) -> tuple[NDFrame, NDFrame]:
     _square(x)
+    if x.dtype.kind != "c":
+        return elimination.det(x, "sign"), elimination.det(x, "log")
     return per_cell(lambda m: np.linalg.slogdet(m)[0], x, 2, (), _same(x)), per_cell(lambda m: np.linalg.slogdet(m)[1], x, 2, ())
 
 
 def cholesky(x: NDFrame, upper: bool = False) -> NDFrame:
     n = _square(x)
-    return per_cell(lambda m: np.linalg.cholesky(m).conj().T if upper else np.linalg.cholesky(m), x, 2, (n, n), _same(x))
+    if x.dtype.kind != "c":
+        lower = elimination.cholesky(x)
+        return lower.swapaxes(-1, -2) if upper else lower
+    return per_cell(lambda m: np.linalg.cholesky(m, upper=upper), x, 2, (n, n), _same(x))
 
 
 def qr(x: NDFrame) -> tuple[NDFrame, NDFrame]:
@@ -132,8 +142,21 @@ def matrix_rank(x: NDFrame) -> NDFrame:
 
 
 def matrix_power(x: NDFrame, n: int) -> NDFrame:
+    """By squaring: each product is a join and a sum."""
     k = _square(x)
-    return per_cell(lambda a: np.linalg.matrix_power(a, n), x, 2, (k, k), _same(x))
+    if x.dtype.kind == "c":
+        return per_cell(lambda a: np.linalg.matrix_power(a, n), x, 2, (k, k), _same(x))
+    if n < 0:
+        return matrix_power(inv(x), -n)
+    unit = NDFrame(x.df.withColumn("v", F.when(x._i(x.ndim - 2) == x._i(x.ndim - 1), 1.0).otherwise(0.0)), x.shape)
+    out, square = None, x.astype("float64")
+    while n:
+        if n & 1:
+            out = square if out is None else matmul(out, square)
+        n >>= 1
+        if n:
+            square = matmul(square, square)
+    return unit if out is None else out
 
 
 def cond(x: NDFrame, order=None) -> NDFrame:
@@ -141,7 +164,15 @@ def cond(x: NDFrame, order=None) -> NDFrame:
 
 
 def matrix_norm(x: NDFrame, order="fro") -> NDFrame:
-    return per_cell(lambda a: np.linalg.norm(a, order), x, 2, ())
+    """The norm of each matrix: Frobenius and the norms of rows and columns by sums, the others from singular values."""
+    a, rows = abs(x), x.ndim - 2
+    if order == "fro":
+        return a.reduce(lambda v: F.sqrt(F.sum(v * v)), "float64", (rows, rows + 1))
+    if order in (1, -1, float("inf"), -float("inf")):
+        of = F.max if order > 0 else F.min
+        return a.reduce(F.sum, axis=rows if abs(order) == 1 else rows + 1).reduce(of, "float64", rows)
+    of = {"nuc": F.sum, 2: F.max, -2: F.min}[order]
+    return svdvals(x).reduce(of, "float64", rows)
 
 
 def solve(a: NDFrame, b: NDFrame) -> NDFrame:
@@ -150,21 +181,46 @@ def solve(a: NDFrame, b: NDFrame) -> NDFrame:
     lead = a.ndim - 2
     column = b.df.select(*idx(lead + 1), F.lit(n).cast("long").alias(f"i{lead + 1}"), F.col("v").cast("double").alias("v"))
     wide = NDFrame(a.astype("float64").df.unionByName(column), [*a.shape[:-1], n + 1])
-    return per_cell(lambda m: np.linalg.solve(m[:, :n], m[:, n]), wide, 2, (n,))
+    return elimination.solve(wide)
 
 
 def lstsq(df: DataFrame, features: list[str], target: str, intercept: bool = True) -> dict[str, float]:
-    """Least squares on any number of rows: sums of products are aggregated, the driver solves the small system."""
+    """Least squares on any number of rows by a tall-skinny QR factorisation.
+
+    Each task brings its rows, block by block, to a triangle of as many rows as
+    there are columns, and triangles are stacked and factored again in levels of
+    32, so the driver receives one: the condition of the columns isn't squared
+    as it is by sums of products.  Rows with a null are left out; without rows
+    the coefficients are 0.
+    """
+    ready(df.sparkSession)
     names = [*features, *(["intercept"] if intercept else [])]
-    x = [F.col(c).cast("double") for c in features] + ([F.lit(1.0)] if intercept else [])
-    y = F.col(target).cast("double")
-    n = len(x)
-    sums = [F.sum(x[i] * x[j]) for i in range(n) for j in range(i, n)] + [F.sum(c * y) for c in x]
-    row = list(df.agg(*(s.alias(f"s{k}") for k, s in enumerate(sums))).first())
-    m = np.zeros((n, n))
-    m[np.triu_indices(n)] = row[: n * (n + 1) // 2]
-    m = m + m.T - np.diag(np.diag(m))
-    return dict(zip(names, np.linalg.lstsq(m, np.array(row[n * (n + 1) // 2 :], float), rcond=None)[0].tolist()))
+    columns = [*(F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)), *([F.lit(1.0).alias("x_one")] if intercept else []), F.col(target).cast("double").alias("y")]
+    n = len(columns)
+
+    def triangle(m: np.ndarray) -> np.ndarray:
+        return np.linalg.qr(np.vstack([m, np.zeros((n, n))]) if len(m) < n else m, mode="r")
+
+    def made(batches):
+        r = np.zeros((0, n))
+        for batch in batches:
+            r = triangle(np.vstack([r, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])]))
+        yield pa.RecordBatch.from_pydict({"r": [r.reshape(-1).tolist()]}, pa.schema([("r", pa.list_(pa.float64()))]))
+
+    def stacked(table: pa.Table) -> pa.Table:
+        parts = [np.array(x, float).reshape(-1, n) for x in table["r"].to_pylist() if x]
+        r = triangle(np.vstack(parts)) if parts else np.zeros((n, n))
+        return pa.table({"part": [table["part"][0].as_py()], "r": pa.array([r.reshape(-1).tolist()], pa.list_(pa.float64()))})
+
+    known = df.select(*columns).dropna()
+    left = max(1, known.rdd.getNumPartitions())
+    rows = known.mapInArrow(made, "r array<double>").select(F.spark_partition_id().cast("long").alias("part"), "r")
+    while left:  # each level stacks the triangles of 32
+        left = 0 if left <= 32 else -(-left // 32)
+        rows = rows.withColumn("part", F.floor(F.col("part") / 32) if left else F.lit(0).cast("long")).groupBy("part").applyInArrow(stacked, "part long, r array<double>")
+    got = [x["r"] for x in rows.collect()]
+    r = np.array(got[0], float).reshape(n, n) if got else np.zeros((n, n))
+    return dict(zip(names, np.linalg.lstsq(r[: n - 1, : n - 1], r[: n - 1, n - 1], rcond=None)[0].tolist()))
 
 
 # Fourier transforms

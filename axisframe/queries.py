@@ -453,9 +453,12 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 for _right, _op in ((False, "<"), (True, "<=")):
 
-    @_query(f"searchsorted_{'right' if _right else 'left'}", f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity * 1000 AS key, (SELECT count(*) FROM orders WHERE o_totalprice {_op} l_quantity * 1000) AS place FROM lineitem WHERE l_linenumber = 7")
+    _keys = "SELECT DISTINCT l_quantity * 1000 AS key FROM lineitem"
+    _places = f"SELECT key, (SELECT count(*) FROM orders WHERE o_totalprice {_op} key) AS place FROM ({_keys})"
+
+    @_query(f"searchsorted_{'right' if _right else 'left'}", f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, key, place FROM lineitem JOIN ({_places}) ON key = l_quantity * 1000")
     def searchsorted(spark: SparkSession, sf_dir: str, right: bool = _right) -> DataFrame:
-        keys = _table(spark, sf_dir, "lineitem").filter("l_linenumber = 7").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.col("l_quantity") * 1000).alias("key"))
+        keys = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.col("l_quantity") * 1000).alias("key"))
         return sets.searchsorted(_table(spark, sf_dir, "orders"), "o_totalprice", keys, "key", right)
 
 
@@ -571,7 +574,7 @@ def kron(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("trace", "SELECT CAST(sum(embedding[vec_id + 1]::DOUBLE) AS DOUBLE) AS v FROM embeddings WHERE vec_id < 64")
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contractions.trace(_matrix(spark, sf_dir)[:64]).df
+    return contractions.trace(_matrix(spark, sf_dir)).df
 
 
 _SHAPES = {
@@ -581,16 +584,16 @@ _SHAPES = {
     "flip": (lambda m: m.flip(1), f"SELECT r AS i0, 63 - c AS i1, v FROM {_M}"),
     "roll": (lambda m: m.roll(5, 1), f"SELECT r AS i0, (c + 5) % 64 AS i1, v FROM {_M}"),
     "rot90": (lambda m: m.rot90(), f"SELECT 63 - c AS i0, r AS i1, v FROM {_M}"),
-    "repeat": (lambda m: m[:, :4].repeat(2, 1), f"SELECT r AS i0, c * 2 + k AS i1, v FROM {_M}, range(2) t(k) WHERE c < 4"),
-    "tile": (lambda m: m[:, :4].tile((1, 3)), f"SELECT r AS i0, c + k * 4 AS i1, v FROM {_M}, range(3) t(k) WHERE c < 4"),
-    "slice_step": (lambda m: m[1:100:3, ::-2], f"SELECT (r - 1) // 3 AS i0, (63 - c) // 2 AS i1, v FROM {_M} WHERE r BETWEEN 1 AND 99 AND (r - 1) % 3 = 0 AND c % 2 = 1"),
+    "repeat": (lambda m: m.repeat(2, 1), f"SELECT r AS i0, c * 2 + k AS i1, v FROM {_M}, range(2) t(k)"),
+    "tile": (lambda m: m.tile((1, 3)), f"SELECT r AS i0, c + k * 64 AS i1, v FROM {_M}, range(3) t(k)"),
+    "slice_step": (lambda m: m[1::3, ::-2], f"SELECT (r - 1) // 3 AS i0, (63 - c) // 2 AS i1, v FROM {_M} WHERE (r - 1) % 3 = 0 AND c % 2 = 1"),
     "take_places": (lambda m: m[:, [5, 0, 5]], f"SELECT r AS i0, CAST(k AS BIGINT) AS i1, v FROM {_M} JOIN (VALUES (0, 5), (1, 0), (2, 5)) t(k, p) ON p = c"),
     "boolean_mask": (lambda m: m[m > 0.15], f"SELECT row_number() OVER (ORDER BY r, c) - 1 AS i0, v FROM {_M} WHERE v > 0.15"),
-    "tril": (lambda m: m[:64].triangle(True), f"SELECT r AS i0, c AS i1, CASE WHEN c <= r THEN v ELSE 0 END AS v FROM {_M} WHERE r < 64"),
-    "triu": (lambda m: m[:64].triangle(False, 1), f"SELECT r AS i0, c AS i1, CASE WHEN c - r >= 1 THEN v ELSE 0 END AS v FROM {_M} WHERE r < 64"),
-    "diagonal": (lambda m: m[:64].diagonal(2), f"SELECT r AS i0, v FROM {_M} WHERE r < 64 AND c - r = 2"),
+    "tril": (lambda m: m.triangle(True), f"SELECT r AS i0, c AS i1, CASE WHEN c <= r THEN v ELSE 0 END AS v FROM {_M}"),
+    "triu": (lambda m: m.triangle(False, 1), f"SELECT r AS i0, c AS i1, CASE WHEN c - r >= 1 THEN v ELSE 0 END AS v FROM {_M}"),
+    "diagonal": (lambda m: m.diagonal(2), f"SELECT r AS i0, v FROM {_M} WHERE c - r = 2"),
     "concatenate": (lambda m: joining.concatenate([m[:, :2], m[:, 62:]], 1), f"SELECT r AS i0, CASE WHEN c < 2 THEN c ELSE c - 60 END AS i1, v FROM {_M} WHERE c < 2 OR c >= 62"),
-    "stack": (lambda m: joining.stack([m[:10], m[10:20]]), f"SELECT r // 10 AS i0, r % 10 AS i1, c AS i2, v FROM {_M} WHERE r < 20"),
+    "stack": (lambda m: joining.stack([m, m * 2]), f"SELECT CAST(k AS BIGINT) AS i0, r AS i1, c AS i2, v * (k + 1) AS v FROM {_M}, range(2) t(k)"),
     "delete": (lambda m: joining.delete(m, [1, 3], 1), f"SELECT r AS i0, c - (c > 1)::INT - (c > 3)::INT AS i1, v FROM {_M} WHERE c NOT IN (1, 3)"),
     "insert": (lambda m: joining.insert(m, [1], [9.0], 1), f"SELECT r AS i0, c + (c >= 1)::INT AS i1, v FROM {_M} UNION ALL SELECT DISTINCT r, 1, 9.0 FROM {_M}"),
     "pad_constant": (lambda m: joining.pad(m, [(0, 0), (1, 2)], value=7), f"SELECT r AS i0, c + 1 AS i1, v FROM {_M} UNION ALL SELECT DISTINCT r, k, 7.0 FROM {_M}, (VALUES (0), (65), (66)) t(k)"),
@@ -636,16 +639,17 @@ def irfft_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(stacks.irfft(stacks.rfft(_matrix(spark, sf_dir))))
 
 
-# Stacks of 2 x 2 matrices [[4 + a, b], [b, 3 + a]], a = |e0|, b = e1, of every embedding
+# Stacks of 2 x 2 matrices [[4 + a, b], [b, 3 + a]], a = |e[2k]|, b = e[2k + 1], of all pairs of every embedding
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> NDFrame:
-    e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i0"), F.abs(F.col("embedding")[0]).cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.struct(F.get("embedding", 2 * k).alias("a"), F.get("embedding", 2 * k + 1).alias("b")))).alias("k", "e"))
+    e = e.select((F.col("vec_id") * 32 + F.col("k")).alias("i0"), F.abs(F.col("e.a").cast("double")).alias("a"), F.col("e.b").cast("double").alias("b"))
     cells = F.inline(F.array(*(F.struct(F.lit(r).cast("long").alias("i1"), F.lit(c).cast("long").alias("i2"), v.alias("v")) for r, c, v in ((0, 0, 4 + F.col("a")), (0, 1, F.col("b")), (1, 0, F.col("b")), (1, 1, 3 + F.col("a"))))))
     return NDFrame(e.select("i0", cells), [e.count(), 2, 2])
 
 
-_P = "(SELECT vec_id AS i0, 4 + abs(embedding[1]::DOUBLE) AS p, embedding[2]::DOUBLE AS q, 3 + abs(embedding[1]::DOUBLE) AS s FROM embeddings)"
+_P = "(SELECT vec_id * 32 + k AS i0, 4 + abs(embedding[2 * k + 1]::DOUBLE) AS p, embedding[2 * k + 2]::DOUBLE AS q, 3 + abs(embedding[2 * k + 1]::DOUBLE) AS s FROM embeddings, range(32) t(k))"
 _MEAN, _HALF = "(p + s) / 2", "sqrt((p - s) * (p - s) / 4 + q * q)"
 LINEAR = {
     "det": (lambda m: stacks.det(m), f"SELECT i0, p * s - q * q AS v FROM {_P}"),

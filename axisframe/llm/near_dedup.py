@@ -13,8 +13,9 @@ short.
    smallest one, and the number of lists that tie a pair is its overlap.  A
    class's best tie is tried first.
 3. Union-sketch estimation: up to the smaller of both sketches' largest keys
-   the two sets are known in full.  A pair goes on only if the overlap there
-   and the best case for the rest can still reach t.
+   the two sets are known in full.  The overlap there, and the best case for
+   the rest, estimate the similarity from above; a pair goes on only if this
+   estimate reaches t.
 4. Exact Jaccard on full sets verifies.
 5. Lists whose members are still in several components are paired across
    components, where a list's key can be the first that two sets share: from
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bloom, may_contain, ready, saved, summed_arrays
+from .shared import bloom, may_contain, ready, saved, spread_join, summed_arrays
 from .textbytes import WordRuns, mix, slices
 
 #: Buckets of hashes by which commonness is told, as a power of two: 16 a document within these bounds.
@@ -140,10 +141,10 @@ def _postings(table: DataFrame) -> DataFrame:
 
 
 def _bounded(batches, percent: int):
-    """Keeps pairs that can still reach the similarity, by what both sketches know."""
+    """Keeps pairs whose similarity, estimated from above by what both sketches know, reaches the least one."""
     for batch in batches:
         cols = {k: batch.column(k) for k in batch.schema.names}
-        keep, estimates = [], []
+        keep = []
         for na, nb, sa, sb in zip(cols["na"].to_pylist(), cols["nb"].to_pylist(), cols["sa"].to_pylist(), cols["sb"].to_pylist()):
             p, q = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
             ends = [s[-1] for s, n in ((p, na), (q, nb)) if len(s) < n]
@@ -152,9 +153,7 @@ def _bounded(batches, percent: int):
             both = np.intersect1d(p, q, assume_unique=True).size
             most = both + min(na - len(p), nb - len(q))
             keep.append(100 * most >= percent * (na + nb - most))
-            estimates.append(both / max(1, len(p) + len(q) - both))
-        kept = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([cols["a"], cols["b"], pa.array(estimates, pa.float64())], ["a", "b", "estimate"]).filter(kept)
+        yield pa.RecordBatch.from_arrays([cols["a"], cols["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _exact(batches, words: int, percent: int):
@@ -181,7 +180,7 @@ def _links(pairs: DataFrame, table: DataFrame, docs: DataFrame, words: int, perc
     """
     own = table.select("doc_id", "n", "sketch")
     withs = pairs.join(own.toDF("b", "nb", "sb"), "b").join(own.toDF("a", "na", "sa"), "a").select("a", "b", "na", "nb", "sa", "sb")
-    likely = saved(withs.mapInArrow(lambda it: _bounded(it, percent), "a long, b long, estimate double"), "likely")
+    likely = saved(withs.mapInArrow(lambda it: _bounded(it, percent), "a long, b long"), "likely")
     ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     bits = bloom(ids, "doc_id", ids.count())
 
@@ -213,7 +212,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     ready(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     table = saved(fingerprints(docs, words), "sets")
-    classes = table.filter("doc_id is not null and n > 0").groupBy("n", "x", "y").agg(F.min("doc_id").alias("rep"))
+    members = table.filter("doc_id is not null and n > 0")
+    classes = saved(members.groupBy("n", "x", "y").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "members")
     ids = saved(classes.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     n = ids.count()
     order = _commonness(docs, words, max(LEAST_ORDER_BITS, min(MOST_ORDER_BITS, n.bit_length() + 4)), bloom(ids, "doc_id", n))
@@ -245,9 +245,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         comps = saved(connected_components(links, "a", "b"), "components")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    rows = table.select("doc_id", "n", "x", "y").join(classes, ["n", "x", "y"], "left").join(comps.toDF("rep", "component"), "rep", "left").join(degree, "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_class = classes.join(comps.toDF("rep", "component"), "rep", "left").join(degree, "rep", "left").select("n", "x", "y", "members", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    linked = spread_join(members, of_class, ("n", "x", "y"), "members", "doc_id").select("doc_id", "n", "component_id", "n_links")
+    alone = table.filter("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return linked.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "n_links")
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

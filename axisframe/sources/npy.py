@@ -7,14 +7,17 @@ import io
 import math
 import struct
 import zipfile
+from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..dtypes import DTYPES
+from ..dtypes import DTYPES, dtype
 from ..frame import NDFrame, idx
+from ..storage import numbered, ready
+from .text import fromstring
 
 #: Elements of one block when an array is written.
 WRITE_BLOCK = 1 << 20
@@ -126,3 +129,53 @@ def save(x: NDFrame, path: str) -> None:
             out.write(bytearray(r["data"]))
     finally:
         out.close()
+
+
+class NpzFile(Mapping):
+    """The arrays of an .npz file by their names, each read when it is asked for."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.files = spark, path, members(spark, path)
+
+    def __getitem__(self, name: str) -> NDFrame:
+        if name.removesuffix(".npy") not in self.files:
+            raise KeyError(name)
+        return load(self.spark, self.path, name.removesuffix(".npy"))
+
+    def __iter__(self):
+        return iter(self.files)
+
+    def __len__(self) -> int:
+        return len(self.files)
+
+
+def fromfile(spark: SparkSession, path: str, kind="float64", count: int = -1, sep: str = "", offset: int = 0) -> NDFrame:
+    """A vector of the raw values of a binary file, or of the numbers of a text file that ``sep`` parts.
+
+    A binary file is read whole by one task and leaves it in batches; a text
+    file is read in lines.
+    """
+    ours = dtype(kind)
+    if sep:
+        if not ours.kind == "f":
+            return fromfile(spark, path, "float64", count, sep).astype(ours)
+        lines = spark.read.text(path).select(fromstring(F.col("value"), sep).alias("x"), F.monotonically_increasing_id().alias("k"))
+        cells = numbered(lines.select("k", F.posexplode("x").alias("j", "v")).filter("v is not null"), ["k", "j"], "i0")
+        own = cells if count < 0 else cells.filter(F.col("i0") < count)
+        return NDFrame(own.select("i0", F.col("v").cast(ours.spark).alias("v")), [own.count()], ours)
+    native = np.dtype(ours.name)
+    stored = {"uint8": "int16", "uint16": "int32", "uint32": "int64", "float16": "float32"}.get(native.name, native)
+
+    def made(batches):
+        for batch in batches:
+            for x in batch.column(0):
+                flat = np.frombuffer(x.as_py(), native, count, offset)
+                for lo in range(0, len(flat), 1 << 18):
+                    part = flat[lo : lo + (1 << 18)]
+                    v = pa.StructArray.from_arrays([pa.array(part.real), pa.array(part.imag)], ["re", "im"]) if ours.kind == "c" else pa.array([int(p) for p in part], pa.decimal128(20, 0)) if native.name == "uint64" else pa.array(part.astype(stored))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part))), v], ["i0", "v"])
+
+    content = ready(spark).read.format("binaryFile").load(path)
+    size = content.select("length").first()["length"]
+    n = max(0, size - offset) // native.itemsize
+    return NDFrame(content.select("content").mapInArrow(made, f"i0 long, v {ours.spark}"), [n if count < 0 else min(n, count)], ours)

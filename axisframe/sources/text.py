@@ -34,6 +34,44 @@ def loadtxt(spark: SparkSession, path: str, delimiter: str | None = None, commen
     return NDFrame(cells.select("i0", F.col("i1").cast("long").alias("i1"), value.alias("v")), [rows.count(), len(columns)])
 
 
+def genfromtxt(
+    spark: SparkSession, path: str, delimiter: str | list[int] | None = None, comments: str = "#", skip_header: int = 0, skip_footer: int = 0, usecols: list[int] | None = None, missing_values: tuple[str, ...] = (), filling_values: float | dict[int, float] = float("nan"), invalid_raise: bool = True
+) -> NDFrame:
+    """A matrix of the fields of text lines; what is empty, in ``missing_values`` or no number becomes a filling value.
+
+    ``delimiter`` is a string, white space (None), or a list of field widths.
+    Lines of another number of fields than the first fail the job, or are left
+    out without ``invalid_raise``.  Header and footer lines are skipped before
+    comments and blank lines are.  Filling values may differ by column.
+    """
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("k"))
+    every = numbered(text, ["f", "b", "k"], "line")
+    last = every.count() - skip_footer
+    body = every.filter((F.col("line") >= skip_header) & (F.col("line") < last)).select("line", F.substring_index("value", comments, 1).alias("text")).filter(F.trim("text") != "")
+    if isinstance(delimiter, list):
+        starts = [sum(delimiter[:k]) for k in range(len(delimiter))]
+        fields = F.filter(F.array(*(F.when(F.length("text") > a, F.trim(F.substring("text", a + 1, n))) for a, n in zip(starts, delimiter))), lambda x: x.isNotNull())
+    elif delimiter is None:
+        fields = F.split(F.trim("text"), r"\s+")
+    else:
+        fields = F.transform(F.split("text", rf"\Q{delimiter}\E"), lambda x: F.trim(x))
+    split = body.select("line", fields.alias("fields"))
+    first = split.orderBy("line").select(F.size("fields").alias("n")).first()
+    n = first["n"] if first else 0
+    if invalid_raise:
+        split = split.withColumn("fields", F.when(F.size("fields") == n, F.col("fields")).otherwise(F.raise_error(F.lit("lines have different numbers of fields")).cast("array<string>")))
+    rows = numbered(split.filter(F.size("fields") == n), ["line"], "i0")
+    columns = list(range(n)) if usecols is None else [c % n for c in usecols]
+    filling = filling_values if isinstance(filling_values, dict) else dict.fromkeys(range(n), filling_values)
+
+    def value(c: int) -> Column:
+        field, other = F.get("fields", F.lit(c)), F.lit(float(filling.get(c, float("nan"))))
+        return F.when(field.isin("", *missing_values), other).otherwise(F.coalesce(field.try_cast("double"), other))
+
+    cells = rows.select("i0", F.posexplode(F.array(*map(value, columns)) if columns else F.array().cast("array<double>")).alias("i1", "v"))
+    return NDFrame(cells.select("i0", F.col("i1").cast("long").alias("i1"), "v"), [rows.count(), len(columns)])
+
+
 def lines(x: NDFrame, fmt: str = "%.18e", delimiter: str = " ") -> DataFrame:
     """i0 and the line of each row of a vector or matrix."""
     wide = x if x.ndim == 2 else x.expand_dims(1)

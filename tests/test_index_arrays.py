@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from axisframe import dtypes
+from axisframe.sources import npy, text
 from axisframe.operators import comparison, creation, indexing, lanes, quantiles, stacks
 
 A = np.arange(60.0).reshape(3, 4, 5) % 7 - 2
@@ -159,3 +160,33 @@ def test_element_types():
     assert dtypes.isdtype("uint8", "integral") and dtypes.isdtype("complex64", ("bool", "numeric")) and not dtypes.isdtype("bool", "numeric")
     assert dtypes.common_type("int8", "float32").name == "float64" and dtypes.common_type("float32", "complex64").name == "complex64"
     assert [dtypes.mintypecode(x) for x in ("d", "fd", "fF", "dF", "i", "if")] == [np.mintypecode(x) for x in ("d", "fd", "fF", "dF", "i", "if")]
+
+
+def test_files(spark, tmp_path):
+    lines = "title\n# a comment\n1, 2, x\n\n3,,N/A # more\n4, 5\n7, 8, 9\nend"
+    (tmp_path / "a.csv").write_text(lines)
+    got = text.genfromtxt(spark, str(tmp_path / "a.csv"), ",", skip_header=1, skip_footer=1, missing_values=("N/A",), filling_values={1: -1.0, 2: -2.0}, invalid_raise=False)
+    np.testing.assert_array_equal(got.to_numpy(), [[1, 2, -2], [3, -1, -2], [7, 8, 9]])
+    with pytest.raises(Exception, match="different numbers"):
+        text.genfromtxt(spark, str(tmp_path / "a.csv"), ",", skip_header=1, skip_footer=1).to_numpy()
+    (tmp_path / "b.txt").write_text(" 12 345\n 67 890\n")
+    np.testing.assert_array_equal(text.genfromtxt(spark, str(tmp_path / "b.txt"), [3, 2, 2], usecols=[0, -1]).to_numpy(), [[12, 45], [67, 90]])
+    x = np.arange(-5, 1000, dtype="int16")
+    x.tofile(tmp_path / "c.bin")
+    np.testing.assert_array_equal(npy.fromfile(spark, str(tmp_path / "c.bin"), "int16", 7, offset=4).to_numpy(), x[2:9])
+    np.testing.assert_array_equal(npy.fromfile(spark, str(tmp_path / "c.bin"), "int16").to_numpy(), x)
+    (tmp_path / "d.txt").write_text("1,2,3\n4,5\n")
+    np.testing.assert_array_equal(npy.fromfile(spark, str(tmp_path / "d.txt"), "int64", 4, ",").to_numpy(), [1, 2, 3, 4])
+    np.savez(tmp_path / "e.npz", first=x, second=A)
+    with_names = npy.NpzFile(spark, str(tmp_path / "e.npz"))
+    assert list(with_names) == ["first", "second"] and "third" not in with_names
+    np.testing.assert_array_equal(with_names["second"].to_numpy(), A)
+
+
+def test_made_from_nothing(spark):
+    np.testing.assert_allclose([g.to_numpy() for g in creation.mgrid(spark)[0:3, 0:1:5j]], np.mgrid[0:3, 0:1:5j])
+    for got, want in zip(creation.ogrid(spark)[2:5, 0:8:3], np.ogrid[2:5, 0:8:3]):
+        np.testing.assert_array_equal(got.to_numpy(), want)
+    np.testing.assert_array_equal(creation.diagflat(creation.array(spark, [[1, 2], [3, 4]]), -1).to_numpy(), np.diagflat([[1, 2], [3, 4]], -1))
+    with pytest.raises(Exception, match="infs or NaNs"):
+        creation.asarray_chkfinite(spark, [1.0, float("nan")]).to_numpy()

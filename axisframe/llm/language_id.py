@@ -119,7 +119,7 @@ def train(labelled: DataFrame, per_language: int = 600, epochs: int = 6, rate: f
     nothing; without any others there is no model.
     """
     ready(labelled.sparkSession)
-    labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labelled = labelled.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = saved(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     least = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("n") < F.lit(per_language << 20)
     picked = labelled.join(small_side(counts), "lang").filter(least)

@@ -12,7 +12,7 @@ from axisframe import queries
 DATA = Path("/root/testdata/sf0.001")
 ROOT = Path(__file__).resolve().parents[1]
 #: One of each family; the driver compares all of them.
-COMPARED = ("revenue_by_flag", "ufunc_divide", "ufunc_int_floor_divide", "reduce_nanmax", "quantile_hazen", "histogram_edges", "lane_gradient", "scan_whole_axis", "unique_inverse", "array_pad_reflect", "einsum_gram", "linalg_inv", "create_linspace")
+COMPARED = ("revenue_by_flag", "ufunc_divide", "ufunc_int_floor_divide", "reduce_nanmax", "quantile_hazen", "histogram_edges", "lane_gradient", "scan_whole_axis", "unique_inverse", "array_pad_reflect", "einsum_gram", "linalg_inv", "create_linspace", "array_index_lists_apart", "array_place", "array_take_along_axis", "allclose", "ediff1d", "searchsorted_left")
 
 
 def test_nothing_else_imports_the_training_data_operators():

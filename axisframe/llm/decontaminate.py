@@ -133,13 +133,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = LEAST_SHAR
     hits = seen.select("doc_id", F.col("w.at").alias("at"), F.col("w.key").alias("key")).join(small_side(sides.drop("filled")), "key")
     hits = saved(hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
 
+    # Each document with a hit is brought to its template once, however many items and shifts it has.
+    some = own.join(small_side(hits.select("doc_id").distinct()), "doc_id").select("doc_id", tokens(F.col("text")).alias("t"), exact(F.col("text")).alias("e"), slots(F.col("text")).alias("v"))
+    some = saved(some, "templates")
     # An array's word and its bookkeeping take about 40 bytes.
-    pairs = own.join(small_side(hits), "doc_id").join(small_side(bench, size=120 * F.size("bt")), "item_id")
-    pairs = pairs.select("doc_id", "item_id", "shift", "bt", "bv", tokens(F.col("text")).alias("t"), slots(F.col("text")).alias("v"))
+    pairs = some.join(small_side(hits), "doc_id").join(small_side(bench, size=120 * F.size("bt")), "item_id")
     places = F.filter(F.sequence(F.lit(0), F.size("bt") - 1), lambda k: (k + F.col("shift") >= 0) & (F.get("bt", k) == F.get("t", F.greatest(k + F.col("shift"), F.lit(0)))))
     pairs = pairs.withColumn("places", places)
     slot_places = F.filter("places", lambda k: F.get("bt", k).startswith("§"))
-    filled = F.transform(slot_places, lambda k: F.struct(_slot_value(F.col("bt"), F.col("bv"), k).alias("b"), _slot_value(F.col("t"), F.col("v"), k + F.col("shift")).alias("d")))
+    value = lambda t, e, v, at: F.when(F.size(t) == F.size(e), F.get(e, at)).otherwise(_slot_value(F.col(t), F.col(v), at))
+    filled = F.transform(slot_places, lambda k: F.struct(value("bt", "be", "bv", k).alias("b"), value("t", "e", "v", k + F.col("shift")).alias("d")))
     pairs = pairs.select("doc_id", "item_id", F.size("bt").alias("item_tokens"), F.filter("places", lambda k: ~F.get("bt", k).startswith("§")).alias("words"), slot_places.alias("slot_places"), filled.alias("filled"))
     different = lambda c, side: F.size(F.array_distinct(F.transform(c, lambda x: x[side])))
     one_to_one = lambda c: (different(c, "b") == F.size(F.array_distinct(c))) & (different(c, "d") == F.size(F.array_distinct(c)))

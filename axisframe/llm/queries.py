@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, media, near_dedup, packing, quality, substring_dedup, toxicity, warc
+from . import decontaminate, language_id, lattice_lm, licenses, manifest, media, near_dedup, packing, prefix_trie, quality, substring_dedup, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -127,3 +127,78 @@ def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_sentence_rule_licenses", licenses.oracle())
 def op9_sentence_rule_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licences(_table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 of a decimal number in SQL: its table from the polynomial, then one look-up for each digit.
+_CRC_TABLE = "list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384)))"
+
+
+def _crc(column: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _leaf(n_chars: str) -> str:
+    values = (f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", n_chars, "text"))
+    return f"sha256({' || '.join(values)})"
+
+
+@_query(
+    "op11_radix_trie_manifest",
+    f"""
+WITH RECURSIVE k AS (SELECT {_CRC_TABLE} AS crc),
+d AS (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, CASE WHEN {_crc("doc_id")} % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS used FROM documents, k),
+l AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+t(g, level, i, h, n) AS (
+  SELECT g, 0, i, leaf, count(*) OVER (PARTITION BY g) FROM l
+  UNION ALL SELECT g, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM t WHERE n > 1 GROUP BY g, level, i // 2),
+r AS (SELECT g, h FROM t WHERE n = 1),
+u(level, i, h, n) AS (
+  SELECT 0, g, h, count(*) OVER () FROM r
+  UNION ALL SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM u WHERE n > 1 GROUP BY level, i // 2),
+top AS (SELECT max(level) AS m FROM u),
+tops AS (SELECT g, max(level) AS m FROM t GROUP BY g),
+f(doc_id, leaf, g, i, level, h, proof) AS (
+  SELECT doc_id, leaf, g, i, 0, used, '' FROM l
+  UNION ALL SELECT f.doc_id, f.leaf, f.g, f.i // 2, f.level + 1, sha256(CASE WHEN f.i % 2 = 0 THEN f.h || coalesce(s.h, '') ELSE coalesce(s.h, '') || f.h END), f.proof || coalesce(s.h, '')
+  FROM f JOIN tops ON tops.g = f.g AND f.level < m LEFT JOIN t s ON s.g = f.g AND s.level = f.level AND s.i = xor(f.i, 1)),
+e AS (SELECT f.* FROM f JOIN tops ON tops.g = f.g AND f.level = m),
+v(doc_id, leaf, g, i, level, h, proof) AS (
+  SELECT doc_id, leaf, g, g, 0, h, proof FROM e
+  UNION ALL SELECT v.doc_id, v.leaf, v.g, v.i // 2, v.level + 1, sha256(CASE WHEN v.i % 2 = 0 THEN v.h || coalesce(s.h, '') ELSE coalesce(s.h, '') || v.h END), v.proof || coalesce(s.h, '')
+  FROM v JOIN top ON v.level < m LEFT JOIN u s ON s.level = v.level AND s.i = xor(v.i, 1))
+SELECT v.doc_id, leaf, r.h AS subroot, u.h AS root, sha256(proof) AS proof_sha256, v.h AS folded_root, v.h = u.h AS verified
+FROM v JOIN top ON v.level = m JOIN r ON r.g = v.g JOIN u ON u.n = 1""",
+)
+def op11_radix_trie_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_table(spark, sf_dir, "documents"), fanout=2).drop("lang", "rank")
+
+
+@_query("op12_subword_lattice_lm")
+def op12_subword_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(_table(spark, sf_dir, "documents"), language_id.held_out(7, 2), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query(
+    "op13_cartesian_prefix_trie",
+    f"""
+WITH k AS (SELECT {_CRC_TABLE} AS crc),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, {_crc("conv_id")} % 6 AS h FROM conversations, k WHERE conv_id IS NOT NULL),
+b AS (
+  SELECT c.conv_id, 0 AS part, t.k, role, text FROM c JOIN t ON t.conv_id = c.base AND t.k <= h
+  UNION ALL SELECT c.conv_id, 1, t.k, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.k > h),
+p AS (
+  SELECT conv_id, row_number() OVER w AS d, length(text) AS n, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w) AS path FROM b
+  WINDOW w AS (PARTITION BY conv_id ORDER BY part, k ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+q AS (SELECT *, max(d) OVER (PARTITION BY conv_id) AS ends FROM p),
+m AS (SELECT path, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS own, string_agg(CASE WHEN ends = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS members FROM q GROUP BY path),
+e AS (SELECT DISTINCT x.path AS child, y.path AS parent FROM q x JOIN q y ON y.conv_id = x.conv_id AND y.d = x.d - 1),
+a AS (SELECT DISTINCT x.path AS low, y.path AS high FROM q x JOIN q y ON y.conv_id = x.conv_id AND y.d <= x.d),
+s AS (SELECT high AS path, sum(own) AS saved, count(*) FILTER (low NOT IN (SELECT parent FROM e)) AS leaves FROM a JOIN m ON m.path = low GROUP BY high)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(m.n_convs AS BIGINT) AS n_convs, CAST((SELECT count(*) FROM e WHERE e.parent = m.path) AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(m.members, '')) AS ends_sha256
+FROM m JOIN s ON s.path = m.path LEFT JOIN e ON e.child = m.path LEFT JOIN m up ON up.path = e.parent""",
+)
+def op13_cartesian_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))

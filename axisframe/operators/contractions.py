@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import NDFrame, normal_axes
+from ..functions import complexes as C
 from ..plans.einsum import einsum
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -44,12 +45,16 @@ def inner(a: NDFrame, b: NDFrame) -> NDFrame:
     return tensordot(a, b, ((a.ndim - 1,), (b.ndim - 1,)))
 
 
+def _conjugate(a: NDFrame) -> NDFrame:
+    return a.map(C.conjugate) if a.dtype.kind == "c" else a
+
+
 def vdot(a: NDFrame, b: NDFrame) -> NDFrame:
-    return einsum("i,i->", a.ravel(), b.ravel())
+    return einsum("i,i->", _conjugate(a.ravel()), b.ravel())
 
 
 def vecdot(a: NDFrame, b: NDFrame) -> NDFrame:
-    return einsum("...i,...i->...", a, b)
+    return einsum("...i,...i->...", _conjugate(a), b)
 
 
 def matvec(a: NDFrame, b: NDFrame) -> NDFrame:
@@ -57,7 +62,7 @@ def matvec(a: NDFrame, b: NDFrame) -> NDFrame:
 
 
 def vecmat(a: NDFrame, b: NDFrame) -> NDFrame:
-    return einsum("...i,...ij->...j", a, b)
+    return einsum("...i,...ij->...j", _conjugate(a), b)
 
 
 def outer(a: NDFrame, b: NDFrame) -> NDFrame:

@@ -65,7 +65,8 @@ def eliminated(m: Column, n: int) -> Column:
 
 
 def _regular(done: Column, value: Column) -> Column:
-    return F.when(done["det"] == 0, F.raise_error(F.lit("a matrix is singular"))).otherwise(value)
+    """``value`` if every column had a pivot; the determinant itself may underflow."""
+    return F.when(done["sign"] == 0, F.raise_error(F.lit("a matrix is singular"))).otherwise(value)
 
 
 def det(x: NDFrame, part: str = "det") -> NDFrame:

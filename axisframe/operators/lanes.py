@@ -9,12 +9,20 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..frame import NDFrame, normal_axis
+from ..frame import BROADCAST_ELEMENTS, NDFrame, normal_axis
+from ..functions import complexes as C
 from ..functions import real as R
-from ..storage import numbered
+from ..storage import numbered, ready
+from . import selection
+from .fourier import irfft, rfft
+
+#: Places of a block when a vector is convolved with a table.
+CONVOLVED = 1 << 15
 
 
 def lane(by: list[str], order: list) -> WindowSpec:
@@ -117,28 +125,85 @@ def ediff1d(df: DataFrame, order: list[str], value: str, to_begin: list[float] =
     return inner.union(df.sparkSession.createDataFrame(ends, "pos long, v double")) if ends else inner
 
 
-def convolve1d(x: NDFrame, kernel: list[float], mode: str = "full") -> NDFrame:
-    """The convolution of a vector with a kernel on the driver: full, as long as the longer, or only where both overlap whole.
+def _blocks(x: NDFrame, name: str, size: int) -> DataFrame:
+    """The vector in blocks of ``size`` places: their number and their bytes."""
+
+    def pack(key, t):
+        out = np.zeros(size)
+        out[t["at"].to_numpy()] = t["v"].to_numpy()
+        return pa.table({name: pa.array([key[0].as_py()], pa.int64()), f"{name}_data": pa.array([out.tobytes()], pa.binary())})
+
+    rows = x.df.select(F.floor(F.col("i0") / size).cast("long").alias(name), (F.col("i0") % size).alias("at"), F.col("v").cast("double").alias("v"))
+    return rows.groupBy(name).applyInArrow(pack, f"{name} long, {name}_data binary")
+
+
+def _added(x: NDFrame, kernel: NDFrame, size: int) -> DataFrame:
+    """The full convolution by overlap and add: each block of x meets the kernel's blocks, and what lands in one block is added."""
+    m = kernel.shape[0]
+
+    def spread(batches):
+        for t in batches:
+            out = {}
+            for a, x_data, b, k_data in zip(*(c.to_pylist() for c in t.columns)):
+                both = np.fft.irfft(np.fft.rfft(np.frombuffer(x_data), 2 * size) * np.fft.rfft(np.frombuffer(k_data), 2 * size), 2 * size)
+                for place, part in ((a + b, both[:size]), (a + b + 1, both[size:])):
+                    out[place] = out[place] + part if place in out else part
+            yield pa.RecordBatch.from_pydict({"b": pa.array(list(out), pa.int64()), "data": pa.array([v.tobytes() for v in out.values()], pa.binary())}, pa.schema([("b", pa.int64()), ("data", pa.binary())]))
+
+    def add(key, t):
+        total = np.zeros(size)
+        for data in t["data"]:
+            total += np.frombuffer(data.as_py())
+        return pa.table({"i0": key[0].as_py() * size + np.arange(size), "v": total})
+
+    # The kernel's size is known and bounded by BROADCAST_ELEMENTS.
+    pairs = _blocks(x, "a", size).crossJoin(F.broadcast(_blocks(kernel, "b", size)))
+    rows = pairs.mapInArrow(spread, "b long, data binary").groupBy("b").applyInArrow(add, "i0 long, v double")
+    return rows.filter(F.col("i0") < x.shape[0] + m - 1)
 
-    Each element is sent to the places it counts for, and places are summed:
-    the vector may have any length, as its parts are convolved apart.
+
+def _full(x: NDFrame, kernel: NDFrame) -> DataFrame:
+    """The full convolution of two vectors: by blocks if one of them is short enough to be sent to all tasks, else as a product of spectra."""
+    n, m = x.shape[0], kernel.shape[0]
+    ready(x.spark)
+    if n < m:
+        x, kernel = kernel, x
+    if min(n, m) <= BROADCAST_ELEMENTS:
+        return _added(x, kernel, CONVOLVED)
+    size = 1 << (n + m - 2).bit_length()
+    both = rfft(x.astype("float64"), size).combine(rfft(kernel.astype("float64"), size), C.multiply, "complex128")
+    return irfft(both, size).df.filter(F.col("i0") < n + m - 1)
+
+
+def convolve1d(x: NDFrame, kernel: list[float] | NDFrame, mode: str = "full") -> NDFrame:
+    """The convolution of a vector with a kernel: full, as long as the longer, or only where both overlap whole.
+
+    With a kernel on the driver, each element is sent to the places it counts
+    for, and places are summed; a kernel that is a vector itself may be as long
+    as the other.
     """
-    n, m = x.shape[0], len(kernel)
-    terms = F.posexplode(F.array(*(F.lit(float(c)) for c in kernel))).alias("_k", "_c")
-    spread = x.df.select("i0", "v", terms).groupBy((F.col("i0") + F.col("_k")).alias("i0")).agg(F.sum(F.col("v") * F.col("_c")).alias("v"))
+    if isinstance(kernel, NDFrame):
+        m, spread = kernel.shape[0], _full(x, kernel)
+    else:
+        m = len(kernel)
+        terms = F.posexplode(F.array(*(F.lit(float(c)) for c in kernel))).alias("_k", "_c")
+        spread = x.df.select("i0", "v", terms).groupBy((F.col("i0") + F.col("_k")).alias("i0")).agg(F.sum(F.col("v") * F.col("_c")).alias("v"))
+    n = x.shape[0]
     size = {"full": n + m - 1, "same": max(n, m), "valid": max(n, m) - min(n, m) + 1}[mode]
     first = {"full": 0, "same": (min(n, m) - 1) // 2, "valid": min(n, m) - 1}[mode]
     own = spread.filter((F.col("i0") >= first) & (F.col("i0") < first + size))
     return NDFrame(own.select((F.col("i0") - first).alias("i0"), "v"), [size])
 
 
-def correlate(x: NDFrame, kernel: list[float], mode: str = "valid") -> NDFrame:
+def correlate(x: NDFrame, kernel: list[float] | NDFrame, mode: str = "valid") -> NDFrame:
     """The cross-correlation of a vector with a kernel: the convolution with the kernel turned round."""
-    out = convolve1d(x, kernel[::-1], mode)
-    if mode != "same" or x.shape[0] >= len(kernel):
+    table = isinstance(kernel, NDFrame)
+    turned, m = (kernel.flip(), kernel.shape[0]) if table else (kernel[::-1], len(kernel))
+    out = convolve1d(x, turned, mode)
+    if mode != "same" or x.shape[0] >= m:
         return out
-    full = convolve1d(x, kernel[::-1], "full")  # of a longer kernel the middle lies the other way
-    first, size = x.shape[0] // 2, len(kernel)
+    full = convolve1d(x, turned, "full")  # of a longer kernel the middle lies the other way
+    first, size = x.shape[0] // 2, m
     return NDFrame(full.df.filter((F.col("i0") >= first) & (F.col("i0") < first + size)).select((F.col("i0") - first).alias("i0"), "v"), [size])
 
 
@@ -186,15 +251,20 @@ def sorted_lanes(x: NDFrame, axis: int = -1) -> NDFrame:
 
 
 def partition(x: NDFrame, kth: int, axis: int = -1) -> NDFrame:
-    """Lanes in which nothing before place ``kth`` is larger, nothing after it smaller: sorted lanes are."""
-    normal_axis(kth, x.shape[normal_axis(axis, x.ndim)])
-    return sorted_lanes(x, axis)
+    """Lanes in which nothing before place ``kth`` is larger, nothing after it smaller: short lanes are sorted, long ones only divided."""
+    axis = normal_axis(axis, x.ndim)
+    normal_axis(kth, x.shape[axis])
+    if x.shape[axis] <= selection.WHOLE:
+        return sorted_lanes(x, axis)
+    return NDFrame(selection.arranged(x, kth, axis).df, x.shape, x.dtype)
 
 
 def argpartition(x: NDFrame, kth: int, axis: int = -1) -> NDFrame:
     """The places that partition lanes; equal values in the order of their places."""
     axis = normal_axis(axis, x.ndim)
     normal_axis(kth, x.shape[axis])
+    if x.shape[axis] > selection.WHOLE:
+        return NDFrame(selection.arranged(x, kth, axis).df.withColumn("v", F.col("_from")), x.shape, "int64")
     others = [f"i{k}" for k in range(x.ndim) if k != axis]
     w = Window.partitionBy(*others).orderBy("v", f"i{axis}")
     rows = x.df.select(*others, F.col(f"i{axis}").alias("_from"), (F.row_number().over(w) - 1).cast("long").alias(f"i{axis}"))

@@ -1,9 +1,10 @@
 """Linear algebra and Fourier transforms of stacks of small arrays.
 
 The last axes (a matrix or a vector) are brought together for each place of
-the leading axes.  Determinants, inverses, equations and triangular factors of
-real matrices are worked out inside the JVM, powers and norms by joins and
-sums; for the rest numpy works on all cells of an Arrow batch in one call.
+the leading axes.  Determinants, inverses, equations, triangular and orthogonal
+factors, singular values and symmetric eigenvalues of real matrices are worked
+out inside the JVM, powers and norms by joins and sums; for complex matrices
+and general eigenvalues numpy works on all cells of an Arrow batch in one call.
 One matrix or vector has to fit in a task; their number is free.  What the
 whole table adds up to (least squares on many rows, principal components) goes
 through small sums instead.
@@ -12,8 +13,6 @@ through small sums instead.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,44 +21,10 @@ from pyspark.sql import functions as F
 from ..dtypes import dtype
 from ..frame import NDFrame, idx
 from ..storage import ready
-from . import elimination
+from . import elimination, rotations
+from .cells import per_cell
 from .contractions import matmul
-
-
-def _stacked(x: NDFrame, core: int) -> DataFrame:
-    """Leading indices and the core axes' values as one flat array."""
-    lead, shape = x.ndim - core, x.shape[x.ndim - core :]
-    at = F.lit(0).cast("long")
-    for k, n in enumerate(shape):
-        at = at * n + F.col(f"i{lead + k}")
-    value = F.struct(F.col("v")["re"].cast("double"), F.col("v")["im"].cast("double")) if x.dtype.kind == "c" else F.col("v").cast("double")
-    return x.df.groupBy(*idx(lead)).agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), value.alias("v")))).alias("cell"))
-
-
-def per_cell(f: Callable[[np.ndarray], np.ndarray], x: NDFrame, core: int, out_core: tuple[int, ...], kind: str = "float64") -> NDFrame:
-    """``f`` of stacks of cells (their last ``core`` axes); the results' last axes have the shape ``out_core``."""
-    ready(x.spark)
-    lead, shape, size = x.ndim - core, x.shape[x.ndim - core :], math.prod(out_core)
-    is_complex, wide = x.dtype.kind == "c", dtype(kind).kind == "c"
-    names = idx(lead)
-
-    def made(batches):
-        for batch in batches:
-            cells = batch.column(lead)
-            values = cells.flatten().field("v")
-            raw = values.field(0).to_numpy(zero_copy_only=False) + 1j * values.field(1).to_numpy(zero_copy_only=False) if is_complex else values.to_numpy(zero_copy_only=False)
-            flat = np.asarray(f(raw.reshape(-1, *shape))).reshape(-1) if batch.num_rows else np.zeros(0)
-            index = [pa.array(np.repeat(batch.column(k).to_numpy(zero_copy_only=False), size), pa.int64()) for k in range(lead)]
-            at = np.tile(np.arange(size), batch.num_rows)
-            core_index = [pa.array(a, pa.int64()) for a in np.unravel_index(at, out_core)] if out_core else []
-            if wide:
-                v = pa.StructArray.from_arrays([pa.array(flat.real.astype(float)), pa.array(np.imag(flat).astype(float))], ["re", "im"])
-            else:
-                v = pa.array(flat.real.astype(float))
-            yield pa.RecordBatch.from_arrays([*index, *core_index, v], [*idx(lead + len(out_core)), "v"])
-
-    schema = ", ".join([*(f"{i} long" for i in idx(lead + len(out_core))), "v " + ("struct<re:double,im:double>" if wide else "double")])
-    return NDFrame(_stacked(x, core).select(*names, "cell").mapInArrow(made, schema), [*x.shape[:lead], *out_core], kind)
+from .fourier import fft, fft2, fftn, hfft, ifft, ifft2, ifftn, ihfft, irfft, irfft2, irfftn, rfft, rfft2, rfftn  # noqa: F401
 
 
 def _square(x: NDFrame) -> int:
@@ -98,18 +63,25 @@ def cholesky(x: NDFrame, upper: bool = False) -> NDFrame:
 
 
 def qr(x: NDFrame) -> tuple[NDFrame, NDFrame]:
+    """The thin factors; of complex matrices by numpy."""
     m, n = x.shape[-2:]
+    if x.dtype.kind != "c":
+        return rotations.qr(x)
     k = min(m, n)
     return per_cell(lambda a: np.linalg.qr(a)[0], x, 2, (m, k), _same(x)), per_cell(lambda a: np.linalg.qr(a)[1], x, 2, (k, n), _same(x))
 
 
 def eigh(x: NDFrame) -> tuple[NDFrame, NDFrame]:
+    """Rising eigenvalues and their vectors; of complex matrices by numpy."""
     n = _square(x)
+    if x.dtype.kind != "c":
+        return rotations.eigh(x)
     return per_cell(lambda a: np.linalg.eigh(a)[0], x, 2, (n,)), per_cell(lambda a: np.linalg.eigh(a)[1], x, 2, (n, n), _same(x))
 
 
 def eigvalsh(x: NDFrame) -> NDFrame:
-    return eigh(x)[0]
+    _square(x)
+    return rotations.eigvalsh(x) if x.dtype.kind != "c" else eigh(x)[0]
 
 
 def eig(x: NDFrame) -> tuple[NDFrame, NDFrame]:
@@ -122,6 +94,9 @@ def eigvals(x: NDFrame) -> NDFrame:
 
 
 def svd(x: NDFrame) -> tuple[NDFrame, NDFrame, NDFrame]:
+    """The thin factors; of complex matrices by numpy."""
+    if x.dtype.kind != "c":
+        return rotations.svd(x)
     m, n = x.shape[-2:]
     k = min(m, n)
     u = per_cell(lambda a: np.linalg.svd(a, full_matrices=False)[0], x, 2, (m, k), _same(x))
@@ -129,16 +104,20 @@ def svd(x: NDFrame) -> tuple[NDFrame, NDFrame, NDFrame]:
 
 
 def svdvals(x: NDFrame) -> NDFrame:
+    if x.dtype.kind != "c":
+        return rotations.svdvals(x)
     return per_cell(lambda a: np.linalg.svd(a, compute_uv=False), x, 2, (min(x.shape[-2:]),))
 
 
 def pinv(x: NDFrame) -> NDFrame:
+    if x.dtype.kind != "c":
+        return rotations.pinv(x)
     m, n = x.shape[-2:]
     return per_cell(np.linalg.pinv, x, 2, (n, m), _same(x))
 
 
 def matrix_rank(x: NDFrame) -> NDFrame:
-    return per_cell(np.linalg.matrix_rank, x, 2, ())
+    return rotations.matrix_rank(x) if x.dtype.kind != "c" else per_cell(np.linalg.matrix_rank, x, 2, ())
 
 
 def matrix_power(x: NDFrame, n: int) -> NDFrame:
@@ -160,6 +139,8 @@ def matrix_power(x: NDFrame, n: int) -> NDFrame:
 
 
 def cond(x: NDFrame, order=None) -> NDFrame:
+    if order in (None, 2) and x.dtype.kind != "c":
+        return rotations.cond(x)
     return per_cell(lambda a: np.linalg.cond(a, order), x, 2, ())
 
 
@@ -198,6 +179,14 @@ def lstsq(df: DataFrame, features: list[str], target: str, intercept: bool = Tru
     columns = [*(F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)), *([F.lit(1.0).alias("x_one")] if intercept else []), F.col(target).cast("double").alias("y")]
     n = len(columns)
 
+    known = df.select(*columns).dropna()
+    r = triangles(known, n)
+    return dict(zip(names, np.linalg.lstsq(r[: n - 1, : n - 1], r[: n - 1, n - 1], rcond=None)[0].tolist()))
+
+
+def triangles(known: DataFrame, n: int) -> np.ndarray:
+    """The triangle of the QR factorisation of all rows of ``n`` float columns."""
+
     def triangle(m: np.ndarray) -> np.ndarray:
         return np.linalg.qr(np.vstack([m, np.zeros((n, n))]) if len(m) < n else m, mode="r")
 
@@ -212,77 +201,16 @@ def lstsq(df: DataFrame, features: list[str], target: str, intercept: bool = Tru
         r = triangle(np.vstack(parts)) if parts else np.zeros((n, n))
         return pa.table({"part": [table["part"][0].as_py()], "r": pa.array([r.reshape(-1).tolist()], pa.list_(pa.float64()))})
 
-    known = df.select(*columns).dropna()
     left = max(1, known.rdd.getNumPartitions())
     rows = known.mapInArrow(made, "r array<double>").select(F.spark_partition_id().cast("long").alias("part"), "r")
     while left:  # each level stacks the triangles of 32
         left = 0 if left <= 32 else -(-left // 32)
         rows = rows.withColumn("part", F.floor(F.col("part") / 32) if left else F.lit(0).cast("long")).groupBy("part").applyInArrow(stacked, "part long, r array<double>")
     got = [x["r"] for x in rows.collect()]
-    r = np.array(got[0], float).reshape(n, n) if got else np.zeros((n, n))
-    return dict(zip(names, np.linalg.lstsq(r[: n - 1, : n - 1], r[: n - 1, n - 1], rcond=None)[0].tolist()))
-
-
-# Fourier transforms
-
-
-def _along(f, x: NDFrame, axis: int, n: int, kind: str) -> NDFrame:
-    moved = x.moveaxis(axis, x.ndim - 1)
-    out = per_cell(f, moved, 1, (n,), kind)
-    return out.moveaxis(out.ndim - 1, axis)
-
-
-def fft(x: NDFrame, n: int | None = None, axis: int = -1, norm: str = "backward") -> NDFrame:
-    n = n or x.shape[axis]
-    return _along(lambda a: np.fft.fft(a, n, norm=norm), x, axis, n, "complex128")
-
-
-def ifft(x: NDFrame, n: int | None = None, axis: int = -1, norm: str = "backward") -> NDFrame:
-    n = n or x.shape[axis]
-    return _along(lambda a: np.fft.ifft(a, n, norm=norm), x, axis, n, "complex128")
-
-
-def rfft(x: NDFrame, n: int | None = None, axis: int = -1, norm: str = "backward") -> NDFrame:
-    n = n or x.shape[axis]
-    return _along(lambda a: np.fft.rfft(a, n, norm=norm), x, axis, n // 2 + 1, "complex128")
-
-
-def irfft(x: NDFrame, n: int | None = None, axis: int = -1, norm: str = "backward") -> NDFrame:
-    n = n or 2 * (x.shape[axis] - 1)
-    return _along(lambda a: np.fft.irfft(a, n, norm=norm), x, axis, n, "float64")
-
-
-def hfft(x: NDFrame, n: int | None = None, axis: int = -1, norm: str = "backward") -> NDFrame:
-    n = n or 2 * (x.shape[axis] - 1)
-    return _along(lambda a: np.fft.hfft(a, n, norm=norm), x, axis, n, "float64")
-
-
-def ihfft(x: NDFrame, n: int | None = None, axis: int = -1, norm: str = "backward") -> NDFrame:
-    n = n or x.shape[axis]
-    return _along(lambda a: np.fft.ihfft(a, n, norm=norm), x, axis, n // 2 + 1, "complex128")
-
-
-def fftn(x: NDFrame, axes=None, norm: str = "backward") -> NDFrame:
-    """One axis after the other, the last one first."""
-    for axis in reversed(tuple(range(x.ndim)) if axes is None else axes):
-        x = fft(x, axis=axis, norm=norm)
-    return x
-
-
-def ifftn(x: NDFrame, axes=None, norm: str = "backward") -> NDFrame:
-    for axis in reversed(tuple(range(x.ndim)) if axes is None else axes):
-        x = ifft(x, axis=axis, norm=norm)
-    return x
-
-
-def rfftn(x: NDFrame, axes=None, norm: str = "backward") -> NDFrame:
-    axes = tuple(range(x.ndim)) if axes is None else tuple(axes)
-    return fftn(rfft(x, axis=axes[-1], norm=norm), axes[:-1], norm)
+    return np.array(got[0], float).reshape(n, n) if got else np.zeros((n, n))
 
 
-def irfftn(x: NDFrame, axes=None, norm: str = "backward") -> NDFrame:
-    axes = tuple(range(x.ndim)) if axes is None else tuple(axes)
-    return irfft(ifftn(x, axes[:-1], norm), axis=axes[-1], norm=norm)
+# Fourier transforms: see fourier.py
 
 
 def fftshift(x: NDFrame, axes=None) -> NDFrame:

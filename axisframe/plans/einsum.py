@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..dtypes import promote, wider_sum
 from ..frame import BROADCAST_ELEMENTS, NDFrame
+from ..functions import complexes as C
 
 
 def parse(subscripts: str, ndims: Sequence[int]) -> tuple[list[str], str]:
@@ -105,7 +106,9 @@ def einsum(subscripts: str, *operands: NDFrame, optimize: str = "greedy") -> NDF
     size = sizes(terms, [x.shape for x in operands])
     kind = promote(*(x.dtype for x in operands))
     if kind.kind == "c":
-        raise TypeError("einsum is for real arrays")
+        times, total = C.multiply, lambda v: F.struct(F.sum(v["re"]).alias("re"), F.sum(v["im"]).alias("im"))
+    else:
+        times, total = (lambda a, b: (a * b).cast(kind.spark)), (lambda v: F.sum(v).cast(kind.spark))
     kind = wider_sum(kind) if kind.kind in "biu" else kind
     parts = []
     for x, t in zip(operands, terms):
@@ -124,13 +127,13 @@ def einsum(subscripts: str, *operands: NDFrame, optimize: str = "greedy") -> NDF
         else:
             raise ValueError("an outer product of two large arrays isn't materialised")
         kept = _merged(la, lb, [p[1] for p in parts], out)
-        product = both.select(*kept, (F.col("v") * F.col("w")).cast(kind.spark).alias("v"))
+        product = both.select(*kept, times(F.col("v"), F.col("w")).alias("v"))
         if set(la + lb) - set(kept):
-            product = product.groupBy(*kept).agg(F.sum("v").cast(kind.spark).alias("v"))
+            product = product.groupBy(*kept).agg(total(F.col("v")).alias("v"))
         parts.append((product, kept, math.prod(size[c] for c in kept)))
     df, labels, _ = parts[0]
     if set(labels) != set(out) or len(operands) == 1:
-        df = df.groupBy(*out).agg(F.sum("v").cast(kind.spark).alias("v"))
+        df = df.groupBy(*out).agg(total(F.col("v")).alias("v"))
     return NDFrame(df.select(*(F.col(c).alias(f"i{k}") for k, c in enumerate(out)), "v"), [size[c] for c in out], kind)
 
 

@@ -761,4 +761,4 @@ def rolling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-from . import index_queries  # noqa: E402, F401  registers its queries
+from . import index_queries, whole_queries  # noqa: E402, F401  they register their queries

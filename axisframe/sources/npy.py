@@ -1,4 +1,4 @@
-"""Binary array files (.npy and .npz) read by tasks and written in blocks."""
+"""Binary array files (.npy, .npz and raw ones) read by tasks and written by tasks, block by block."""
 
 from __future__ import annotations
 
@@ -7,20 +7,22 @@ import io
 import math
 import struct
 import zipfile
+import zlib
 from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dtypes import DTYPES, dtype
 from ..frame import NDFrame, idx
-from ..storage import numbered, ready
+from ..storage import numbered, ready, saved
+from . import ranges
 from .text import fromstring
 
 #: Elements of one block when an array is written.
-WRITE_BLOCK = 1 << 20
+WRITE_BLOCK = 1 << 18
 
 
 def header(data: bytes) -> tuple[np.dtype, bool, tuple[int, ...], int]:
@@ -101,36 +103,138 @@ def _file_bytes(kind: np.dtype, shape: tuple[int, ...]) -> bytes:
     return head.getvalue()
 
 
-def save(x: NDFrame, path: str) -> None:
-    """One .npy file through Spark's file systems.
-
-    Tasks make blocks of bytes; the driver passes one block at a time on to the
-    file, as the format is one stream.  For large arrays write ``x.df`` as
-    Parquet instead, which all tasks write.
-    """
-    spark, kind = x.spark, np.dtype(x.dtype.name)
+def _blocks(x: NDFrame, member: int, made) -> DataFrame:
+    """The array's blocks in C order: member, block, and the bytes that ``made(values, block)`` gives, with the size and checksum of those before compression."""
+    kind = np.dtype(x.dtype.name)
     rows = x.df.select(x.flat_index().alias("at"), F.col("v")).withColumn("block", F.floor(F.col("at") / WRITE_BLOCK))
 
     def pack(key, t):
+        block = key[0].as_py()
         order = np.argsort(t["at"].to_numpy())
+        v = t["v"].combine_chunks()
         if kind.kind == "c":
-            v = t["v"].combine_chunks()
-            own = (v.field(0).to_numpy() + 1j * v.field(1).to_numpy()).astype(kind)
+            own = (v.field(0).to_numpy(zero_copy_only=False) + 1j * v.field(1).to_numpy(zero_copy_only=False)).astype(kind)
+        elif kind.name == "uint64":
+            own = np.array(v.to_pylist(), dtype=object).astype(kind)
         else:
-            own = np.array(t["v"].to_pylist()).astype(kind)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([own[order].tobytes()], pa.binary())})
+            own = v.to_numpy(zero_copy_only=False).astype(kind)
+        raw, data = made(own[order], block)
+        return pa.table({"member": pa.array([member], pa.int32()), "block": [block], "data": pa.array([data], pa.binary()), "raw": [len(raw)], "crc": [zlib.crc32(raw)]})
+
+    return rows.groupBy("block").applyInArrow(pack, "member int, block long, data binary, raw long, crc long")
+
+
+def _plain(values: np.ndarray, block: int) -> tuple[bytes, bytes]:
+    raw = values.tobytes()
+    return raw, raw
+
+
+def _whole_numbers(x: NDFrame) -> tuple[int, int]:
+    """How many blocks the array has, and how many bytes its elements."""
+    return -(-x.size // WRITE_BLOCK), x.size * np.dtype(x.dtype.name).itemsize
+
+
+def _at_fixed_places(x: NDFrame, member: int, begin: int) -> DataFrame:
+    step = WRITE_BLOCK * np.dtype(x.dtype.name).itemsize
+    return _blocks(x, member, _plain).withColumn("at", F.lit(begin).cast("long") + F.col("block") * step)
+
+
+def _at_running_places(blocks: DataFrame, n: int, begin: int) -> DataFrame:
+    """Saved blocks of any sizes, one behind the other: a running sum of sizes tells where."""
+    sizes = NDFrame(blocks.select(F.col("block").alias("i0"), F.octet_length("data").cast("long").alias("v")), [n], "int64")
+    ends = sizes.scan(F.sum, lambda a, b: a + b, 0).df.select(F.col("i0").alias("block"), F.col("v").alias("end"))
+    return blocks.join(ends, "block").withColumn("at", F.lit(begin).cast("long") + F.col("end") - F.octet_length("data"))
 
-    blocks = rows.groupBy("block").applyInArrow(pack, "block long, data binary").repartitionByRange("block").sortWithinPartitions("block")
+
+def save(x: NDFrame, path: str) -> None:
+    """One .npy file: tasks write their blocks at their places in it, and the commit gives it its head and name.
+
+    The path must be on a file system that the driver and all executors mount.
+    On another store a file can't be written at many places; there the driver
+    passes one block at a time on.
+    """
+    head = _file_bytes(np.dtype(x.dtype.name), x.shape)
+    if ranges.mounted(path) is None:
+        return _streamed(x, path, head)
+    blocks, size = _whole_numbers(x)
+    members = [ranges.Member(path, head, blocks, size, size)]
+    (begin,) = ranges.placed(members, False)
+    return ranges.write(x.spark, _at_fixed_places(x, 0, begin), members, path, False)
+
+
+def _streamed(x: NDFrame, path: str, head: bytes) -> None:
+    spark = x.spark
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
     try:
-        out.write(bytearray(_file_bytes(kind, x.shape)))
-        for r in blocks.toLocalIterator():
+        out.write(bytearray(head))
+        for r in _blocks(x, 0, _plain).repartitionByRange("block").sortWithinPartitions("block").toLocalIterator():
             out.write(bytearray(r["data"]))
     finally:
         out.close()
 
 
+def savez(path: str, **arrays: NDFrame) -> None:
+    """An archive of arrays by name, not compressed: every byte's place is known before any is written."""
+    spark, members = next(iter(arrays.values())).spark, []
+    for name, x in arrays.items():
+        blocks, size = _whole_numbers(x)
+        members.append(ranges.Member(f"{name}.npy", _file_bytes(np.dtype(x.dtype.name), x.shape), blocks, size, size))
+    parts = None
+    for k, (x, begin) in enumerate(zip(arrays.values(), ranges.placed(members, True))):
+        own = _at_fixed_places(x, k, begin)
+        parts = own if parts is None else parts.unionByName(own)
+    ranges.write(spark, parts, members, _mounted(path), True)
+
+
+def savez_compressed(path: str, **arrays: NDFrame) -> None:
+    """An archive of compressed arrays by name.
+
+    Each block is compressed on its own and ends on a whole byte, so that
+    blocks joined are one stream.  They are saved once, which gives the sizes
+    that their places follow from.
+    """
+    spark, members, saves = next(iter(arrays.values())).spark, [], []
+    for k, (name, x) in enumerate(arrays.items()):
+        n, size = _whole_numbers(x)
+
+        def squeezed(values, block, n=n):
+            c, raw = zlib.compressobj(6, zlib.DEFLATED, -15), values.tobytes()
+            return raw, c.compress(raw) + c.flush(zlib.Z_FINISH if block == n - 1 else zlib.Z_FULL_FLUSH)
+
+        saves.append(saved(_blocks(x, k, squeezed), "squeezed"))
+        stored = saves[-1].agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
+        members.append(ranges.Member(f"{name}.npy", _file_bytes(np.dtype(x.dtype.name), x.shape), n, size, stored, True))
+    parts = None
+    for own, m, begin in zip(saves, members, ranges.placed(members, True)):
+        own = _at_running_places(own, m.blocks, begin)
+        parts = own if parts is None else parts.unionByName(own)
+    ranges.write(spark, parts, members, _mounted(path), True)
+
+
+def tofile(x: NDFrame, path: str, sep: str = "") -> None:
+    """A file of raw values, or of their text with ``sep`` between them."""
+    n, size = _whole_numbers(x)
+    if not sep:
+        members, blocks = [ranges.Member(path, b"", n, size, size)], _at_fixed_places(x, 0, 0)
+    else:
+
+        def written(values, block):
+            text = (("" if block == 0 else sep) + sep.join(map(str, values.tolist()))).encode()
+            return text, text
+
+        own = saved(_blocks(x, 0, written), "text")
+        size = own.agg(F.sum("raw")).first()[0] or 0
+        members, blocks = [ranges.Member(path, b"", n, size, size)], _at_running_places(own, n, 0)
+    ranges.write(x.spark, blocks, members, _mounted(path), False)
+
+
+def _mounted(path: str) -> str:
+    if ranges.mounted(path) is None:
+        raise ValueError(f"{path}: tasks write at many places of a file, which needs a file system that all machines mount")
+    return path
+
+
 class NpzFile(Mapping):
     """The arrays of an .npz file by their names, each read when it is asked for."""
 

@@ -190,3 +190,58 @@ def test_made_from_nothing(spark):
     np.testing.assert_array_equal(creation.diagflat(creation.array(spark, [[1, 2], [3, 4]]), -1).to_numpy(), np.diagflat([[1, 2], [3, 4]], -1))
     with pytest.raises(Exception, match="infs or NaNs"):
         creation.asarray_chkfinite(spark, [1.0, float("nan")]).to_numpy()
+
+
+def test_orthogonal_factors_are_worked_out_in_the_jvm(spark):
+    r = np.random.default_rng(4)
+    for shape in ((3, 4, 4), (2, 6, 3), (2, 3, 5), (4, 2, 2), (2, 1, 1)):
+        a = r.normal(size=shape) * 10.0 ** r.integers(-3, 4)
+        x = creation.array(spark, a)
+        u, s, v = (y.to_numpy() for y in stacks.svd(x))
+        np.testing.assert_allclose(s, np.linalg.svd(a, compute_uv=False), rtol=1e-10)
+        np.testing.assert_allclose(u * s[:, None, :] @ v, a, atol=1e-10 * abs(a).max())
+        np.testing.assert_allclose(np.swapaxes(u, 1, 2) @ u, np.broadcast_to(np.eye(min(shape[1:])), (shape[0],) + (min(shape[1:]),) * 2), atol=1e-10)
+        np.testing.assert_allclose(stacks.pinv(x).to_numpy() * abs(a).max(), np.linalg.pinv(a) * abs(a).max(), atol=1e-7)
+        np.testing.assert_allclose(stacks.cond(x).to_numpy(), np.linalg.cond(a), rtol=1e-7)
+        q, t = (y.to_numpy() for y in stacks.qr(x))
+        wq, wt = np.linalg.qr(a)
+        np.testing.assert_allclose(q, wq, atol=1e-10)
+        np.testing.assert_allclose(t, wt, atol=1e-10 * abs(a).max())
+        if shape[1] == shape[2]:
+            h = a + np.swapaxes(a, 1, 2)
+            w, e = (y.to_numpy() for y in stacks.eigh(creation.array(spark, h)))
+            np.testing.assert_allclose(w, np.linalg.eigvalsh(h), atol=1e-10 * abs(h).max())
+            np.testing.assert_allclose(h @ e, e * w[:, None, :], atol=1e-9 * abs(h).max())
+
+
+def test_lacking_ranks_and_tiny_scales(spark):
+    a = np.array([[[1.0, 2, 3], [2, 4, 6], [1, 0, 1]], [[0.0] * 3] * 3, [[1e-200, 0, 0], [0, 2e-200, 0], [0, 0, 3e-200]]])
+    x = creation.array(spark, a)
+    assert stacks.matrix_rank(x).to_numpy().tolist() == [2, 0, 3]
+    u, s, v = (y.to_numpy() for y in stacks.svd(x))
+    np.testing.assert_allclose(np.swapaxes(u, 1, 2) @ u, np.broadcast_to(np.eye(3), (3, 3, 3)), atol=1e-10)
+    np.testing.assert_allclose(u * s[:, None, :] @ v, a, atol=1e-10)
+    tiny = creation.array(spark, np.diag([1e-200, 2e-200])[None])
+    np.testing.assert_allclose(stacks.inv(tiny).to_numpy()[0], np.diag([1e200, 5e199]), rtol=1e-12)
+    big = creation.array(spark, np.diag([1e200, 2e200, 4e200])[None])
+    np.testing.assert_allclose(stacks.solve(big, creation.array(spark, np.array([[1e200, 2e200, 8e200]]))).to_numpy()[0], [1, 1, 2])
+
+
+def test_long_lanes_are_divided_without_a_sort(spark, monkeypatch):
+    from axisframe.operators import selection
+
+    monkeypatch.setattr(selection, "WHOLE", 8)
+    monkeypatch.setattr(selection, "BLOCK", 16)
+    monkeypatch.setattr(selection, "PIVOTS", 3)
+    r = np.random.default_rng(8)
+    a = np.stack([r.permutation(150).astype(float), r.integers(0, 4, 150).astype(float), np.where(np.arange(150) % 3, np.nan, np.arange(150))])
+    x = creation.array(spark, a)
+    for kth in (0, 70, 149):
+        got, places = lanes.partition(x, kth, 1).to_numpy(), lanes.argpartition(x, kth, 1).to_numpy()
+        np.testing.assert_array_equal(np.take_along_axis(a, places, 1), got)
+        want = np.sort(a, axis=1)
+        np.testing.assert_array_equal(got[:, kth], want[:, kth])
+        np.testing.assert_array_equal(np.sort(got[:, :kth], axis=1), want[:, :kth])
+        np.testing.assert_array_equal(np.sort(got[:, kth:], axis=1), want[:, kth:])
+    lone = lanes.partition(creation.array(spark, a[0]), 30).to_numpy()
+    assert lone[30] == 30 and lone[:30].max() < 30

@@ -34,8 +34,10 @@ UNITS = (
     "w", "kw", "v", "a", "n", "j", "kj", "pa", "kpa", "k", "c", "f", "percent", "dollar", "dollars", "cent", "cents", "euro", "euros",
 )
 
-_NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*+"
-_MEASURE = rf"{_NUMBER} ?((?i:{'|'.join(UNITS)}))\b"
+# Both patterns take time in proportion to the text: a number is begun once, at its own start, and never given back.
+_NUMBER = r"[0-9]++(?:[.,:/][0-9]++)*+"
+_START = r"(?<![0-9])(?<![0-9][.,:/])"
+_MEASURE = rf"{_START}{_NUMBER} ?((?i:{'|'.join(UNITS)}))\b"
 #: Capitalised words after a small letter, digit, comma or semicolon and a blank: not at a sentence's start.
 _NAME = r"([\p{Ll}0-9,;] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*+)"
 
@@ -55,9 +57,11 @@ def tokens(text: Column) -> Column:
 def exact(text: Column) -> Column:
     """The template with what each placeholder stands for behind it, token by token in the same places."""
     t = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "§ʘ", "  "), _NAME, "$1 §n$2§e ")
-    t = F.regexp_replace(t, r"(?<=\p{Ll}) (?=\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*+§e)", "ʘ")
-    t = F.regexp_replace(F.regexp_replace(t, "§e", ""), _MEASURE.replace(_NUMBER, f"({_NUMBER})"), " §d$1 §u$2 ")
-    t = F.regexp_replace(t, rf"(?<!§d)(?<![0-9])(?<![0-9][.,:/])({_NUMBER})", " §d$1 ")
+    # Behind each sign either a run of names, whose blanks are joined, or the text after it.
+    part = lambda s, k: F.when(k == 0, s).when(s.startswith("n"), F.concat(F.lit("§"), F.translate(s, " ", "ʘ"))).otherwise(F.substr(s, F.lit(2)))
+    t = F.array_join(F.transform(F.split(t, "§"), part), "")
+    t = F.regexp_replace(t, _MEASURE.replace(_NUMBER, f"({_NUMBER})"), " §d$1 §u$2 ")
+    t = F.regexp_replace(t, rf"(?<!§d){_START}({_NUMBER})", " §d$1 ")
     t = F.regexp_replace(t, "(?<=[0-9])[.,:/](?=[0-9])", "ʘ")
     t = F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}§]+", " "))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
@@ -102,8 +106,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = LEAST_SHAR
 
     Null and empty texts hold nothing and are found nowhere; rows with a null
     id are ignored; rows that repeat an id are compared each, and their best
-    match is returned once.  Other columns are ignored; empty tables give no
-    rows.
+    match is returned once.  Very long texts are read whole, in time that
+    grows as they do.  Of equally good alignments it doesn't matter which one
+    counts.  Other columns are ignored; empty tables give no rows.
     """
     bench = benchmark.filter("item_id is not null").select("item_id", tokens(F.col("text")).alias("bt"), exact(F.col("text")).alias("be"), slots(F.col("text")).alias("bv")).filter(F.size("bt") > 0)
     bench = saved(bench, "benchmark")

@@ -231,3 +231,35 @@ def test_exact_templates_keep_places(spark):
     r = spark.createDataFrame([(text,)], "text string").select(decontaminate.tokens(F.col("text")).alias("t"), decontaminate.exact(F.col("text")).alias("e")).first()
     assert len(r["t"]) == len(r["e"]) and all(e == t or e.startswith(t) and t[0] == "§" for t, e in zip(r["t"], r["e"]))
     assert "§ntomʘjones" in r["e"] and "§d3ʘ5" in r["e"]
+
+
+def test_long_lists_take_time_in_proportion(spark):
+    """A megabyte of numbers, and one of names: the patterns begin each once."""
+    import time
+
+    rows = [(1, "a " + "1," * 500_000), (2, "the " + "Abcde " * 170_000), (3, "1.5/2:3" * 100_000)]
+    df = spark.createDataFrame(rows, "k long, text string")
+    began = time.time()
+    got = {r["k"]: r for r in df.select("k", F.size(decontaminate.tokens(F.col("text"))).alias("t"), F.size(decontaminate.exact(F.col("text"))).alias("e"), F.size(decontaminate.slots(F.col("text"))["d"]).alias("d")).collect()}
+    assert time.time() - began < 60
+    assert (got[1]["t"], got[1]["e"], got[1]["d"]) == (2, 2, 1) and (got[2]["t"], got[2]["e"]) == (2, 2) and got[3]["d"] == 1
+
+
+def test_templates_of_names_numbers_and_units(spark):
+    text = "n we saw Ann Bell and 12 kg, then New York City with 3.5/2 km or 7, 1,000 miles"
+    got = spark.createDataFrame([(text,)], "text string").select(decontaminate.tokens(F.col("text")), decontaminate.exact(F.col("text")), decontaminate.slots(F.col("text"))).first()
+    assert got[0] == "n we saw §n and §d §u then §n with §d §u or §d §d §u".split()
+    assert len(got[1]) == len(got[0]) and [e[2:] for e in got[1] if e.startswith("§")] == ["annʘbell", "12", "kg", "newʘyorkʘcity", "3ʘ5ʘ2", "km", "7", "1ʘ000", "miles"]
+    assert (got[2]["n"], got[2]["d"], got[2]["u"]) == (["ann bell", "new york city"], ["12", "3.5/2", "7", "1,000"], ["kg", "km", "miles"])
+
+
+def test_runs_of_many_small_documents_are_bounded():
+    sizes = np.ones(1 << 14, np.int64)
+    own = packing.windows(sizes, 2048)
+    assert np.bincount(own).max() <= 2048
+
+
+def test_many_small_documents_are_packed_in_bounded_runs(spark):
+    df = spark.range(700).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")).coalesce(1)
+    got = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), run_documents=64).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count_distinct("doc_id").alias("docs")).collect()
+    assert sum(r["docs"] for r in got) == 700 and max(r["docs"] for r in got) <= 64

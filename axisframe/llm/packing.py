@@ -167,12 +167,15 @@ def _pack_run(run: list, capacity: int, first: int) -> tuple[dict, int]:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, closing_id: int = 1, run_tokens: int = 1 << 20, special_as_text: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, closing_id: int = 1, run_tokens: int = 1 << 20, run_documents: int = 1 << 14, special_as_text: bool = False) -> DataFrame:
     """A row for every piece of every document, with its sequence and place there.
 
     ``vocabulary`` is the path of a byte-level BPE file, which must be there on
     every executor.  Each id lies in exactly one piece; a document is cut
     at multiples of ``capacity``, and a few long rests into small pieces; a sequence's pieces fill it gapless from 0.
+    Documents are packed in runs of at most ``run_tokens`` ids (and one text)
+    and ``run_documents`` rows, which bounds what a task remembers of the
+    merges: their number times the number of windows.
     ``special_as_text`` is as in Tokenizer.
     A null or empty text is the closing id alone.  Null and repeated doc_ids
     are packed as any other row.  An empty table gives no rows.
@@ -196,7 +199,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, closing_id: int
                     raw = model.encode(text or "")
                     run.append((doc, raw + closing))
                     held += len(raw) // 4 + 1
-                    if held >= run_tokens:
+                    if held >= run_tokens or len(run) >= run_documents:
                         out, first = _pack_run(run, capacity, first)
                         yield pa.RecordBatch.from_pydict(out, _ARROW)
                         run, held = [], 0

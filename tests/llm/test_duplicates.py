@@ -170,3 +170,11 @@ def test_growth_of_shared_passages(spark):
     df = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("q"), F.col("id"), F.lit(" "), F.lit(passage), F.lit(" r"), F.col("id")).alias("text"))
     got = substring_dedup.remove_repeats(df).groupBy("n_removed").count().collect()
     assert {r["n_removed"]: r["count"] for r in got} == {0: 1, 64: 199}
+
+
+def test_a_row_doesnt_lose_what_another_row_of_its_id_has(spark):
+    """Both rows begin and end alike; only one of them is a copy."""
+    s = [f"s{k}" for k in range(60)]
+    rows = [(1, " ".join(s)), (2, " ".join(s)), (2, " ".join(s[:8] + [f"x{k}" for k in range(44)] + s[52:]))]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_removed"], len(r["kept"].split())) for r in got) == [(1, 0, 60), (2, 0, 60), (2, 60, 0)]

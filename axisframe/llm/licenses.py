@@ -4,9 +4,11 @@ Comment signs and list numbers are taken from the starts of lines.  A text is
 then cut into sentences at sentence ends and blank lines, and into lines; both
 are normalised to lower-case letters and digits with single blanks.
 Known licence sentences have identifiers.  The identifiers of a document's
-sentences, in their order and without the unknown ones between them, are
-matched against rules: sequences of identifiers that name a licence.  Short
-notices are rules of one identifier and are looked up among the lines as well.
+sentences, in their order, are matched against rules: sequences of identifiers
+that name a licence.  A rule bounds how many unknown sentences may stand
+between two of its own (none at all where one could change the licence).  Names
+of holders are slots: a sentence is known whatever stands there.  Short notices
+are rules of one identifier and are looked up among the lines as well.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ SENTENCES = {
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-endorse-author": "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-advert": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
     "bsd-as-is": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "isc-as-is": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
@@ -93,6 +97,8 @@ RULES = [
     ("mit-text", "MIT", ("mit-grant", "mit-notice", "mit-as-is")),
     ("mit-no-notice", "MIT", ("mit-grant", "mit-as-is")),
     ("bsd-3-text", "BSD-3-Clause", ("bsd-use", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is")),
+    ("bsd-3-author-text", "BSD-3-Clause", ("bsd-use", "bsd-source", "bsd-binary", "bsd-endorse-author", "bsd-as-is")),
+    ("bsd-4-text", "BSD-4-Clause", ("bsd-use", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse", "bsd-as-is")),
     ("bsd-2-text", "BSD-2-Clause", ("bsd-use", "bsd-source", "bsd-binary", "bsd-as-is")),
     ("isc-text", "ISC", ("isc-grant", "isc-as-is")),
     ("apache-header", "Apache-2.0", ("apache-head", "apache-as-is", "apache-see")),
@@ -128,6 +134,13 @@ RULES = [
     ),
 ]
 
+#: How many sentences on the next one of a rule may stand: 1 is right behind. An unknown clause would make the second BSD rule another licence.
+LEAP = 6
+LEAPS = {"bsd-2-text": 1}
+
+#: Sentences with a slot for a holder's name, and the form that SENTENCES has.
+SLOTS = (r"^neither the name of [a-z0-9 ]{1,120}? nor the names of (?:[a-z]+ )?contributors may be used", "neither the name of the copyright holder nor the names of its contributors may be used")
+
 #: Every rule has a sentence with one of these, so texts without any need no cutting.
 KEYWORDS = ("licen", "permi", "softw", "redis", "liabl", "cc0", "cc by")
 
@@ -135,6 +148,8 @@ KEYWORDS = ("licen", "permi", "softw", "redis", "liabl", "cc0", "cc by")
 _LEAD = r"(?m)^[ \t#/*;%>!<-]*(?:[(]?[0-9a-z]{1,2}[.)][ \t]+)?"
 #: A blank line or a line that ends with a colon; a sentence's end before what may start another, a digit or a comment sign included if a word comes before.
 _BREAK, _END, _END_OF_WORD = r":?[ \t]*\r?\n[ \t]*\r?\n|:[ \t]*\r?\n", r"([.!?])[ \t\r\n]+([A-Z(*\"])", r"([a-z]{2}[.!?:])[ \t\r\n]+([0-9#/<])"
+#: What comes before a list ends a sentence on one line, too.
+_END_OF_HEAD = r"((?:met|conditions|restrictions|acknowledgement):)[ \t\r\n]+([A-Z(*\"])"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -151,11 +166,17 @@ def _normal(c: Column) -> Column:
 
 
 def _cut(text: Column) -> Column:
-    """(place, line, sentence) of all sentences and lines, normalised; line tells which of the two it is."""
+    """(place, line, sentence, rank) of all sentences and lines, normalised; line tells which of the two it is, rank counts those of over three characters."""
     # Lines end at line feeds alone, and loops give nothing back.
     text = F.regexp_replace(text, _LEAD.replace("(?m)", "(?md)").replace("]*(", "]*+(").replace(")?", ")?+"), "")
-    whole = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _BREAK, "\u0001"), _END_OF_WORD, "$1\u0001$2"), _END, "$1\u0001$2")
-    part = lambda c, sep, line: F.transform(F.split(c, sep), lambda x, i: F.struct(i.alias("place"), F.lit(line).alias("line"), _normal(x).alias("sentence")))
+    whole = F.regexp_replace(text, _BREAK, "\u0001")
+    for end in (_END_OF_WORD, _END_OF_HEAD, _END):
+        whole = F.regexp_replace(whole, end, "$1\u0001$2")
+
+    def part(c: Column, sep: str, line: bool) -> Column:
+        every = F.transform(F.split(c, sep), lambda x, i: F.struct(i.alias("place"), F.regexp_replace(_normal(x), *SLOTS).alias("sentence")))
+        return F.transform(F.filter(every, lambda x: F.length(x["sentence"]) > 3), lambda x, i: F.struct(x["place"].alias("place"), F.lit(line).alias("line"), x["sentence"].alias("sentence"), i.alias("rank")))
+
     return F.concat(part(whole, "\u0001", False), part(text, "\n", True))
 
 
@@ -166,17 +187,20 @@ def licences(docs: DataFrame) -> DataFrame:
     line of their own) or else sentence at which the rule's sequence starts.
     Null and empty texts match nothing; rows with a null doc_id are ignored;
     rows that repeat a doc_id are one document, and count once if they are
-    equal.  Whole texts count.  Other columns are ignored; an empty table gives
+    equal.  Whole texts count.  Between two sentences of a rule at most LEAP - 1
+    unknown ones may stand, or what LEAPS has for the rule.  Other columns are ignored; an empty table gives
     no rows.
     """
     spark = docs.sparkSession
     known = F.broadcast(spark.createDataFrame([(normalised(s), k, k.startswith("line-")) for k, s in SENTENCES.items()], "sentence string, name string, line boolean"))
-    rules = F.broadcast(spark.createDataFrame([(name, licence, list(ids), ids[0], len(ids)) for name, licence, ids in RULES], "rule string, licence string, ids array<string>, first string, n_sentences long"))
+    rules = F.broadcast(spark.createDataFrame([(name, licence, list(ids), ids[0], len(ids), LEAPS.get(name, LEAP)) for name, licence, ids in RULES], "rule string, licence string, ids array<string>, first string, n_sentences long, leap int"))
     some = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike(f"(?i){'|'.join(KEYWORDS)}"))
-    found = some.select("doc_id", F.explode(_cut(F.col("text"))).alias("s")).select("doc_id", "s.*").filter(F.length("sentence") > 0).join(known.withColumnRenamed("line", "short"), "sentence").filter("short or not line").select("doc_id", "line", "place", "name").distinct()
+    found = some.select("doc_id", F.explode(_cut(F.col("text"))).alias("s")).select("doc_id", "s.*").join(known.withColumnRenamed("line", "short"), "sentence").filter("short or not line").select("doc_id", "line", "place", "name", "rank").distinct()
     # As many rows as a document has known sentences at different places.
-    sequence = found.groupBy("doc_id", "line").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("seen"))
-    at = F.filter(F.sequence(F.lit(0), F.size("seen") - F.size("ids")), lambda k: F.transform(F.slice("seen", k + 1, F.size("ids")), lambda x: x["name"]) == F.col("ids"))
+    sequence = found.groupBy("doc_id", "line").agg(F.array_sort(F.collect_list(F.struct("place", "name", "rank"))).alias("seen"))
+    near = lambda own: F.forall(F.zip_with(own, F.slice(own, 2, F.greatest(F.size("ids"), F.lit(1))), lambda a, b: b["rank"] - a["rank"]), lambda d: F.coalesce(d <= F.col("leap"), F.lit(True)))
+    fits = lambda own: (F.transform(own, lambda x: x["name"]) == F.col("ids")) & near(own)
+    at = F.filter(F.sequence(F.lit(0), F.size("seen") - F.size("ids")), lambda k: fits(F.slice("seen", k + 1, F.size("ids"))))
     names = F.array_distinct(F.transform("seen", lambda x: x["name"]))
     starts = sequence.select("doc_id", "line", "seen", F.explode(names).alias("first")).join(rules, "first").filter(F.size("seen") >= F.size("ids"))
     starts = starts.select("doc_id", "line", "licence", "rule", "n_sentences", F.get("seen", F.get(at, F.lit(0)))["place"].cast("long").alias("place")).filter("place is not null")
@@ -188,17 +212,18 @@ def oracle() -> str:
     """SQL for the rows of ``licences`` on a table ``documents``."""
     text = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({text(normalised(s))}, {text(k)}, {str(k.startswith('line-')).lower()})" for k, s in SENTENCES.items())
-    rules = ", ".join(f"({text(n)}, {text(x)}, [{', '.join(map(text, ids))}])" for n, x, ids in RULES)
+    rules = ", ".join(f"({text(n)}, {text(x)}, [{', '.join(map(text, ids))}], {LEAPS.get(n, LEAP)})" for n, x, ids in RULES)
     return f"""
-WITH known(sentence, name, line) AS (VALUES {known}), rules(rule, licence, ids) AS (VALUES {rules}),
+WITH known(sentence, name, line) AS (VALUES {known}), rules(rule, licence, ids, leap) AS (VALUES {rules}),
 d AS (SELECT doc_id, regexp_replace(text, '{_LEAD}', '', 'g') AS text FROM documents WHERE text IS NOT NULL),
 p AS (
-  SELECT doc_id, false AS line, string_split(regexp_replace(regexp_replace(regexp_replace(text, '{_BREAK}', chr(1), 'g'), '{_END_OF_WORD}', '\\1' || chr(1) || '\\2', 'g'), '{_END}', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS parts FROM d
+  SELECT doc_id, false AS line, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{_BREAK}', chr(1), 'g'), '{_END_OF_WORD}', '\\1' || chr(1) || '\\2', 'g'), '{_END_OF_HEAD}', '\\1' || chr(1) || '\\2', 'g'), '{_END}', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS parts FROM d
   UNION ALL SELECT doc_id, true, string_split(text, chr(10)) FROM d
 ),
-s AS (SELECT doc_id, line, generate_subscripts(parts, 1) - 1 AS place, trim(regexp_replace(translate(unnest(parts), '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM p),
-f AS (SELECT DISTINCT doc_id, s.line, place, name FROM s JOIN known ON known.sentence = s.sentence AND (known.line OR NOT s.line)),
-n AS (SELECT doc_id, line, place, name, row_number() OVER (PARTITION BY doc_id, line ORDER BY place) AS k FROM f),
-q AS (SELECT doc_id, line, list(name ORDER BY k) AS names, list(place ORDER BY k) AS places FROM n GROUP BY doc_id, line),
-m AS (SELECT n.doc_id, n.line, rule, licence, ids, place FROM n JOIN q ON q.doc_id = n.doc_id AND q.line = n.line JOIN rules ON ids[1] = name WHERE names[k : k + len(ids) - 1] = ids)
+s AS (SELECT doc_id, line, generate_subscripts(parts, 1) - 1 AS place, regexp_replace(trim(regexp_replace(translate(unnest(parts), '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')), '{SLOTS[0]}', '{SLOTS[1]}') AS sentence FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY place) AS rank FROM s WHERE length(sentence) > 3),
+f AS (SELECT DISTINCT doc_id, r.line, place, rank, name FROM r JOIN known ON known.sentence = r.sentence AND (known.line OR NOT r.line)),
+n AS (SELECT doc_id, line, place, name, rank, row_number() OVER (PARTITION BY doc_id, line ORDER BY place) AS k FROM f),
+q AS (SELECT doc_id, line, list(name ORDER BY k) AS names, list(place ORDER BY k) AS places, list(rank ORDER BY k) AS ranks FROM n GROUP BY doc_id, line),
+m AS (SELECT n.doc_id, n.line, rule, licence, ids, place FROM n JOIN q ON q.doc_id = n.doc_id AND q.line = n.line JOIN rules ON ids[1] = name WHERE names[k : k + len(ids) - 1] = ids AND coalesce(list_bool_and(list_transform(range(1, len(ids)), lambda j: ranks[k + j] - ranks[k + j - 1] <= leap)), true))
 SELECT doc_id, licence, rule, CAST(len(any_value(ids)) AS BIGINT) AS n_sentences, CAST(coalesce(min(place) FILTER (line), min(place)) AS BIGINT) AS place FROM m GROUP BY doc_id, licence, rule"""

@@ -263,3 +263,49 @@ def test_many_small_documents_are_packed_in_bounded_runs(spark):
     df = spark.range(700).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")).coalesce(1)
     got = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), run_documents=64).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count_distinct("doc_id").alias("docs")).collect()
     assert sum(r["docs"] for r in got) == 700 and max(r["docs"] for r in got) <= 64
+
+
+def _licence_texts():
+    """Whole public texts, with what they are, as they are usually set."""
+    s = licenses.SENTENCES
+    name = "Neither the name of Example Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    advert = s["bsd-advert"] + " This product includes software developed by the Example organization."
+    bsd = [s["bsd-source"], s["bsd-binary"]]
+    grant = "Copyright (c) 2020 Example Inc. All rights reserved."
+    texts = {"BSD-2-Clause": bsd, "BSD-3-Clause": [*bsd, name], "BSD-4-Clause": [*bsd, advert, s["bsd-endorse"].replace("the copyright holder", "the Example organization")]}
+    out = {}
+    for licence, clauses in texts.items():
+        for layout, join in {
+            "numbered": "\n".join(f"{k}. {c}" for k, c in enumerate(clauses, 1)),
+            "bullets": "\n".join(f" * {c}" for c in clauses),
+            "apart": "\n\n".join(f"{k}. {c}" for k, c in enumerate(clauses, 1)),
+            "one line": " ".join(clauses),
+            "one numbered line": " ".join(f"{k}. {c}" for k, c in enumerate(clauses, 1)),
+        }.items():
+            between = " " if "one" in layout else "\n\n" if layout == "apart" else "\n"
+            out[licence, layout] = f"{grant}{between}{s['bsd-use']}{between}{join}{between}{s['bsd-as-is']} IN NO EVENT SHALL ANYONE BE LIABLE."
+    mit = [s["mit-grant"], s["mit-notice"], s["mit-as-is"], s["mit-liable"]]
+    out["MIT", "apart"], out["MIT", "one line"] = f"MIT License\n\n{grant}\n\n" + "\n\n".join(mit), f"{grant} " + " ".join(mit)
+    for licence, names in {"ISC": ("isc-grant", "isc-as-is"), "Apache-2.0": ("apache-head", "apache-copy", "apache-as-is", "apache-see"), "GPL-2.0-or-later": ("gpl-2-free", "gpl-hope", "gpl-see"), "GPL-3.0-or-later": ("gpl-3-free", "gpl-hope", "gpl-see")}.items():
+        for layout, lead in {"text": "", "hashes": "# ", "slashes": "// "}.items():
+            # The address stands on a line of its own.
+            address = lambda k: s[k].replace(" at http", f" at\n{lead}\n{lead}    http") + f"\n{lead}" * (k == "apache-copy")  # noqa: B023, E731
+            out[licence, layout] = "\n".join(f"{lead}{address(k)}" for k in names) + "\n\nint main() {}"
+    return out
+
+
+def test_whole_licence_texts_get_their_own_licence(spark):
+    texts = _licence_texts()
+    rows = list(enumerate(texts.values()))
+    got = {}
+    for r in licenses.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).add(r["licence"])
+    assert {(licence, layout): got.get(k) for k, (licence, layout) in enumerate(texts)} == {(licence, layout): {licence} for licence, layout in texts}
+
+
+def test_nothing_matches_across_foreign_sentences(spark):
+    s = licenses.SENTENCES
+    foreign = " ".join(f"Sentence number {k} is about something else." for k in range(500))
+    odd = "Redistributions must send a postcard to the author."
+    rows = [(1, f"{s['mit-grant']}\n{foreign}\n{s['mit-notice']} {s['mit-as-is']}"), (2, "\n".join([s["bsd-use"], s["bsd-source"], s["bsd-binary"], odd, s["bsd-as-is"]]))]
+    assert licenses.licences(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0

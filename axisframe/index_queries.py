@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import dtypes
 from .frame import NDFrame
 from .operators import comparison, contractions, creation, indexing, joining, lanes
-from .queries import _M, ORACLE_SQL, QUERIES, _matrix, _query, _rows, _table
+from .queries import _M, _S, ORACLE_SQL, QUERIES, _matrix, _query, _rows, _suppliers, _table
 
 #: The places along each row that sort it, and the matrix beside them.
 _ORDER = f"(SELECT r, c, v, row_number() OVER (PARTITION BY r ORDER BY v, c) - 1 AS k FROM {_M})"
@@ -115,22 +115,22 @@ def ediff1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.ediff1d(_table(spark, sf_dir, "orders"), ["o_orderkey"], "o_totalprice", [-1.0]).withColumn("v", F.round("v", 4))
 
 
-#: name: (array, SQL), made from nothing
+#: name: (array, SQL), of as many places as there are suppliers
 MADE = {
-    "zeros_like": (lambda s: creation.zeros_like(creation.arange(s, 5)), "SELECT k AS i0, 0 AS v FROM range(5) t(k)"),
-    "ones_like": (lambda s: creation.ones_like(creation.arange(s, 5.0)), "SELECT k AS i0, 1 AS v FROM range(5) t(k)"),
-    "empty": (lambda s: creation.empty(s, [3]), "SELECT k AS i0, 0 AS v FROM range(3) t(k)"),
-    "identity": (lambda s: creation.identity(s, 4), "SELECT a AS i0, b AS i1, CAST(a = b AS INT) AS v FROM range(4) t(a), range(4) u(b)"),
-    "diagflat": (lambda s: creation.diagflat(creation.arange(s, 4).reshape(2, 2), 1), "SELECT a AS i0, b AS i1, CASE WHEN b = a + 1 THEN a ELSE 0 END AS v FROM range(5) t(a), range(5) u(b)"),
-    "mgrid": (lambda s: creation.mgrid(s)[0:3, 0:1:5j][1], "SELECT a AS i0, b AS i1, b / 4.0 AS v FROM range(3) t(a), range(5) u(b)"),
-    "ogrid": (lambda s: creation.ogrid(s)[0:3, 10:20:5][1], "SELECT 0 AS i0, b AS i1, 10 + 5 * b AS v FROM range(2) u(b)"),
-    "r_": (lambda s: creation.r_(s)[0:3, 7, [5, 6]], "SELECT * FROM (VALUES (0, 0), (1, 1), (2, 2), (3, 7), (4, 5), (5, 6)) t(i0, v)"),
-    "c_": (lambda s: creation.c_(s)[0:3, 5:8], "SELECT a AS i0, b AS i1, a + 5 * b AS v FROM range(3) t(a), range(2) u(b)"),
-    "fromfunction": (lambda s: creation.fromfunction(s, lambda a, b: a * 10 + b, [3, 4]), "SELECT a AS i0, b AS i1, a * 10 + b AS v FROM range(3) t(a), range(4) u(b)"),
-    "fromiter": (lambda s: creation.fromiter(s, (k * k for k in range(9)), "int64", 4), "SELECT k AS i0, k * k AS v FROM range(4) t(k)"),
-    "frombuffer": (lambda s: creation.frombuffer(s, bytes(range(16)), "uint8", 4, 2), "SELECT k AS i0, k + 2 AS v FROM range(4) t(k)"),
-    "asarray_chkfinite": (lambda s: creation.asarray_chkfinite(s, [1.0, 2.5]), "SELECT * FROM (VALUES (0, 1.0), (1, 2.5)) t(i0, v)"),
-    "diag_indices": (lambda s: indexing.diag_indices(s, 5)[1], "SELECT k AS i0, k AS v FROM range(5) t(k)"),
+    "zeros_like": (lambda s, n: creation.zeros_like(creation.arange(s, n)), f"SELECT k AS i0, 0 AS v FROM range({_S}) t(k)"),
+    "ones_like": (lambda s, n: creation.ones_like(creation.arange(s, float(n))), f"SELECT k AS i0, 1 AS v FROM range({_S}) t(k)"),
+    "empty": (lambda s, n: creation.empty(s, [n]), f"SELECT k AS i0, 0 AS v FROM range({_S}) t(k)"),
+    "identity": (lambda s, n: creation.identity(s, n), f"SELECT a AS i0, b AS i1, CAST(a = b AS INT) AS v FROM range({_S}) t(a), range({_S}) u(b)"),
+    "diagflat": (lambda s, n: creation.diagflat(creation.arange(s, n), 1), f"SELECT a AS i0, b AS i1, CASE WHEN b = a + 1 THEN a ELSE 0 END AS v FROM range({_S} + 1) t(a), range({_S} + 1) u(b)"),
+    "mgrid": (lambda s, n: creation.mgrid(s)[0:n, 0:1:5j][1], f"SELECT a AS i0, b AS i1, b / 4.0 AS v FROM range({_S}) t(a), range(5) u(b)"),
+    "ogrid": (lambda s, n: creation.ogrid(s)[0:3, 10 : 10 + 5 * n : 5][1], f"SELECT 0 AS i0, b AS i1, 10 + 5 * b AS v FROM range({_S}) u(b)"),
+    "r_": (lambda s, n: creation.r_(s)[0:n, 7, [5, 6]], f"SELECT k AS i0, CASE k - {_S} WHEN 0 THEN 7 WHEN 1 THEN 5 WHEN 2 THEN 6 ELSE k END AS v FROM range({_S} + 3) t(k)"),
+    "c_": (lambda s, n: creation.c_(s)[0:n, 5 : 5 + n], f"SELECT a AS i0, b AS i1, a + 5 * b AS v FROM range({_S}) t(a), range(2) u(b)"),
+    "fromfunction": (lambda s, n: creation.fromfunction(s, lambda a, b: a * 10 + b, [n, 4]), f"SELECT a AS i0, b AS i1, a * 10 + b AS v FROM range({_S}) t(a), range(4) u(b)"),
+    "fromiter": (lambda s, n: creation.fromiter(s, (k * k for k in range(2 * n)), "int64", n), f"SELECT k AS i0, k * k AS v FROM range({_S}) t(k)"),
+    "frombuffer": (lambda s, n: creation.frombuffer(s, bytes(range(16)) * n, "uint8", 4 * n, 2), f"SELECT k AS i0, (k + 2) % 16 AS v FROM range(4 * {_S}) t(k)"),
+    "asarray_chkfinite": (lambda s, n: creation.asarray_chkfinite(s, [k / 2 for k in range(n)]), f"SELECT k AS i0, k / 2.0 AS v FROM range({_S}) t(k)"),
+    "diag_indices": (lambda s, n: indexing.diag_indices(s, n)[1], f"SELECT k AS i0, k AS v FROM range({_S}) t(k)"),
 }
 
 
@@ -139,7 +139,7 @@ def _made(name: str, f, sql: str) -> None:
 
     @_query(f"create_{name}", f"SELECT {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in places)}, CAST(v AS DOUBLE) + 0.0 AS v FROM ({sql})")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rows(f(spark), 6)
+        return _rows(f(spark, _suppliers(spark, sf_dir)), 6)
 
 
 for _name, (_f, _sql) in MADE.items():

@@ -685,22 +685,30 @@ def lstsq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(fit["l_quantity"], fit["intercept"])], "slope double, intercept double").select(F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"))
 
 
-# Creation
+# Creation: arrays of as many places as there are suppliers
 
+_S = "(SELECT count(*) FROM supplier)"
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> int:
+    return _table(spark, sf_dir, "supplier").count()
+
+
+_COS = f"cos(pi() * (2 * k - ({_S} - 1)) / ({_S} - 1))"
 CREATION = {
-    "arange": (lambda s: creation.arange(s, 3, 50, 4), "SELECT CAST(k AS BIGINT) AS i0, CAST(3 + 4 * k AS BIGINT) AS v FROM range(12) t(k)"),
-    "linspace": (lambda s: creation.linspace(s, -1.0, 2.0, 31), "SELECT CAST(k AS BIGINT) AS i0, -1.0 + k * 0.1 AS v FROM range(31) t(k)"),
-    "logspace": (lambda s: creation.logspace(s, 0.0, 2.0, 5), "SELECT CAST(k AS BIGINT) AS i0, pow(10.0, k * 0.5) AS v FROM range(5) t(k)"),
-    "geomspace": (lambda s: creation.geomspace(s, 1.0, 256.0, 9), "SELECT CAST(k AS BIGINT) AS i0, pow(2.0, k) AS v FROM range(9) t(k)"),
-    "eye": (lambda s: creation.eye(s, 4, 5, 1), "SELECT CAST(a AS BIGINT) AS i0, CAST(b AS BIGINT) AS i1, CASE WHEN b - a = 1 THEN 1.0 ELSE 0.0 END AS v FROM range(4) t(a), range(5) u(b)"),
-    "tri": (lambda s: creation.tri(s, 4), "SELECT CAST(a AS BIGINT) AS i0, CAST(b AS BIGINT) AS i1, CASE WHEN b <= a THEN 1.0 ELSE 0.0 END AS v FROM range(4) t(a), range(4) u(b)"),
-    "vander": (lambda s: creation.vander(creation.arange(s, 1.0, 5.0), 3), "SELECT CAST(a AS BIGINT) AS i0, CAST(b AS BIGINT) AS i1, pow(a + 1.0, 2 - b) AS v FROM range(4) t(a), range(3) u(b)"),
-    "meshgrid": (lambda s: creation.meshgrid(creation.arange(s, 3), creation.arange(s, 2))[0], "SELECT CAST(a AS BIGINT) AS i0, CAST(b AS BIGINT) AS i1, CAST(b AS BIGINT) AS v FROM range(2) t(a), range(3) u(b)"),
-    "hanning": (lambda s: creation.hanning(s, 12), "SELECT CAST(k AS BIGINT) AS i0, 0.5 + 0.5 * cos(pi() * (2 * k - 11) / 11) AS v FROM range(12) t(k)"),
-    "hamming": (lambda s: creation.hamming(s, 12), "SELECT CAST(k AS BIGINT) AS i0, 0.54 + 0.46 * cos(pi() * (2 * k - 11) / 11) AS v FROM range(12) t(k)"),
-    "blackman": (lambda s: creation.blackman(s, 12), "SELECT CAST(k AS BIGINT) AS i0, 0.42 + 0.5 * cos(pi() * (2 * k - 11) / 11) + 0.08 * cos(2 * pi() * (2 * k - 11) / 11) AS v FROM range(12) t(k)"),
-    "bartlett": (lambda s: creation.bartlett(s, 11), "SELECT CAST(k AS BIGINT) AS i0, 1 - abs(2 * k - 10) / 10.0 AS v FROM range(11) t(k)"),
-    "fftfreq": (lambda s: creation.fftfreq(s, 8), "SELECT CAST(k AS BIGINT) AS i0, (CASE WHEN k < 4 THEN k ELSE k - 8 END) / 8.0 AS v FROM range(8) t(k)"),
+    "arange": (lambda s, n: creation.arange(s, 3, 3 + 4 * n, 4), f"SELECT CAST(k AS BIGINT) AS i0, CAST(3 + 4 * k AS BIGINT) AS v FROM range({_S}) t(k)"),
+    "linspace": (lambda s, n: creation.linspace(s, -1.0, 2.0, n), f"SELECT CAST(k AS BIGINT) AS i0, -1.0 + k * 3.0 / ({_S} - 1) AS v FROM range({_S}) t(k)"),
+    "logspace": (lambda s, n: creation.logspace(s, 0.0, 2.0, n), f"SELECT CAST(k AS BIGINT) AS i0, pow(10.0, k * 2.0 / ({_S} - 1)) AS v FROM range({_S}) t(k)"),
+    "geomspace": (lambda s, n: creation.geomspace(s, 1.0, 256.0, n), f"SELECT CAST(k AS BIGINT) AS i0, pow(256.0, k * 1.0 / ({_S} - 1)) AS v FROM range({_S}) t(k)"),
+    "eye": (lambda s, n: creation.eye(s, n, n + 1, 1), f"SELECT CAST(a AS BIGINT) AS i0, CAST(b AS BIGINT) AS i1, CASE WHEN b - a = 1 THEN 1.0 ELSE 0.0 END AS v FROM range({_S}) t(a), range({_S} + 1) u(b)"),
+    "tri": (lambda s, n: creation.tri(s, n), f"SELECT CAST(a AS BIGINT) AS i0, CAST(b AS BIGINT) AS i1, CASE WHEN b <= a THEN 1.0 ELSE 0.0 END AS v FROM range({_S}) t(a), range({_S}) u(b)"),
+    "vander": (lambda s, n: creation.vander(creation.arange(s, 1.0, n + 1.0), 3), f"SELECT CAST(a AS BIGINT) AS i0, CAST(b AS BIGINT) AS i1, pow(a + 1.0, 2 - b) AS v FROM range({_S}) t(a), range(3) u(b)"),
+    "meshgrid": (lambda s, n: creation.meshgrid(creation.arange(s, n), creation.arange(s, 2))[0], f"SELECT CAST(a AS BIGINT) AS i0, CAST(b AS BIGINT) AS i1, CAST(b AS BIGINT) AS v FROM range(2) t(a), range({_S}) u(b)"),
+    "hanning": (lambda s, n: creation.hanning(s, n), f"SELECT CAST(k AS BIGINT) AS i0, 0.5 + 0.5 * {_COS} AS v FROM range({_S}) t(k)"),
+    "hamming": (lambda s, n: creation.hamming(s, n), f"SELECT CAST(k AS BIGINT) AS i0, 0.54 + 0.46 * {_COS} AS v FROM range({_S}) t(k)"),
+    "blackman": (lambda s, n: creation.blackman(s, n), f"SELECT CAST(k AS BIGINT) AS i0, 0.42 + 0.5 * {_COS} + 0.08 * cos(2 * pi() * (2 * k - ({_S} - 1)) / ({_S} - 1)) AS v FROM range({_S}) t(k)"),
+    "bartlett": (lambda s, n: creation.bartlett(s, n), f"SELECT CAST(k AS BIGINT) AS i0, 1 - abs(2.0 * k - ({_S} - 1)) / ({_S} - 1) AS v FROM range({_S}) t(k)"),
+    "fftfreq": (lambda s, n: creation.fftfreq(s, n), f"SELECT CAST(k AS BIGINT) AS i0, (CASE WHEN k < ({_S} + 1) // 2 THEN k ELSE k - {_S} END) * 1.0 / {_S} AS v FROM range({_S}) t(k)"),
 }
 
 
@@ -710,7 +718,7 @@ def _created(name: str, f, sql: str) -> None:
 
     @_query(f"create_{name}", f"SELECT {names}{'v' if whole else 'CAST(round(v, 6) + 0.0 AS DOUBLE)'} AS v FROM ({sql})")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = f(spark)
+        out = f(spark, _suppliers(spark, sf_dir))
         return out.df if whole else _rows(out, 6)
 
 
@@ -718,7 +726,7 @@ for _name, (_f, _sql) in CREATION.items():
     _created(_name, _f, _sql)
 
 
-# Random: whether the moments of 40,000 draws are where they belong
+# Random: whether the moments of as many draws as there are line items are where they belong
 
 _DRAWS = {
     "uniform": (lambda g, n: g.uniform(2.0, 4.0, n), 3.0, 1 / 3),
@@ -733,19 +741,35 @@ _DRAWS = {
     "triangular": (lambda g, n: g.triangular(0.0, 1.0, 2.0, n), 1.0, 1 / 6),
     "geometric": (lambda g, n: g.geometric(0.25, n), 4.0, 12.0),
     "power": (lambda g, n: g.power(3.0, n), 0.75, 3 / 80),
-    "gamma": (lambda g, n: g.draw("gamma", n, 3.0, 2.0), 6.0, 12.0),
-    "beta": (lambda g, n: g.draw("beta", n, 2.0, 3.0), 0.4, 0.04),
-    "binomial": (lambda g, n: g.draw("binomial", n, 10, 0.3, kind="int64"), 3.0, 2.1),
-    "poisson": (lambda g, n: g.draw("poisson", n, 4.0, kind="int64"), 4.0, 4.0),
-    "hypergeometric": (lambda g, n: g.draw("hypergeometric", n, 10, 10, 5, kind="int64"), 2.5, 1.25 * 15 / 19),
+    "gamma": (lambda g, n: g.gamma(3.0, 2.0, n), 6.0, 12.0),
+    "beta": (lambda g, n: g.beta(2.0, 3.0, n), 0.4, 0.04),
+    "binomial": (lambda g, n: g.binomial(10, 0.3, n), 3.0, 2.1),
+    "poisson": (lambda g, n: g.poisson(4.0, n), 4.0, 4.0),
+    "hypergeometric": (lambda g, n: g.hypergeometric(10, 10, 5, n), 2.5, 1.25 * 15 / 19),
+    "small_gamma": (lambda g, n: g.standard_gamma(0.5, n), 0.5, 0.5),
+    "chisquare": (lambda g, n: g.chisquare(5.0, n), 5.0, 10.0),
+    "noncentral_chisquare": (lambda g, n: g.noncentral_chisquare(4.0, 2.0, n), 6.0, 16.0),
+    "f": (lambda g, n: g.f(5.0, 20.0, n), 20 / 18, 2 * 400 * 23 / (5 * 18**2 * 16)),
+    "noncentral_f": (lambda g, n: g.noncentral_f(5.0, 20.0, 1.0, n), 20 * 6 / (5 * 18), 2 * (36 + 7 * 18) / (18**2 * 16) * 16),
+    "standard_t": (lambda g, n: g.standard_t(12.0, n), 0.0, 1.2),
+    "wald": (lambda g, n: g.wald(2.0, 6.0, n), 2.0, 8 / 6),
+    "vonmises": (lambda g, n: g.vonmises(0.0, 4.0, n), 0.0, 0.2944),
+    "zipf": (lambda g, n: g.zipf(6.0, n), 1.0369277551433699 / 1.0173430619844491, 1.0823232337111382 / 1.0173430619844491 - (1.0369277551433699 / 1.0173430619844491) ** 2),
+    "negative_binomial": (lambda g, n: g.negative_binomial(4.0, 0.4, n), 6.0, 15.0),
+    "logseries": (lambda g, n: g.logseries(0.6, n), -0.6 / (0.4 * math.log(0.4)), -0.6 * (0.6 + math.log(0.4)) / (0.16 * math.log(0.4) ** 2)),
+    "dirichlet": (lambda g, n: g.dirichlet([2.0, 3.0, 5.0], n)[:, 0], 0.2, 0.16 / 11),
+    "multivariate_normal": (lambda g, n: g.multivariate_normal([1.0, -1.0], [[2.0, 0.5], [0.5, 1.0]], n)[:, 1], -1.0, 1.0),
+    "multinomial": (lambda g, n: g.multinomial(10, [0.2, 0.3, 0.5], n)[:, 2], 5.0, 2.5),
+    "large_poisson": (lambda g, n: g.poisson(40_000.0, n), 40_000.0, 40_000.0),
 }
 
 
 def _drawn(name: str, f, mean: float, var: float) -> None:
-    @_query(f"random_{name}", "SELECT CAST(40000 AS BIGINT) AS n, true AS mean_near, true AS var_near")
+    @_query(f"random_{name}", "SELECT count(*) AS n, true AS mean_near, true AS var_near FROM lineitem")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = f(default_rng(spark, 12345), 40_000).df
-        return out.agg(F.count(F.lit(1)).alias("n"), (F.abs(F.avg("v") - mean) < 6 * math.sqrt(var / 40_000)).alias("mean_near"), (F.abs(F.var_pop("v") - var) < 0.15 * var).alias("var_near"))
+        n = _table(spark, sf_dir, "lineitem").count()
+        out = f(default_rng(spark, 12345), n).df
+        return out.agg(F.count(F.lit(1)).alias("n"), (F.abs(F.avg("v") - mean) < 6 * math.sqrt(var / n)).alias("mean_near"), (F.abs(F.var_pop("v") - var) < 0.15 * var).alias("var_near"))
 
 
 for _name, _row in _DRAWS.items():

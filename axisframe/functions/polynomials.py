@@ -43,3 +43,25 @@ def roots(coefficients: Sequence[float], kind: str = "chebyshev") -> np.ndarray:
 
 def degree(coefficients: Sequence[float]) -> int:
     return max(0, len(coefficients) - 1)
+
+
+class Polynomial:
+    """A series of one kind; ``power`` is that of plain powers."""
+
+    def __init__(self, coefficients: Sequence[float], kind: str = "power"):
+        if kind != "power" and kind not in _STEPS:
+            raise ValueError(f"there is no series of the kind {kind!r}")
+        self.coefficients, self.kind = [float(c) for c in coefficients], kind
+
+    def __call__(self, x: Column) -> Column:
+        return power_series(x, self.coefficients) if self.kind == "power" else evaluate(x, self.coefficients, self.kind)
+
+    def evaluate_array(self, x):
+        """The series at every element of an array."""
+        return x.map(self, "float64")
+
+    def degree(self) -> int:
+        return degree(self.coefficients)
+
+    def roots(self) -> np.ndarray:
+        return np.polynomial.polynomial.polyroots(self.coefficients) if self.kind == "power" else roots(self.coefficients, self.kind)

@@ -66,6 +66,18 @@ def unique_inverse(df: DataFrame, column: str, index: str) -> DataFrame:
     return df.select(index, column).join(small_side(values), column).select(index, "inverse")
 
 
+def unique_values(df: DataFrame, column: str) -> DataFrame:
+    """value: the different values; NaNs are one."""
+    return df.select(F.col(column).alias("value")).distinct()
+
+
+def unique_all(df: DataFrame, column: str, index: str) -> DataFrame:
+    """index, value, first_index, inverse and count of every row: all that is known of its value."""
+    values = numbered(unique(df, column, index), order("value"), "inverse")
+    rows = df.select(index, F.col(column).alias("value"))
+    return rows.join(small_side(values), "value").select(index, "value", "first_index", "inverse", "count")
+
+
 def isin(df: DataFrame, column: str, table: DataFrame, other: str, invert: bool = False) -> DataFrame:
     """``df`` with ``member``."""
     known = table.select(F.col(other).alias("_m")).dropna().distinct().withColumn("_in", F.lit(True))

@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dtypes import dtype
-from ..frame import NDFrame, idx
+from ..frame import NDFrame, idx, normal_axes
 from ..storage import ready
 from . import elimination, rotations
+from .aggregates import vector_norm
 from .cells import per_cell
 from .contractions import matmul
 from .fourier import fft, fft2, fftn, hfft, ifft, ifft2, ifftn, ihfft, irfft, irfft2, irfftn, rfft, rfft2, rfftn  # noqa: F401
@@ -156,6 +157,21 @@ def matrix_norm(x: NDFrame, order="fro") -> NDFrame:
     return svdvals(x).reduce(of, "float64", rows)
 
 
+def norm(x: NDFrame, order=None, axis: int | tuple[int, int] | None = None, keepdims: bool = False) -> NDFrame:
+    """Norms of vectors along one axis, of matrices along two, or of all elements; any order that either has."""
+    if axis is None and (order is None or x.ndim not in (1, 2)):
+        if order is not None:
+            raise ValueError("a norm of this order needs one or two axes")
+        return abs(x).reduce(lambda v: F.sqrt(F.sum(v.cast("double") * v)), "float64", None, keepdims)
+    axes = normal_axes(axis, x.ndim)
+    if len(axes) == 1:
+        return abs(x).reduce(lambda v: vector_norm(v, 2 if order is None else order), "float64", axes, keepdims)
+    if len(axes) != 2:
+        raise ValueError("a norm has one axis or two")
+    out = matrix_norm(x.moveaxis(axes, (x.ndim - 2, x.ndim - 1)), "fro" if order is None else order)
+    return out.expand_dims(axes) if keepdims else out
+
+
 def solve(a: NDFrame, b: NDFrame) -> NDFrame:
     """a x = b for stacks of matrices and vectors: the vectors ride along as a last column."""
     n = _square(a)

@@ -161,6 +161,13 @@ FLOAT_FUNCTIONS = {
     "emath_sqrt_re": (lambda: C.emath_sqrt(x())["re"], "CASE WHEN x >= 0 THEN sqrt(abs(x)) ELSE 0.0 END"),
     "emath_sqrt_im": (lambda: C.emath_sqrt(x())["im"], "CASE WHEN x >= 0 THEN 0.0 ELSE sqrt(abs(x)) END"),
     "emath_log_im": (lambda: C.emath_log(y() + 0.125)["im"], "CASE WHEN y + 0.125 < 0 THEN pi() ELSE 0.0 END"),
+    "emath_log2_re": (lambda: C.emath_log2(y() + 0.125)["re"], "log2(abs(y + 0.125))"),
+    "emath_logn_re": (lambda: C.emath_logn(3.0, y() + 0.125)["re"], "ln(abs(y + 0.125)) / ln(3.0)"),
+    "emath_arctanh_re": (lambda: C.emath_arctanh(y() + 0.125)["re"], "0.5 * ln(abs((1.125 + y) / (0.875 - y)))"),
+    "nextafter": (lambda: R.nextafter(x(), y()), "nextafter(x, y)"),
+    "spacing": (lambda: R.spacing(F.abs(x()) + 1) * 1e15, "(nextafter(abs(x) + 1, 'inf'::DOUBLE) - (abs(x) + 1)) * 1e15"),
+    "frexp_mantissa": (lambda: R.frexp(F.abs(x()) + 0.1)["mantissa"] / 3, "(abs(x) + 0.1) / pow(2.0, floor(log2(abs(x) + 0.1)) + 1) / 3"),
+    "polynomial": (lambda: polynomials.Polynomial([1.0, -2.0, 0.5, 3.0])(y()), "1 - 2 * y + 0.5 * y * y + 3 * y * y * y"),
     "emath_log10_re": (lambda: C.emath_log10(y() + 0.125)["re"], "log10(abs(y + 0.125))"),
     "emath_power_re": (lambda: C.emath_power(y(), F.lit(2.0))["re"], "y * y"),
     "emath_arcsin_re": (lambda: C.emath_arcsin(y())["re"], "CASE WHEN abs(y) <= 1 THEN asin(CASE WHEN abs(y) <= 1 THEN y ELSE 0 END) ELSE sign(y) * pi() / 2 END"),
@@ -216,7 +223,7 @@ def _elementwise(name: str, column, sql: str, near: bool) -> None:
 
 
 #: Plain arithmetic, which both sides do bit by bit alike.
-_PLAIN = {"add", "subtract", "multiply", "square", "ldexp", "select", "complex_multiply_re", "complex_multiply_im"}
+_PLAIN = {"nextafter", "add", "subtract", "multiply", "square", "ldexp", "select", "complex_multiply_re", "complex_multiply_im"}
 for _name, (_column, _sql) in FLOAT_FUNCTIONS.items():
     _elementwise(_name, _column, _sql, _name not in _PLAIN)
 for _name, (_column, _sql) in EXACT_FUNCTIONS.items():
@@ -391,6 +398,7 @@ def _events(spark: SparkSession, sf_dir: str):
 LANES = {
     "cumsum": (lambda w: F.round(lanes.cumsum(F.col("value"), w), 4), f"round(sum(value) {_RUN}, 4)"),
     "cumprod": (lambda w: F.round(lanes.cumprod(1 + F.col("value") / 1e5, w), 9), f"round(exp(sum(ln(1 + value / 1e5)) {_RUN}), 9)"),
+    "nancumprod": (lambda w: F.round(lanes.nancumprod(F.when(F.col("event_id") % 5 == 0, float("nan")).otherwise(1 + F.col("value") / 1e5), w), 9), f"round(exp(sum(CASE WHEN event_id % 5 = 0 THEN 0 ELSE ln(1 + value / 1e5) END) {_RUN}), 9)"),
     "nancumsum": (lambda w: F.round(lanes.nancumsum(F.when(F.col("event_id") % 5 == 0, float("nan")).otherwise(F.col("value")), w), 4), f"round(sum(CASE WHEN event_id % 5 = 0 THEN 0 ELSE value END) {_RUN}, 4)"),
     "maximum_accumulate": (lambda w: lanes.cummax(F.col("value"), w), f"max(value) {_RUN}"),
     "minimum_accumulate": (lambda w: lanes.cummin(F.col("value"), w), f"min(value) {_RUN}"),
@@ -746,6 +754,12 @@ _DRAWS = {
     "binomial": (lambda g, n: g.binomial(10, 0.3, n), 3.0, 2.1),
     "poisson": (lambda g, n: g.poisson(4.0, n), 4.0, 4.0),
     "hypergeometric": (lambda g, n: g.hypergeometric(10, 10, 5, n), 2.5, 1.25 * 15 / 19),
+    "random": (lambda g, n: g.random(n), 0.5, 1 / 12),
+    "standard_normal": (lambda g, n: g.standard_normal(n), 0.0, 1.0),
+    "standard_exponential": (lambda g, n: g.standard_exponential(n), 1.0, 1.0),
+    "lognormal": (lambda g, n: g.lognormal(0.0, 0.5, n), math.exp(0.125), (math.exp(0.25) - 1) * math.exp(0.25)),
+    "pareto": (lambda g, n: g.pareto(8.0, n), 1 / 7, 8 / (49 * 6)),
+    "spawn": (lambda g, n: g.spawn(3)[2].random(n), 0.5, 1 / 12),
     "small_gamma": (lambda g, n: g.standard_gamma(0.5, n), 0.5, 0.5),
     "chisquare": (lambda g, n: g.chisquare(5.0, n), 5.0, 10.0),
     "noncentral_chisquare": (lambda g, n: g.noncentral_chisquare(4.0, 2.0, n), 6.0, 16.0),

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from .frame import NDFrame
 from .functions import complexes as C
+from .functions import polynomials
 from .operators import aggregates as A
-from .operators import contractions, fourier, generalized, joining, lanes, selection, stacks, systems
+from .operators import comparison, contractions, creation, fourier, generalized, joining, lanes, quantiles, selection, sets, stacks, systems
+from .operators.random import default_rng
 from .plans.einsum import einsum
 from .queries import _M, ORACLE_SQL, QUERIES, _matrix, _query, _rows, _table
 from .sources import npy, text
@@ -270,6 +272,64 @@ def vecdot_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(contractions.vecdot(z, z).map(lambda v: v["re"], "float64"), 3)
 
 
+# Lanes, groups and sets that the other modules have no query of
+
+
+@_query("lane_unwrap", "WITH s AS (SELECT *, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS d FROM events), m AS (SELECT *, d + 25 - 50 * floor((d + 25) / 50) - 25 AS r FROM s) SELECT event_id, round(value + sum(CASE WHEN d IS NULL OR abs(d) < 25 THEN 0 ELSE CASE WHEN r = -25 AND d > 0 THEN 25 ELSE r END - d END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING), 4) + 0.0 AS unwrapped FROM m")
+def lane_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lanes.unwrap(_table(spark, sf_dir, "events"), ["user_id"], ["ts"], "value", 50.0)
+    return out.select("event_id", (F.round("unwrapped", 4) + 0.0).alias("unwrapped"))
+
+
+@_query("reduce_nanargmax", "SELECT o_custkey, arg_max(o_orderkey, struct_pack(p := o_totalprice, k := -o_orderkey)) FILTER (o_orderkey % 3 <> 0) AS largest, arg_min(o_orderkey, struct_pack(p := o_totalprice, k := o_orderkey)) FILTER (o_orderkey % 3 <> 0) AS least FROM orders GROUP BY o_custkey")
+def reduce_nanargmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").withColumn("p", F.when(F.col("o_orderkey") % 3 == 0, float("nan")).otherwise(F.col("o_totalprice")))
+    return orders.groupBy("o_custkey").agg(A.nanargmax("p", "o_orderkey").alias("largest"), A.nanargmin("p", "o_orderkey").alias("least"))
+
+
+@_query("nanquantile", "SELECT o_orderpriority, CAST(0.3 AS DOUBLE) AS q, round(quantile_cont(o_totalprice, 0.3), 4) AS quantile FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1")
+def nanquantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").select("o_orderpriority", F.when(F.col("o_orderkey") % 3 == 0, float("nan")).otherwise(F.col("o_totalprice")).alias("p"))
+    return quantiles.quantiles(orders, ["o_orderpriority"], "p", [0.3], ignore_nan=True).withColumn("quantile", F.round("quantile", 4))
+
+
+@_query("unique_all", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS value, min(p_partkey) OVER (PARTITION BY p_size) AS first_index, dense_rank() OVER (ORDER BY p_size) - 1 AS inverse, count(*) OVER (PARTITION BY p_size) AS count FROM part")
+def unique_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.unique_all(_table(spark, sf_dir, "part").withColumn("p_size", F.col("p_size").cast("double")), "p_size", "p_partkey")
+
+
+@_query("unique_values", "SELECT DISTINCT p_size AS value FROM part")
+def unique_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.unique_values(_table(spark, sf_dir, "part"), "p_size")
+
+
+@_query("random_permutation", "SELECT count(*) AS n, true AS every_place, true AS mixed FROM orders")
+def random_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place is taken once, and few orders keep theirs."""
+    out = default_rng(spark, 3).permutation(numbered(_table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], "was"), "pos")
+    n = F.count(F.lit(1))
+    return out.agg(n.alias("n"), ((F.count_distinct("pos") == n) & (F.max("pos") == n - 1)).alias("every_place"), (F.count_if(F.col("pos") == F.col("was")) < 30).alias("mixed"))
+
+
+@_query("random_choice", "SELECT count(*) // 10 AS n, true AS apart, true AS fair FROM orders")
+def random_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the orders, none twice, with a mean price near that of all."""
+    orders = _table(spark, sf_dir, "orders")
+    n, mean, deviation = orders.agg(F.count(F.lit(1)), F.avg("o_totalprice"), F.stddev("o_totalprice")).first()
+    out = default_rng(spark, 4).choice(orders.select("o_orderkey", "o_totalprice"), n // 10)
+    return out.agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("o_orderkey") == F.count(F.lit(1))).alias("apart"), (F.abs(F.avg("o_totalprice") - mean) < 6 * deviation / (n // 10) ** 0.5).alias("fair"))
+
+
+@_query("genfromtxt_orders", "SELECT dense_rank() OVER (ORDER BY o_orderkey) - 1 AS i0, CAST(k AS BIGINT) AS i1, CASE WHEN k = 0 THEN CAST(o_custkey AS DOUBLE) WHEN o_custkey % 2 = 1 THEN -1.0 ELSE round(CAST(o_totalprice AS DOUBLE), 2) END AS v FROM orders, range(2) t(k)")
+def genfromtxt_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of customers and prices, every other price missing, written and read back."""
+    rows = numbered(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_orderkey"])
+    path = new_path(spark, "lines")
+    line = F.concat_ws(",", F.col("o_custkey").cast("string"), F.when(F.col("o_custkey") % 2 == 1, "none").otherwise(F.format_string("%.2f", "o_totalprice")))
+    rows.repartitionByRange("pos").sortWithinPartitions("pos").select(line).write.text(path)
+    return text.genfromtxt(spark, path, ",", missing_values=("none",), filling_values=-1.0).df
+
+
 # Operators that the other modules have no query of
 
 MORE = {
@@ -278,6 +338,32 @@ MORE = {
     "broadcast_to": (lambda m: m[:, :1].broadcast_to([m.shape[0], 5]), f"SELECT r AS i0, k AS i1, v FROM {_M}, range(5) t(k) WHERE c = 0"),
     "array_split": (lambda m: joining.array_split(m, 5, 1)[4], f"SELECT r AS i0, c - 52 AS i1, v FROM {_M} WHERE c >= 52"),
     "trapezoid_rows": (lambda m: (m[:, 1:] + m[:, :-1]).reduce(F.sum, axis=1).map(lambda v: v / 2), f"SELECT r AS i0, sum(v) - (max(v) FILTER (c = 0) + max(v) FILTER (c = 63)) / 2 AS v FROM {_M} GROUP BY r"),
+    "resize": (lambda m: joining.resize(m, [m.shape[0], 32]), f"SELECT (r * 64 + c) // 32 AS i0, (r * 64 + c) % 32 AS i1, v FROM {_M} WHERE r * 64 + c < 32 * (SELECT count(*) FROM embeddings)"),
+    "split": (lambda m: joining.split(m, 4, 1)[3], f"SELECT r AS i0, c - 48 AS i1, v FROM {_M} WHERE c >= 48"),
+    "unstack": (lambda m: joining.unstack(m, 1)[5], f"SELECT r AS i0, v FROM {_M} WHERE c = 5"),
+    "block": (lambda m: joining.block([[m[:, :2], m[:, 2:4]], [m[:, 4:6], m[:, 6:8]]]), f"SELECT r + CASE WHEN c < 4 THEN 0 ELSE (SELECT count(*) FROM embeddings) END AS i0, c % 4 AS i1, v FROM {_M} WHERE c < 8"),
+    "column_stack": (lambda m: joining.column_stack([m[:, 0], m[:, 3]]), f"SELECT r AS i0, c // 3 AS i1, v FROM {_M} WHERE c IN (0, 3)"),
+    "atleast_3d": (lambda m: joining.atleast(m, 3)[:, :, 0], f"SELECT r AS i0, c AS i1, v FROM {_M}"),
+    "packbits": (lambda m: joining.packbits((m > 0).ravel()), f"SELECT (r * 64 + c) // 8 AS i0, sum(CASE WHEN v > 0 THEN 1 << CAST(7 - c % 8 AS INTEGER) ELSE 0 END) AS v FROM {_M} GROUP BY 1"),
+    "unpackbits": (lambda m: joining.unpackbits(joining.packbits((m > 0).ravel())), f"SELECT r * 64 + c AS i0, CAST(v > 0 AS INTEGER) AS v FROM {_M}"),
+    "trim_zeros": (lambda m: joining.trim_zeros(m.ravel().map(lambda v: F.when(v > 0.25, v).otherwise(0.0), "float64")), f"SELECT p - (SELECT min(r * 64 + c) FROM {_M} WHERE v > 0.25) AS i0, CASE WHEN v > 0.25 THEN v ELSE 0 END AS v FROM (SELECT r * 64 + c AS p, v FROM {_M}) WHERE p BETWEEN (SELECT min(r * 64 + c) FROM {_M} WHERE v > 0.25) AND (SELECT max(r * 64 + c) FROM {_M} WHERE v > 0.25)"),
+    "ifftshift": (lambda m: stacks.ifftshift(m, 1), f"SELECT r AS i0, (c + 32) % 64 AS i1, v FROM {_M}"),
+    "dot": (lambda m: contractions.dot(m.T, m), f"SELECT a.c AS i0, b.c AS i1, sum(a.v * b.v) AS v FROM {_M} a JOIN {_M} b ON a.r = b.r GROUP BY 1, 2"),
+    "vdot": (lambda m: contractions.vdot(m, m), f"SELECT sum(v * v) AS v FROM {_M}"),
+    "diag": (lambda m: creation.diag(m.reduce(F.avg, axis=0)), f"SELECT a AS i0, b AS i1, CASE WHEN a = b THEN (SELECT avg(v) FROM {_M} WHERE c = a) ELSE 0 END AS v FROM range(64) t(a), range(64) u(b)"),
+    "put": (lambda m: m.put({0: 9.0, 65: -1.0}), f"SELECT r AS i0, c AS i1, CASE r * 64 + c WHEN 0 THEN 9 WHEN 65 THEN -1 ELSE v END AS v FROM {_M}"),
+    "isreal": (lambda m: comparison.isreal(_z(m)).astype("int64"), f"SELECT r AS i0, c AS i1, CAST(v = 0 AS INTEGER) AS v FROM {_M}"),
+    "polynomial": (lambda m: polynomials.Polynomial([1.0, 2.0, 3.0], "chebyshev").evaluate_array(m), f"SELECT r AS i0, c AS i1, 1 + 2 * v + 3 * (2 * v * v - 1) AS v FROM {_M}"),
+    "norm_columns": (lambda m: stacks.norm(m, 1, 0), f"SELECT c AS i0, sum(abs(v)) AS v FROM {_M} GROUP BY c"),
+    "norm_whole": (lambda m: stacks.norm(m), f"SELECT sqrt(sum(v * v)) AS v FROM {_M}"),
+    "norm_matrices": (lambda m: stacks.norm(m.astype("float64").reshape(m.shape[0], 8, 8), float("inf"), (1, 2)), f"SELECT r AS i0, max(s) AS v FROM (SELECT r, c // 8 AS k, sum(abs(v)) AS s FROM {_M} GROUP BY 1, 2) GROUP BY r"),
+    "copy": (lambda m: creation.copy(m), f"SELECT r AS i0, c AS i1, v FROM {_M}"),
+    "full_like": (lambda m: creation.full_like(m, 2.5), f"SELECT r AS i0, c AS i1, 2.5 AS v FROM {_M}"),
+    "indices": (lambda m: creation.indices(m.spark, m.shape)[1], f"SELECT r AS i0, c AS i1, c AS v FROM {_M}"),
+    "zeros": (lambda m: creation.zeros(m.spark, m.shape), f"SELECT r AS i0, c AS i1, 0 AS v FROM {_M}"),
+    "ones": (lambda m: creation.ones(m.spark, m.shape), f"SELECT r AS i0, c AS i1, 1 AS v FROM {_M}"),
+    "full": (lambda m: creation.full(m.spark, m.shape, -2.0), f"SELECT r AS i0, c AS i1, -2 AS v FROM {_M}"),
+    "rfftfreq": (lambda m: creation.rfftfreq(m.spark, m.shape[0]), "SELECT k AS i0, k * 1.0 / (SELECT count(*) FROM embeddings) AS v FROM range((SELECT count(*) // 2 + 1 FROM embeddings)) t(k)"),
     "norm_order_3": (lambda m: m.reduce(lambda v: A.vector_norm(v, 3), axis=1), f"SELECT r AS i0, pow(sum(pow(abs(v), 3)), 1.0 / 3) AS v FROM {_M} GROUP BY r"),
 }
 
@@ -285,7 +371,7 @@ MORE = {
 def _more(name: str, f, sql: str) -> None:
     places = [c for c in ("i0", "i1") if f"AS {c}" in sql]
 
-    @_query(f"array_{name}", f"SELECT {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in places)}, round(CAST(v AS DOUBLE), 3) + 0.0 AS v FROM ({sql})")
+    @_query(f"array_{name}", f"SELECT {''.join(f'CAST({c} AS BIGINT) AS {c}, ' for c in places)}round(CAST(v AS DOUBLE), 3) + 0.0 AS v FROM ({sql})")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _rows(f(_matrix(spark, sf_dir)), 3)
 

@@ -166,7 +166,7 @@ FLOAT_FUNCTIONS = {
     "emath_arctanh_re": (lambda: C.emath_arctanh(y() + 0.125)["re"], "0.5 * ln(abs((1.125 + y) / (0.875 - y)))"),
     "nextafter": (lambda: R.nextafter(x(), y()), "nextafter(x, y)"),
     "spacing": (lambda: R.spacing(F.abs(x()) + 1) * 1e15, "(nextafter(abs(x) + 1, 'inf'::DOUBLE) - (abs(x) + 1)) * 1e15"),
-    "frexp_mantissa": (lambda: R.frexp(F.abs(x()) + 0.1)["mantissa"] / 3, "(abs(x) + 0.1) / pow(2.0, floor(log2(abs(x) + 0.1)) + 1) / 3"),
+    "frexp_mantissa": (lambda: F.sqrt(R.frexp(F.abs(x()) + 0.1)["mantissa"]), "sqrt((abs(x) + 0.1) / pow(2.0, floor(log2(abs(x) + 0.1)) + 1))"),
     "polynomial": (lambda: polynomials.Polynomial([1.0, -2.0, 0.5, 3.0])(y()), "1 - 2 * y + 0.5 * y * y + 3 * y * y * y"),
     "emath_log10_re": (lambda: C.emath_log10(y() + 0.125)["re"], "log10(abs(y + 0.125))"),
     "emath_power_re": (lambda: C.emath_power(y(), F.lit(2.0))["re"], "y * y"),

@@ -77,10 +77,11 @@ def _index(docs: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for piece in slices(batch.column(1)):
                 row, lo, n, anchor, block, _ = _blocks(piece, window)
-                own = pa.array(piece.first + row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), pa.array(anchor), pa.array(block), pa.array((lo - piece.of[row]).astype(np.int32)), pa.array(n.astype(np.int32))], ["doc", "own", "anchor", "block", "lo", "n"])
+                at = pa.array(piece.first + row)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in (0, *range(2, batch.num_columns))), pa.array(anchor), pa.array(block), pa.array((lo - piece.of[row]).astype(np.int32)), pa.array(n.astype(np.int32))], names)
 
-    return docs.mapInArrow(made, "doc long, own long, anchor long, block long, lo int, n int")
+    names = ["doc", *docs.columns[2:], "anchor", "block", "lo", "n"]
+    return docs.mapInArrow(made, ", ".join(f"{c} {'int' if c in ('lo', 'n') else 'long'}" for c in names))
 
 
 def _key(anchor: np.ndarray, block: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -93,7 +94,11 @@ def _longs(batch, *names: str) -> list[np.ndarray]:
 
 
 def _matches(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, own, lo, n, source, at): the n windows from word lo on of the text ``own`` of doc are those of a smaller document, the source, from word at on."""
+    """(doc, lo, n, source, at): the n windows of doc from word lo on are those of a smaller document, the source, from word at on.
+
+    Columns of ``docs`` behind doc_id and text tell apart rows of one doc_id, and are carried along.
+    """
+    own = docs.columns[2:]
     index = saved(_index(docs, window), "blocks")
     of_anchor = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("block").alias("least"), F.max("block").alias("most"), F.min("doc").alias("first"), F.max("doc").alias("last"))
     shared = saved(of_anchor.filter("m > 1 and first != last").select("anchor", (F.col("least") != F.col("most")).alias("differ")), "anchors")
@@ -111,7 +116,7 @@ def _matches(docs: DataFrame, window: int) -> DataFrame:
 
     near = index.mapInArrow(passing, index.schema)
     firsts = saved(first(near, "anchor", "block"), "firsts")
-    copies = later(near, firsts, "anchor", "block").select("doc", "own", "lo", "n", "source", "at")
+    copies = later(near, firsts, "anchor", "block").select("doc", *own, "lo", "n", "source", "at")
 
     edges = firsts.join(shared.filter("differ").select("anchor"), "anchor", "left_semi").select("anchor", "block", "source")
 
@@ -124,17 +129,17 @@ def _matches(docs: DataFrame, window: int) -> DataFrame:
 
     def windows(batches):
         for batch in batches:
-            ids, texts = _longs(batch, "doc_id", "own")
+            ids, *more = _longs(batch, "doc_id", *own)
             for piece in slices(batch.column(1)):
                 row, lo, n, anchor, block, runs = _blocks(piece, window)
                 doc = ids[piece.first + row]
                 pick = may_contain(marked, _key(anchor, block, doc))
-                row, lo, n, anchor, doc, own = row[pick], lo[pick], n[pick], anchor[pick], doc[pick], texts[piece.first + row[pick]]
+                row, lo, n, anchor, doc = row[pick], lo[pick], n[pick], anchor[pick], doc[pick]
                 one = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc, n)), pa.array(np.repeat(own, n)), pa.array(np.repeat(anchor, n)), pa.array(runs.hashes(one, window).view(np.int64)), pa.array((one - np.repeat(piece.of[row], n)).astype(np.int32))], ["doc", "own", "anchor", "w", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc, n)), *(pa.array(np.repeat(x[piece.first + row], n)) for x in more), pa.array(np.repeat(anchor, n)), pa.array(runs.hashes(one, window).view(np.int64)), pa.array((one - np.repeat(piece.of[row], n)).astype(np.int32))], ["doc", *own, "anchor", "w", "lo"])
 
-    looked = docs.mapInArrow(windows, "doc long, own long, anchor long, w long, lo int")
-    partly = later(looked, first(looked, "anchor", "w"), "anchor", "w").select("doc", "own", "lo", F.lit(1).alias("n"), "source", "at")
+    looked = docs.mapInArrow(windows, ", ".join(f"{c} long" for c in ("doc", *own, "anchor", "w")) + ", lo int")
+    partly = later(looked, first(looked, "anchor", "w"), "anchor", "w").select("doc", *own, "lo", F.lit(1).alias("n"), "source", "at")
     return copies.union(partly)
 
 
@@ -157,22 +162,23 @@ def factors(docs: DataFrame, window: int = 50) -> DataFrame:
     repeat an id count as one document, an empty table gives no rows.
     """
     ready(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("own")).filter("doc_id is not null and text is not null")
-    return _factors(docs, window).drop("own")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    return _factors(docs, window)
 
 
 def _factors(docs: DataFrame, window: int) -> DataFrame:
-    """``factors`` with ``own``, which tells apart the texts of rows that repeat an id."""
-    grouped = _matches(docs, window).groupBy("doc", "own").agg(F.collect_list(F.struct("lo", "n", "source", "at")).alias("found"))
+    """``factors``; further columns of ``docs`` tell apart the texts of rows that repeat an id."""
+    keys = ["doc", *docs.columns[2:]]
+    grouped = _matches(docs, window).groupBy(*keys).agg(F.collect_list(F.struct("lo", "n", "source", "at")).alias("found"))
 
     def walked(batches):
         for batch in batches:
             found = batch.column("found")
             row = np.repeat(np.arange(batch.num_rows), found.value_lengths())
             own, *rest = parse(row, *(x.to_numpy(zero_copy_only=False).astype(np.int64) for x in found.flatten().flatten()), window)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(own)) for c in ("doc", "own")), *map(pa.array, rest)], ["doc", "own", "lo", "length", "source", "at"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(own)) for c in keys), *map(pa.array, rest)], [*keys, "lo", "length", "source", "at"])
 
-    return grouped.mapInArrow(walked, "doc long, own long, lo long, length long, source long, at long")
+    return grouped.mapInArrow(walked, ", ".join(f"{c} long" for c in keys) + ", lo long, length long, source long, at long")
 
 
 def _with_ends(found: DataFrame, docs: DataFrame, gram: int) -> DataFrame:
@@ -245,15 +251,16 @@ def _removed(docs: DataFrame, row: Column, window: int, digest: bool) -> DataFra
     gram = min(GRAM, window)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     each = F.collect_list(F.struct("lo", "hi", "head", "tail")).alias("spans")
-    spans = _with_ends(factors(texts, window), texts, gram).groupBy("doc").agg(each).withColumn("own", F.lit(None).cast("long"))
-    several = saved(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("doc")), "several")
+    spans = _with_ends(factors(texts, window), texts, gram).groupBy("doc").agg(each)
+    rows, same = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", row.alias("row")), F.col("_id") == F.col("doc")
+    several = saved(docs.select(F.col("doc_id").cast("long").alias("doc")).dropna().groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc"), "several")
     if not several.isEmpty():
         # Rows that repeat an id lose what is found in their own text, not what is found in another of that id.
         keyed = _factors(texts.withColumn("own", F.xxhash64("text")), window).join(several, "doc", "left_semi")
         apart = _with_ends(keyed, texts, gram).groupBy("doc", "own").agg(each)
-        spans = spans.join(several, "doc", "left_anti").unionByName(apart)
-    same = (F.col("_id") == F.col("doc")) & (F.col("own").isNull() | (F.xxhash64("text") == F.col("own")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", row.alias("row")).join(spans, same, "left").select("row", "text", "spans")
+        spans = spans.join(several, "doc", "left_anti").withColumn("own", F.lit(None).cast("long")).unionByName(apart)
+        same = same & (F.col("own").isNull() | (F.xxhash64("text") == F.col("own")))
+    rows = rows.join(spans, same, "left").select("row", "text", "spans")
 
     def cut(batches):
         for batch in batches:

@@ -132,7 +132,18 @@ def resize(x: NDFrame, shape: Sequence[int]) -> NDFrame:
 
 
 def pad(x: NDFrame, widths: Sequence[tuple[int, int]], mode: str = "constant", value=0) -> NDFrame:
-    """Borders by constant, edge, reflect, symmetric, wrap, linear_ramp, or maximum, minimum, mean and median of a lane."""
+    """Borders by constant, empty (zeros), edge, reflect, symmetric, wrap, linear_ramp, or maximum, minimum, mean and median of a lane; a constant may be one, a pair for both ends, or a pair for each axis."""
+    ends = lambda v: (v, v) if not isinstance(v, (tuple, list)) else tuple(v) if len(v) == 2 else (v[0], v[0])
+    nested = isinstance(value, (tuple, list)) and len(value) and isinstance(value[0], (tuple, list))
+    if mode == "empty":
+        mode, value, nested = "constant", 0, False
+    if mode == "constant" and isinstance(value, (tuple, list)):
+        each = [ends(value[axis if len(value) > 1 else 0]) if nested else ends(value) for axis in range(x.ndim)]
+        for axis, (lo, hi) in enumerate(widths):
+            for n, side, v in ((lo, (lo, 0), each[axis][0]), (hi, (0, hi), each[axis][1])):
+                if n:
+                    x = _padded(x, axis, *side, mode, v)
+        return x
     for axis, (lo, hi) in enumerate(widths):
         if lo or hi:
             x = _padded(x, axis, lo, hi, mode, value)

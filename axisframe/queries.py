@@ -15,7 +15,7 @@ from .operators import aggregates as A
 from .operators import contractions, creation, histograms, joining, lanes, quantiles, sets, stacks
 from .operators.random import default_rng
 from .plans.einsum import einsum
-from .storage import numbered
+from .storage import numbered, small_side
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -509,7 +509,7 @@ def nonzero(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("take", "SELECT n_nationkey, r_name AS taken FROM nation JOIN region ON r_regionkey = n_regionkey")
 def take(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A gather: nations take the names of their regions."""
-    return _table(spark, sf_dir, "nation").join(F.broadcast(_table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("taken"))
+    return _table(spark, sf_dir, "nation").join(small_side(_table(spark, sf_dir, "region"), size=F.octet_length("r_name")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("taken"))
 
 
 @_query("add_at", "SELECT c_custkey, round(c_acctbal + coalesce((SELECT sum(o_totalprice) FROM orders WHERE o_custkey = c_custkey), 0), 2) AS balance FROM customer")

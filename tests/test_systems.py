@@ -99,3 +99,30 @@ def test_complex_products(spark):
         (einsum("ij,kj,k->i", x, y, creation.array(spark, np.arange(3.0))), np.einsum("ij,kj,k->i", a, b, np.arange(3.0))),
     ):
         np.testing.assert_allclose(got.to_numpy(), want, atol=1e-10)
+
+
+def test_borders_of_several_constants(spark):
+    from axisframe.operators import joining
+
+    a = R.integers(1, 9, (2, 3)).astype(float)
+    x = creation.array(spark, a)
+    for widths, value in (([(1, 2), (0, 1)], (5, 7)), ([(1, 1), (2, 0)], ((1, 2), (3, 4))), ([(1, 0), (0, 1)], 6)):
+        np.testing.assert_array_equal(joining.pad(x, widths, value=value).to_numpy(), np.pad(a, widths, constant_values=value))
+    np.testing.assert_array_equal(joining.pad(x, [(0, 1), (1, 0)], "empty").to_numpy(), np.pad(a, [(0, 1), (1, 0)]))
+
+
+def test_norms_and_polynomials(spark):
+    from axisframe.functions.polynomials import Polynomial
+    from axisframe.operators import stacks
+
+    a = R.normal(size=(3, 4))
+    x = creation.array(spark, a)
+    for order in (None, "fro", "nuc", 1, -1, 2, -2, np.inf, -np.inf):
+        np.testing.assert_allclose(stacks.norm(x, order).to_numpy(), np.linalg.norm(a, order), rtol=1e-9)
+    for order in (None, 0, 1, 2, 3, 0.5, np.inf, -np.inf):
+        np.testing.assert_allclose(stacks.norm(x, order, axis=1).to_numpy(), np.linalg.norm(a, order, axis=1), rtol=1e-9)
+    assert stacks.norm(x, axis=0, keepdims=True).shape == (1, 4)
+    p = Polynomial([1.0, -3.0, 2.0])
+    np.testing.assert_allclose(p.evaluate_array(x).to_numpy(), np.polynomial.polynomial.polyval(a, [1, -3, 2]))
+    np.testing.assert_allclose(Polynomial([1.0, -3.0, 2.0], "legendre").evaluate_array(x).to_numpy(), np.polynomial.legendre.legval(a, [1, -3, 2]))
+    assert p.degree() == 2 and sorted(p.roots().real.round(9)) == [0.5, 1.0]

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of a side that may be broadcast; beyond them the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 1 << 26
+#: What bounds the bytes of an Arrow batch, Spark's own bound, and ours: a Python worker and its task each hold a few batches at a time.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"
 
 _ROOT = str(Path(__file__).resolve().parents[1])
 _shipped: set = set()
@@ -27,8 +29,14 @@ def one_machine(spark: SparkSession) -> bool:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package: by its path where there is one machine, else from an archive that Spark sends to them."""
+    """Lets Python workers import this package: by its path where there is one machine, else from an archive that Spark sends to them.
+
+    Arrow batches are bounded by BATCH_BYTES, whatever the length of texts,
+    unless the session has a bound of its own.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH_SETTING, None) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     if one_machine(spark):
         env = context.environment
         if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):

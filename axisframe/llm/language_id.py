@@ -111,18 +111,22 @@ def _cut(x: np.ndarray) -> float:
     return float(max(np.quantile(x, 1 - FALSE_REJECTIONS, method="higher"), x.mean() + NormalDist().inv_cdf(1 - FALSE_REJECTIONS) * x.std()))
 
 
-def train(labelled: DataFrame, per_language: int = 600, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model | None:
-    """A model of ``labelled`` (doc_id, text, lang), from about ``per_language`` rows of each language.
-
-    The rows are those with the least hashes of doc_id.  The driver receives
-    their subword counts, no texts.  Rows without a language or a letter teach
-    nothing; without any others there is no model.
+def train(labelled: DataFrame, per_language: int = 600, epochs: int = 6, rate: float = 0.5, seed: int = 7, most_rows: int = 1 << 16) -> Model | None:
+    """A model of ``labelled`` (doc_id, text, lang), from about ``per_language`` rows of each language, and about ``most_rows`` in all.
+
+    The rows are those with the least hashes of doc_id and text, so rows with
+    a null doc_id and rows that repeat one are drawn like others; rows alike
+    in all three columns teach once.  The driver receives their subword
+    counts, no texts.  Rows without a language or a letter teach nothing;
+    without any others there is no model.  Of equally likely languages the
+    first by name is predicted.
     """
     ready(labelled.sparkSession)
     labelled = labelled.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = saved(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
-    least = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("n") < F.lit(per_language << 20)
-    picked = labelled.join(small_side(counts), "lang").filter(least)
+    each = min(per_language, max(1, most_rows // max(1, counts.count())))
+    least = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) * F.col("n") < F.lit(each << 20)
+    picked = labelled.join(small_side(counts), "lang").filter(least).select("doc_id", "text", "lang").distinct()
     rows = [r for r in _sampled(picked) if len(r[1])]
     langs = sorted({r[0] for r in rows})
     if not langs:

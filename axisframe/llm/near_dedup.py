@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bloom, may_contain, ready, saved, spread_join, summed_arrays
+from .shared import bloom, may_contain, ready, saved, small_side, spread_join, summed_arrays
 from .textbytes import WordRuns, mix, slices
 
 #: Buckets of hashes by which commonness is told, as a power of two: 16 a document within these bounds.
@@ -206,19 +206,39 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     A null text or one without words has an empty set: n_shingles 0, linked
     with nothing, kept.  Rows with a null doc_id are returned with a null
     component and kept, and link nothing.  Rows that repeat a doc_id are all
-    returned; if their texts differ, they count as one document.  Other
-    columns of ``docs`` are ignored; an empty table gives no rows.
+    returned; they count as one document, which is near whatever any of its
+    texts is near.  Other columns of ``docs`` are ignored; an empty table
+    gives no rows.
     """
     ready(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = saved(fingerprints(docs, words), "sets")
+    sets = table.filter("doc_id is not null and n > 0").groupBy("doc_id").agg(*(f(c).alias(f"{k}_{c}") for c in ("n", "x", "y") for k, f in (("least", F.min), ("most", F.max))))
+    several = saved(sets.filter(" or ".join(f"least_{c} != most_{c}" for c in ("n", "x", "y"))).select("doc_id"), "several")
+    if several.isEmpty():
+        return _components(docs, table, words, percent)
+    # Each text of a repeated id is looked for under a key of its own; then what shares an id is joined.
+    keyed = docs.join(small_side(several).withColumn("_several", F.lit(True)), "doc_id", "left").withColumn("_key", F.when(F.col("_several"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")))
+    of_key, docs = saved(keyed.filter("_several").select("_key", "doc_id").distinct(), "keys"), keyed.select(F.col("_key").alias("doc_id"), "text")
+    found = _components(docs, saved(fingerprints(docs, words), "sets"), words, percent).drop("kept").toDF("_key", "n_shingles", "_found", "n_links")
+    found = saved(found.join(of_key, "_key", "left").withColumn("doc_id", F.coalesce("doc_id", "_key")), "found")
+    least = saved(found.filter("_found is not null").groupBy("_found").agg(F.min("doc_id").alias("least")), "least")
+    ties = found.join(of_key.select("_key"), "_key", "left_semi").join(least, "_found").filter("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
+    comps = saved(connected_components(saved(ties, "ties"), "a", "b"), "components")
+    final = least.join(comps.toDF("least", "component"), "least", "left").select("_found", F.coalesce("component", "least").alias("component_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return found.join(final, "_found", "left").select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "n_links")
+
+
+def _components(docs: DataFrame, table: DataFrame, words: int, percent: int) -> DataFrame:
+    """``near_duplicates`` of ``docs``, in which equal ids have equal sets; ``table`` has their fingerprints."""
     members = table.filter("doc_id is not null and n > 0")
     classes = saved(members.groupBy("n", "x", "y").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "members")
     ids = saved(classes.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     n = ids.count()
     order = _commonness(docs, words, max(LEAST_ORDER_BITS, min(MOST_ORDER_BITS, n.bit_length() + 4)), bloom(ids, "doc_id", n))
     reps = sketches(docs, words, percent, order).join(ids, "doc_id", "left_semi")
-    # Of one doc_id with several texts, one sketch goes on.
+    # Rows that repeat a doc_id have one set here.
     reps = saved(reps.groupBy("doc_id").agg(F.min(F.struct("n", "sketch")).alias("s")).select("doc_id", "s.n", "s.sketch"), "classes")
 
     by_key = Window.partitionBy("key").orderBy("doc")

@@ -61,6 +61,34 @@ def test_near_duplicates_of_nothing_and_of_null_ids(spark, none):
     assert near_dedup.keep_one_of_each(odd).count() == 4
 
 
+def test_near_duplicates_of_rows_that_repeat_an_id(spark):
+    a, z = [" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 60), ("z", 40))]
+    rows = [(1, a), (1, z), (2, z + " more"), (3, a + " a60"), (4, "other words of a text that no other row has"), (4, None), (5, "p q r s t u"), (5, "p q r s t u"), (7, "v w x y z"), (6, "v w x y z"), (7, a + " a60 a61")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id", "kept").collect()
+    # 1 is near 2 by its second text and near 3 and 7 by its first; 7 is 6's copy by its other one.
+    of = {1: 1, 2: 1, 3: 1, 7: 1, 6: 1, 4: 4, 5: 5}
+    assert sorted(map(tuple, got)) == sorted((d, of[d], of[d] == d) for d, _ in rows)
+
+
+def test_near_duplicates_of_repeated_ids_by_hand(spark, rows):
+    rows = [(d % 40, t) for d, t in rows if d is not None][:160]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by_row = [(k, t) for k, (_, t) in enumerate(rows)]
+    root = {d: d for d, _ in rows}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    hand = near_by_hand(by_row, 2)
+    for k, (_, comp, _) in hand.items():
+        x, y = sorted((find(rows[k][0]), find(rows[comp][0])))
+        root[y] = x
+    got = near_dedup.near_duplicates(df, 2, 80).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted((d, hand[k][0], find(d), find(d) == d) for k, (d, _) in enumerate(rows))
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 140)] + [(5, 5), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}

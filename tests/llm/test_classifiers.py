@@ -36,6 +36,17 @@ def test_language(spark, none):
     assert kept.columns == df.columns and kept.count() == len(rows) - 3
 
 
+def test_sample_draws_rows_without_ids_and_rows_that_repeat_one_like_others(spark):
+    rows = [(None, f"alpha{k} beta{k} gamma", lang) for lang in ("en", "de") for k in range(400)] + [(5, f"delta{k}", "fr") for k in range(400)]
+    rows += [(6, "the same row again", "nl")] * 400
+    df, seen = spark.createDataFrame(rows, "doc_id long, text string, lang string"), []
+    with mock.patch.object(language_id, "_sampled", side_effect=lambda picked: seen.append({r["lang"]: r["count"] for r in picked.groupBy("lang").count().collect()}) or []):
+        assert language_id.train(df, per_language=40) is None
+        assert language_id.train(df, per_language=400, most_rows=160) is None
+    for got in seen:
+        assert all(15 < got[x] < 80 for x in ("en", "de", "fr")) and got.get("nl", 0) <= 1
+
+
 def test_languages_that_were_left_out_are_rejected(spark):
     r = random.Random(6)
     rows = [(k, invented(lang, r, r.randint(20, 60)), lang) for k, lang in enumerate(["en", "de"] * 200)]

@@ -15,15 +15,19 @@ Counts cover every labelled training document but the calibrating sample, are
 exact, and grow with the corpus.  As is usual for such models they are pruned:
 pairs of fewer than LEAST_DOCS documents, or whose classes are split as all
 pairs are, have no entry of their own and back off, in both models, whose
-probabilities still sum to 1.  Continuation counts include all pairs.  What is
-left is a table of log-likelihood ratios: of beginnings of words, of words by
-their continuation counts beyond that, of contexts by their back-off weights,
-and of pairs by the rest; terms under LEAST_TERM are zero.
-
-Documents ask for the terms of their words and pairs by a join with that table.
-A Bloom filter keeps words and pairs without a term in the scan, and each part
-of the documents asks once for each, so that neither a common word nor a common
-pair makes a large group.
+probabilities still sum to 1.  Continuation counts include all pairs.  The
+discount is that of Ney's estimate, n1 / (n1 + 2 n2), of the pairs that one and
+that two documents have.  The result is a table of log-likelihood ratios: of
+words by their continuation counts, or of their beginnings where the words are
+new, of contexts by their back-off weights, and of pairs by the rest.  No ratio
+is rounded or left out, so that a word's terms add up to the difference of the
+two models' log-probabilities.
+
+A table of at most TABLE_ROWS rows is broadcast to the scan of the documents.
+From a larger one they ask for the terms of their words and pairs by a join: a
+Bloom filter keeps pairs without an entry in the scan, and each part of the documents
+asks once for each, so that neither a common word nor a common pair makes a
+large group.
 Words are runs of letters, A-Z lower-cased.  They are told apart by 64-bit
 hashes, whose upper halves tell beginnings of words apart.
 """
@@ -43,10 +47,10 @@ from pyspark.sql import types as T
 from .shared import bloom, fraction_filter, may_contain, ready, saved, small_side
 from .textbytes import mix, slices
 
-#: Kneser-Ney's absolute discount, and how many occurrences of each type, of both classes together, the level below a class's own counts weighs.
+#: Kneser-Ney's absolute discount where too few pairs are counted to estimate it, and how many occurrences of each type, of both classes together, the level below a class's own counts weighs.
 DISCOUNT, SHARED_COUNT = 0.75, 20
-#: Documents that a pair needs for an entry, the least log ratio between its split into classes and the split of all pairs, and the least term that is kept.
-LEAST_DOCS, LEAST_SPLIT, LEAST_TERM = 2, 0.25, 0.5
+#: Documents that a pair needs for an entry, and the least log ratio between its split into classes and the split of all pairs.
+LEAST_DOCS, LEAST_SPLIT = 2, 0.25
 #: Bytes of a word's beginning.
 STEM_BYTES = 6
 #: Lengths in words of the stretches of which the most toxic one counts.
@@ -55,10 +59,12 @@ STRETCHES = (1, 3)
 EXCESS = 2.0
 #: Labels that may be broadcast to the scan of the documents; more are joined by a shuffle.
 LABEL_ROWS = 4_000_000
+#: Rows of the table of terms, of 17 bytes each, that may be broadcast.
+TABLE_ROWS = 4_000_000
 #: Bytes of text whose words are counted or ask together, and bytes of text for each bucket of keys.
 PART_BYTES, BUCKET_BYTES = 3 << 20, 1 << 23
 
-_PAIR, _CONTEXT, _WORD, _STEM = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
+_PAIR = np.uint64(0xA0761D6478BD642F)
 _HALF = np.uint64(32)
 
 
@@ -203,7 +209,7 @@ def _totals(parts: list, columns: tuple) -> pa.Table:
 
 @dataclass
 class Totals:
-    """Different pairs and words in all; by class: different pairs and words, counts of stems, and the sum of all words' masses."""
+    """Different pairs and words in all; by class: different pairs and words, counts of stems, and the sum of all words' masses; the discount."""
 
     pairs: int
     words: int
@@ -211,10 +217,15 @@ class Totals:
     class_words: tuple
     class_stems: tuple
     mass: tuple = (1.0, 1.0)
+    discount: float = DISCOUNT
 
+    def less(self, n: np.ndarray) -> np.ndarray:
+        return np.maximum(n - self.discount, 0)
 
-def _less(n: np.ndarray) -> np.ndarray:
-    return np.maximum(n - DISCOUNT, 0)
+
+def discount(once: int, twice: int) -> float:
+    """Ney's estimate from how many pairs are counted once and twice."""
+    return once / (once + 2 * twice) if once and twice else DISCOUNT
 
 
 def _share(n: tuple, c: int) -> float:
@@ -223,13 +234,13 @@ def _share(n: tuple, c: int) -> float:
 
 def word_masses(totals: Totals, predecessors, stems, all_predecessors) -> list[np.ndarray]:
     """What each class's continuation counts give a word, before they are divided by their sum."""
-    shared = (_less(all_predecessors) + DISCOUNT * totals.words / (totals.words + 1)) / max(totals.pairs, 1)
+    shared = (totals.less(all_predecessors) + totals.discount * totals.words / (totals.words + 1)) / max(totals.pairs, 1)
     out = []
     for c in (0, 1):
         of_class, of_stems = _share(totals.class_pairs, c), _share(totals.class_stems, c)
-        like = (_less(stems[c]) + SHARED_COUNT * of_stems) / ((stems[0] + stems[1] + SHARED_COUNT) * of_stems) if of_stems else np.ones(np.shape(all_predecessors))
+        like = (totals.less(stems[c]) + SHARED_COUNT * of_stems) / ((stems[0] + stems[1] + SHARED_COUNT) * of_stems) if of_stems else np.ones(np.shape(all_predecessors))
         # In proportion to the class's size, so that neither class's rare types stand out.
-        out.append(_less(predecessors[c]) + (DISCOUNT * totals.class_words[c] * shared + (SHARED_COUNT * of_class if sum(totals.class_pairs) else 1)) * like)
+        out.append(totals.less(predecessors[c]) + (totals.discount * totals.class_words[c] * shared + (SHARED_COUNT * of_class if sum(totals.class_pairs) else 1)) * like)
     return out if all(totals.class_pairs) else [np.ones(np.shape(all_predecessors))] * 2
 
 
@@ -245,14 +256,22 @@ def log_probabilities(totals: Totals, pair, context, followers, predecessors, st
     out = []
     for c, mass in enumerate(word_masses(totals, predecessors, stems, all_predecessors)):
         alone, all_n = mass / totals.mass[c], context[0] + context[1]
-        both = np.where(all_n > 0, (_less(pair[0] + pair[1]) + DISCOUNT * all_followers * alone) / np.maximum(all_n, 1), alone)
+        both = np.where(all_n > 0, (totals.less(pair[0] + pair[1]) + totals.discount * all_followers * alone) / np.maximum(all_n, 1), alone)
         own = SHARED_COUNT * _share(totals.class_pairs, c) * all_followers
-        out.append(np.log(np.where(own > 0, (_less(pair[c]) + (DISCOUNT * followers[c] + own) * both) / np.maximum(context[c] + own, 1e-300), both)))
+        out.append(np.log(np.where(own > 0, (totals.less(pair[c]) + (totals.discount * followers[c] + own) * both) / np.maximum(context[c] + own, 1e-300), both)))
     return out[0], out[1]
 
 
+_STEM, _WORD, _PAIRED = 0, 1, 2
+
+
 class Model:
-    """A saved table (key, term) of log-likelihood ratios, its Bloom filter, and the ratio of an unknown word."""
+    """A saved table of log-likelihood ratios, a Bloom filter of its pairs, and the ratio of an unknown word.
+
+    The table has key, kind, term and context: words (``_WORD``) by their hash,
+    with their term as a context, beginnings of words (``_STEM``) by theirs in
+    the upper half, and pairs (``_PAIRED``) by their key.
+    """
 
     def __init__(self, pairs: DataFrame, words: DataFrame, stems: DataFrame, buckets: int):
         self.buckets = buckets
@@ -262,6 +281,10 @@ class Model:
         total = lambda *names: [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]
         r = words.agg(F.count(F.lit(1)).alias("n"), *total("all_predecessors", *sides("predecessors")), *(F.count(F.when(F.col(c) > 0, 1)).alias(f"n_{c}") for c in sides("predecessors"))).first()
         totals = Totals(r["all_predecessors"], r["n"], tuple(r[c] for c in sides("predecessors")), tuple(r[f"n_{c}"] for c in sides("predecessors")), tuple(stems.agg(*total(*sides("stems"))).first()))
+        n = F.col("ordinary") + F.col("toxic")
+        entries, once, twice = pairs.agg(F.count(F.lit(1)), F.count(F.when(n == 1, 1)), F.count(F.when(n == 2, 1))).first()
+        # Pairs that have no entry are in one document.
+        totals.discount = discount(totals.pairs - entries + once, twice)
 
         def mass(batches):
             for batch in batches:
@@ -276,7 +299,7 @@ class Model:
         self.base = base = float(ratio(zero, zero, zero, zero, zero, zero[0], zero[0])[0])
 
         share = _share(totals.class_pairs, 1)
-        n, few = F.col("ordinary") + F.col("toxic"), F.lit(SHARED_COUNT * share)
+        few = F.lit(SHARED_COUNT * share)
         split = F.log((F.col("toxic") + few) / (n * share + few)) if share else F.lit(0.0)
         pairs = pairs.filter(F.abs(split) >= LEAST_SPLIT)
         by_class = [f.alias(f"{name}_{c}") for c in ("ordinary", "toxic") for name, f in (("context", F.sum(c)), ("followers", F.count(F.when(F.col(c) > 0, 1))))]
@@ -284,31 +307,68 @@ class Model:
         full = pairs.toDF("before", "word", *sides("pair")).join(contexts, "before").join(words, "word")
 
         def terms(kind):
-            kept = lambda x: np.where(np.abs(x) >= LEAST_TERM, x, 0)
-
             def made(batches):
                 for batch in batches:
                     pair, context, followers, predecessors, of_stem, all_followers, all_predecessors = counts = _arguments(batch, "pair", "context", "followers", "predecessors", "stems", "all_followers", "all_predecessors")
                     none = np.zeros_like(pair)
-                    stem = kept(ratio(none, none, none, none, of_stem, none[0], none[0]) - base)
-                    word = kept(ratio(none, none, none, predecessors, of_stem, none[0], all_predecessors) - base - stem)
-                    before = kept(ratio(none, context, followers, none, none, all_followers, none[0]) - base)
-                    if kind == "stem":
-                        key, term = mix(_column(batch, "stem") ^ _STEM), stem
-                    elif kind == "word":
-                        key, term = mix(_column(batch, "word") ^ _WORD), word
-                    elif kind == "context":
-                        key, term = mix(_column(batch, "before") ^ _CONTEXT), before
+                    term = ratio(none, none, none, predecessors, of_stem, none[0], all_predecessors) - base
+                    before = ratio(none, context, followers, none, none, all_followers, none[0]) - base
+                    if kind == _STEM:
+                        key = _column(batch, "stem") << _HALF
+                    elif kind == _WORD:
+                        key = _column(batch, "word")
                     else:
-                        key, term = _pair_keys(_column(batch, "before"), _column(batch, "word")), kept(ratio(*counts) - base - stem - word - before)
-                    some = term != 0
-                    yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(term[some].astype(np.float32))], ["key", "term"])
+                        key, term = _pair_keys(_column(batch, "before"), _column(batch, "word")), ratio(*counts) - base - term - before
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), kind, np.int8)), *(pa.array(x.astype(np.float32)) for x in (term, before))], ["key", "kind", "term", "context"])
 
             return made
 
-        parts = [t.mapInArrow(terms(kind), "key long, term float") for kind, t in (("stem", stems), ("word", words), ("context", contexts), ("pair", full))]
-        self.table = saved(parts[0].union(parts[1]).union(parts[2]).union(parts[3]), "terms")
-        self.bits = bloom(self.table, "key", self.table.count())
+        # The start of a document is a context, but no word.
+        contexts = words.join(contexts.withColumnRenamed("before", "word"), "word", "full").na.fill(0)
+        parts = [t.mapInArrow(terms(kind), "key long, kind byte, term float, context float") for kind, t in ((_STEM, stems), (_WORD, contexts), (_PAIRED, full))]
+        self.table = saved(parts[0].union(parts[1]).union(parts[2]), "terms")
+        self.known = self.bits = None
+        if self.table.count() <= TABLE_ROWS:
+            self.known = _known(self.table.toArrow())
+        else:
+            paired = self.table.filter(F.col("kind") == _PAIRED)
+            self.bits = bloom(paired, "key", paired.count())
+
+
+def _known(table: pa.Table) -> dict:
+    """By kind: keys in rising order and their terms (term, context), both with one more row at the end, of zeros."""
+    kind, own = table["kind"].to_numpy(), table["key"].to_numpy().view(np.uint64)
+    terms = np.stack([table[c].to_numpy() for c in ("term", "context")], axis=1)
+    known = {}
+    for k in (_STEM, _WORD, _PAIRED):
+        of = np.flatnonzero(kind == k)
+        of = of[np.argsort(own[of])]
+        known[k] = np.append(own[of], np.uint64((1 << 64) - 1)), np.concatenate((terms[of], np.zeros((1, 2), np.float32)))
+    return known
+
+
+def _found(known: dict, kind: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, known or not) of keys."""
+    keys, values = known[kind]
+    at = np.searchsorted(keys, key)
+    there = (keys[at] == key)[:, None]
+    return np.where(there, values[at], np.float32(0)), there
+
+
+def _of_words(known: dict, words: np.ndarray) -> np.ndarray:
+    """(term, context) of words; new ones have the term of their beginning."""
+    term, there = _found(known, _WORD, words)
+    return np.where(there, term, _found(known, _STEM, words >> _HALF << _HALF)[0] * np.array([1, 0], np.float32))
+
+
+def _ratios(base: float, of: np.ndarray, term: np.ndarray, code: np.ndarray, pos: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Each word's log-likelihood ratio, from its terms as a word, those of the word before, and the rest of the pairs at ``pos``; the last of ``code`` is the start of a document."""
+    start, code = code[-1], code[:-1]
+    previous = np.append(start, code[:-1])[: len(code)]
+    previous[of[:-1][np.diff(of) > 0]] = start
+    ratio = base + term[code, 0].astype(np.float64) + term[previous, 1]
+    ratio[pos] += rest
+    return ratio
 
 
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -346,13 +406,37 @@ def _features(of: np.ndarray, ratio: np.ndarray) -> np.ndarray:
 def features(rows: DataFrame, model: Model, calibration: Calibration | None = None) -> DataFrame:
     """``rows`` with their features ``x`` (doubles as binary) in place of ``text``; with a calibration, with score and predicted.
 
-    Each part of the documents sends its different keys that may have a term
-    to the buckets of the table, and where they stand along with them; a
-    second shuffle by part brings both together.
+    Without a broadcast each part of the documents sends its different words,
+    and its different pairs that may have an entry, to the buckets of the
+    table, and where they stand along with them; a second shuffle by part
+    brings both together.  Words are dealt by their beginning, so that a new
+    word meets what is known of that.
     """
     buckets, base = model.buckets, model.base
+    new = (("x", T.BinaryType()),) if calibration is None else (("score", T.DoubleType()), ("predicted", T.IntegerType()))
+    schema = T.StructType([*rows.drop("text").schema.fields, *(T.StructField(*c) for c in new)])
+
+    def made(others, x: np.ndarray):
+        if calibration is None:
+            return others.append_column("x", pa.array([row.tobytes() for row in x], pa.binary()))
+        p = calibration.scores(x)
+        return others.append_column("score", pa.array(p)).append_column("predicted", pa.array((p >= 0.5).astype(np.int32)))
+
+    if model.known is not None:
+        known = rows.sparkSession.sparkContext.broadcast(model.known)
+
+        def scored(batches):
+            for batch in batches:
+                others = pa.Table.from_batches([batch]).drop_columns("text")
+                for part in _parts(batch.column(batch.schema.get_field_index("text"))):
+                    words, code = np.unique(np.append(part.word, np.uint64(0)), return_inverse=True)
+                    rest = _found(known.value, _PAIRED, _pair_keys(part.before, part.word))[0][:, 0]
+                    x = _features(part.of, _ratios(base, part.of, _of_words(known.value, words), code, slice(None), rest))
+                    yield from made(others.slice(part.first, len(part)), x).to_batches()
+
+        return rows.mapInArrow(scored, schema)
+
     bits = rows.sparkSession.sparkContext.broadcast(model.bits)
-    schema = T.StructType(rows.drop("text").schema.fields)
     sending = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("place", pa.int32()), ("data", pa.binary())])
 
     def asked(batches):
@@ -361,48 +445,34 @@ def features(rows: DataFrame, model: Model, calibration: Calibration | None = No
             at = batch.schema.get_field_index("text")
             others = batch.select([k for k in batch.schema.names if k != "text"])
             for part in _parts(batch.column(at)):
+                # The last one is the start of a document.
                 words, code = np.unique(np.append(part.word, np.uint64(0)), return_inverse=True)
-                code, zero = code[:-1], code[-1]
-                previous = np.where(part.before == 0, zero, np.append(zero, code[:-1])[: len(code)])
-                pos, keys = [], []
-                for salt, of in ((_WORD, code), (_CONTEXT, previous), (_STEM, code)):
-                    own = mix((words >> _HALF if salt == _STEM else words) ^ salt)
-                    some = np.flatnonzero(may_contain(bits.value, own)[of])
-                    pos.append(some)
-                    keys.append(own[of[some]])
                 pair = _pair_keys(part.before, part.word)
-                pos.append(np.flatnonzero(may_contain(bits.value, pair)))
-                keys.append(pair[pos[-1]])
-                key, which = np.unique(np.concatenate(keys), return_inverse=True)
-                order, runs = _dealt(key, buckets)
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
-                ends = np.cumsum([len(x) for x in pos])
+                pos = np.flatnonzero(may_contain(bits.value, pair))
+                pairs, which = np.unique(pair[pos], return_inverse=True)
+                sent, places = [], []
+                for k, key in enumerate((words, pairs)):
+                    order, runs = _dealt(key, buckets)
+                    place = np.empty(len(order), np.int64)
+                    place[order] = np.arange(len(order))
+                    places.append(place)
+                    # In order of keys within a bucket.
+                    sent += [(b, k * buckets + b, _packed(key[order[i:j]])) for b, i, j in runs]
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, others.schema) as out:
                     out.write_batch(others.slice(part.first, len(part)))
-                layout = _packed(part.of, *pos, *np.split(place[which], ends[:-1]))
-                sent = [(number % buckets, -1, len(layout).to_bytes(8, "little") + layout + zlib.compress(sink.getvalue().to_pybytes(), 1))]
-                for b, i, j in runs:
-                    own = np.argsort(key[order[i:j]])
-                    sent.append((b, b, _packed(key[order[i:j]][own], own)))
+                layout = _packed(part.of, places[0][code], pos, places[1][which])
+                sent.append((number % buckets, -1, len(layout).to_bytes(8, "little") + layout + zlib.compress(sink.getvalue().to_pybytes(), 1)))
                 yield pa.RecordBatch.from_pydict({"bucket": [x[0] for x in sent], "part": [number] * len(sent), "place": [x[1] for x in sent], "data": [x[2] for x in sent]}, sending)
                 number += 1
 
     def answered(asks: pa.Table, table: pa.Table) -> pa.Table:
-        known = table["key"].to_numpy().view(np.uint64)
-        order = np.argsort(known)
-        known = np.append(known[order], np.uint64((1 << 64) - 1))
-        term = np.append(table["term"].to_numpy()[order], np.float32(0))
-        data = []
+        known, data = _known(table), []
         for place, raw in zip(asks["place"].to_pylist(), asks["data"]):
             raw = raw.as_py()
             if place >= 0:
-                key, own = _unpacked(raw)
-                at = np.searchsorted(known, key)
-                got = np.empty(len(key), np.float32)
-                got[own.astype(np.int64)] = np.where(known[at] == key, term[at], 0)
-                raw = got.tobytes()
+                (key,) = _unpacked(raw)
+                raw = (_found(known, _PAIRED, key)[0][:, 0] if place >= buckets else _of_words(known, key)).tobytes()
             data.append(raw)
         return pa.table({"part": asks["part"], "place": asks["place"], "data": pa.array(data, pa.binary())})
 
@@ -410,25 +480,18 @@ def features(rows: DataFrame, model: Model, calibration: Calibration | None = No
         rows = sorted(zip(got["place"].to_pylist(), got["data"].to_pylist()))
         raw = rows[0][1]
         size = int.from_bytes(raw[:8], "little")
-        of, *arrays = (a.astype(np.int64) for a in _unpacked(raw[8 : 8 + size]))
-        term = np.frombuffer(b"".join(r[1] for r in rows[1:]), np.float32)
-        if rows[0][0] != -1 or len(term) != max((int(a.max()) + 1 for a in arrays[4:] if len(a)), default=0):
+        of, code, pos, which = (a.astype(np.int64) for a in _unpacked(raw[8 : 8 + size]))
+        term, rest = (np.frombuffer(b"".join(r[1] for r in rows[1:] if (r[0] >= buckets) == paired), np.float32) for paired in (False, True))
+        if rows[0][0] != -1 or len(term) != 2 * (code.max() + 1) or len(rest) != (which.max() + 1 if len(which) else 0):
             raise RuntimeError("a part of the documents lacks answers")
-        ratio = np.full(of[-1], base)
-        for pos, which in zip(arrays[:4], arrays[4:]):
-            ratio[pos] += term[which]
-        x = _features(of, ratio)
+        x = _features(of, _ratios(base, of, term.reshape(-1, 2), code, pos, rest[which]))
         others = pa.ipc.open_stream(zlib.decompress(raw[8 + size :])).read_all()
-        if calibration is None:
-            return others.append_column("x", pa.array([row.tobytes() for row in x], pa.binary()))
-        p = calibration.scores(x)
-        return others.append_column("score", pa.array(p)).append_column("predicted", pa.array((p >= 0.5).astype(np.int32)))
+        return made(others, x)
 
     asks = rows.mapInArrow(asked, "bucket int, part long, place int, data binary")
     bucket = F.pmod(F.shiftrightunsigned("key", 32), F.lit(buckets)).cast("int").alias("bucket")
-    answers = asks.groupBy("bucket").cogroup(model.table.select(bucket, "key", "term").groupBy("bucket")).applyInArrow(answered, "part long, place int, data binary")
-    new = (("x", T.BinaryType()),) if calibration is None else (("score", T.DoubleType()), ("predicted", T.IntegerType()))
-    return answers.groupBy("part").applyInArrow(together, T.StructType([*schema.fields, *(T.StructField(*c) for c in new)]))
+    answers = asks.groupBy("bucket").cogroup(model.table.select(bucket, "key", "kind", "term", "context").groupBy("bucket")).applyInArrow(answered, "part long, place int, data binary")
+    return answers.groupBy("part").applyInArrow(together, schema)
 
 
 class Calibration:

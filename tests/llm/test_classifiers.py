@@ -4,6 +4,7 @@ import random
 from unittest import mock
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from axisframe.llm import language_id, quality, toxicity
@@ -121,6 +122,48 @@ def test_toxicity_counts_are_exact(spark):
     assert stems.agg(F.max("ordinary"), F.max("toxic")).first() == (750, 750 + 450)
 
 
+def test_toxicity_scores_by_the_whole_models(spark):
+    """A text's log-likelihood ratio is that of the two models word by word, however small a word's part in it."""
+    r = random.Random(9)
+    names = ["".join(r.choice("abdeghil") for _ in range(r.randint(5, 9))) for _ in range(60)]
+    rows = [(k, " ".join(r.choice(names[: 30 + 30 * (k % 3 > 0)]) for _ in range(r.randint(0, 40))), int(k % 3 == 0)) for k in range(120)]
+    pairs, words, stems = toxicity.counts(spark.createDataFrame(rows, "doc_id long, text string, label int").select("text", "label"), 12)
+    docs = [(k, rows[k][1]) for k in range(60)] + [(100, f"{names[0]} zzz {names[1]} {names[2][:6]}zz"), (101, "zzz yyy"), (102, "")]
+    both = []
+    for most in (toxicity.TABLE_ROWS, 0):
+        with mock.patch.object(toxicity, "TABLE_ROWS", most):
+            model = toxicity.Model(pairs, words, stems, 12)
+            both.append({x["doc_id"]: np.frombuffer(x["x"]) for x in toxicity.features(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()})
+    got = both[0]
+    assert all((got[k] == both[1][k]).all() for k in got) and len(got) == len(both[1]) == len(docs)
+
+    part = next(toxicity._parts(pa.array([t for _, t in docs])))
+    pair = {(x["before"], x["word"]): (x["ordinary"], x["toxic"]) for x in pairs.collect()}
+    word = {x["word"]: (x["ordinary"], x["toxic"], x["types"]) for x in words.collect()}
+    stem = {x["stem"]: (x["ordinary"], x["toxic"]) for x in stems.collect()}
+    by_class = lambda values: tuple(sum(x[c] for x in values) for c in (0, 1))
+    n_pairs = sum(x[2] for x in word.values())
+    totals = toxicity.Totals(n_pairs, len(word), by_class(word.values()), tuple(sum(x[c] > 0 for x in word.values()) for c in (0, 1)), by_class(stem.values()))
+    once, twice = n_pairs - len(pair), sum(sum(x) == 2 for x in pair.values())
+    totals.discount = once / (once + 2 * twice)
+    share = totals.class_pairs[1] / sum(totals.class_pairs)
+    few = toxicity.SHARED_COUNT * share
+    pair = {k: x for k, x in pair.items() if abs(np.log((x[1] + few) / (sum(x) * share + few))) >= toxicity.LEAST_SPLIT}
+    none = np.zeros((2, 1))
+    known = toxicity.word_masses(totals, np.array([x[:2] for x in word.values()]).T, np.array([stem[w >> 32 & 0xFFFFFFFF] for w in word]).T, np.array([x[2] for x in word.values()]))
+    totals.mass = tuple(k.sum() + u[0] for k, u in zip(known, toxicity.word_masses(totals, none, none, none[0])))
+
+    args = []
+    for v, w in zip(part.before.view(np.int64).tolist(), part.word.view(np.int64).tolist()):
+        of = [x for (before, _), x in pair.items() if before == v]
+        args.append((pair.get((v, w), (0, 0)), by_class(of), tuple(sum(x[c] > 0 for x in of) for c in (0, 1)), word.get(w, (0, 0))[:2], stem.get(w >> 32 & 0xFFFFFFFF, (0, 0)), len(of), word.get(w, (0, 0, 0))[2]))
+    ordinary, toxic = toxicity.log_probabilities(totals, *(np.array([x[k] for x in args], float).T for k in range(7)))
+    assert sum(x[0] != (0, 0) for x in args) > 30
+    for k, (doc, _) in enumerate(docs):
+        i, j = part.of[k], part.of[k + 1]
+        np.testing.assert_allclose(got[doc][0] * max(j - i, 1), (toxic - ordinary)[i:j].sum(), rtol=1e-4, atol=1e-4)
+
+
 def test_toxicity_counts_what_does_not_calibrate(spark):
     rows = [(k, "all the same words" if k else "zebra") for k in range(2000)]
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int")

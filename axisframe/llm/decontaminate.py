@@ -36,22 +36,26 @@ UNITS = (
 
 # Both patterns take time in proportion to the text: a number is begun once, at its own start, and never given back.
 _NUMBER = r"[0-9]++(?:[.,:/][0-9]++)*+"
-_START = r"(?<![0-9])(?<![0-9][.,:/])"
+# A look at the next character spares most places the look behind.
+_START = r"(?=[0-9])(?<![0-9])(?<![0-9][.,:/])"
 _MEASURE = rf"{_START}{_NUMBER} ?((?i:{'|'.join(UNITS)}))\b"
 #: Capitalised words after a small letter, digit, comma or semicolon and a blank: not at a sentence's start.
 _NAME = r"([\p{Ll}0-9,;] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*+)"
 
 
 def _named(text: Column) -> Column:
-    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "§", " "), _NAME, "$1 §n ")
+    return F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("§"), F.lit(" ")), _NAME, "$1 §n ")
+
+
+def _split(t: Column) -> Column:
+    """The words and placeholders of a text, lower-cased; the text is worked out once."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(t), r"[^a-z0-9\p{L}\p{N}§]+", " "), " "), "")
 
 
 def tokens(text: Column) -> Column:
     """The template of a text as an array of words and the placeholders §n, §d and §u."""
     t = F.regexp_replace(_named(text), _MEASURE, " §d §u ")
-    t = F.regexp_replace(t, _NUMBER, " §d ")
-    t = F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}§]+", " "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    return _split(F.regexp_replace(t, _NUMBER, " §d "))
 
 
 def exact(text: Column) -> Column:
@@ -62,9 +66,7 @@ def exact(text: Column) -> Column:
     t = F.array_join(F.transform(F.split(t, "§"), part), "")
     t = F.regexp_replace(t, _MEASURE.replace(_NUMBER, f"({_NUMBER})"), " §d$1 §u$2 ")
     t = F.regexp_replace(t, rf"(?<!§d){_START}({_NUMBER})", " §d$1 ")
-    t = F.regexp_replace(t, "(?<=[0-9])[.,:/](?=[0-9])", "ʘ")
-    t = F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}§]+", " "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    return _split(F.regexp_replace(t, "(?<=[0-9])[.,:/](?=[0-9])", "ʘ"))
 
 
 def slots(text: Column) -> Column:

@@ -253,6 +253,20 @@ def test_templates_of_names_numbers_and_units(spark):
     assert (got[2]["n"], got[2]["d"], got[2]["u"]) == (["ann bell", "new york city"], ["12", "3.5/2", "7", "1,000"], ["kg", "km", "miles"])
 
 
+def test_templates_are_worked_out_once(spark):
+    """Each of the patterns runs over a text once, with nothing lost at its ends, and odd texts have no empty tokens."""
+    rows = ["", " ", "--", "§", "§ 3", " a  b ", "...a", "7", "x 7 kg", "ÄÖ  Ünï,é", "\ta\n\nb\u00a0c ", "3.5.", None, "12kg12", "a§nb"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k long, text string")
+    for form, patterns in ((decontaminate.tokens, 4), (decontaminate.exact, 5)):
+        made = df.select("k", form(F.col("text")).alias("t"))
+        assert made._jdf.queryExecution().analyzed().toString().count("regexp_replace(") == patterns
+        got = {r["k"]: r["t"] for r in made.collect()}
+        assert all("" not in t for t in got.values()) and [got[k] for k in (0, 1, 2, 3, 12)] == [[]] * 5
+    got = {r["k"]: r["t"] for r in df.select("k", decontaminate.tokens(F.col("text")).alias("t")).collect()}
+    assert [got[k] for k in range(4, 12)] == [["§d"], ["a", "b"], ["a"], ["§d"], ["x", "§d", "§u"], ["äö", "ünï", "é"], ["a", "b", "c"], ["§d"]]
+    assert got[13] == ["§d", "kg", "§d"] and got[14] == ["a", "nb"]
+
+
 def test_runs_of_many_small_documents_are_bounded():
     sizes = np.ones(1 << 14, np.int64)
     own = packing.windows(sizes, 2048)

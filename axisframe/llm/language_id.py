@@ -12,6 +12,7 @@ all but FALSE_REJECTIONS of the held-back rows.
 
 from __future__ import annotations
 
+import zlib
 from statistics import NormalDist
 
 import numpy as np
@@ -79,7 +80,10 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _sampled(rows: DataFrame) -> list:
-    """(language, subword codes, their counts) of each row, collected."""
+    """(language, subword codes, their counts) of each row, collected.
+
+    They travel compressed, and the driver holds codes and counts in as few bytes as they need.
+    """
 
     def made(batches):
         for batch in batches:
@@ -94,12 +98,18 @@ def _sampled(rows: DataFrame) -> list:
                 key, n = np.unique(np.concatenate(doc) << BITS | np.concatenate(codes), return_counts=True)
                 at = np.searchsorted(key, np.arange(len(piece) + 1) << BITS)
                 code = (key & ((1 << BITS) - 1)).astype(np.int32)
-                raw = [[x[i:j].tobytes() for i, j in zip(at[:-1], at[1:])] for x in (code, n.astype(np.int32))]
+                raw = [[zlib.compress(x[i:j].tobytes(), 1) for i, j in zip(at[:-1], at[1:])] for x in (code, n.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(piece.first, len(piece)), pa.array(raw[0], pa.binary()), pa.array(raw[1], pa.binary())], ["lang", "codes", "counts"])
 
     rows = rows.select("text", "lang").mapInArrow(made, "lang string, codes binary, counts binary").collect()
-    rows.sort(key=lambda r: (r["lang"], bytes(r["codes"])))
-    return [(r["lang"], np.frombuffer(bytes(r["codes"]), np.int32), np.frombuffer(bytes(r["counts"]), np.int32)) for r in rows]
+    rows.sort(key=lambda r: (r["lang"], zlib.decompress(r["codes"])))
+    small = lambda raw: np.frombuffer(zlib.decompress(raw), np.int32)
+    out = []
+    for k, (lang, codes, counts) in enumerate(rows):
+        n = small(counts)
+        out.append((lang, small(codes).astype(np.uint16), n.astype(np.min_scalar_type(n.max(initial=0)))))
+        rows[k] = None
+    return out
 
 
 def _logit(p: np.ndarray) -> np.ndarray:

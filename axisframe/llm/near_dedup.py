@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bloom, may_contain, ready, saved, small_side, spread_join, summed_arrays
+from .shared import CHUNK, bloom, may_contain, ready, saved, small_side, spread_join, summed_arrays
 from .textbytes import WordRuns, mix, slices
 
 #: Buckets of hashes by which commonness is told, as a power of two: 16 a document within these bounds.
@@ -93,7 +93,10 @@ def _commonness(docs: DataFrame, words: int, bits: int, classes: np.ndarray) ->
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     n = summed_arrays(rows, made, {"n": (1 << bits, np.uint32)})["n"]
-    return np.minimum(4 * np.log2(np.maximum(n, 1)), 127).astype(np.uint8)
+    out = np.empty(len(n), np.uint8)
+    for k in range(0, len(n), CHUNK):  # the driver holds the logarithms of one chunk at a time
+        out[k : k + CHUNK] = np.minimum(4 * np.log2(np.maximum(n[k : k + CHUNK], 1)), 127)
+    return out
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import itertools
 import math
+from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from axisframe import dtypes
+from axisframe import dtypes, queries
 from axisframe.frame import AxisError, NDFrame, broadcast_shapes
 from axisframe.functions import complexes as C
 from axisframe.functions import polynomials
@@ -62,6 +64,22 @@ def test_unary_functions_on_special_values(grid):
             same(rows[name], f(rows["a"].to_numpy()))
 
 
+def test_power_gives_the_nearest_float(spark):
+    bases = [abs((150000.0 - price) / 50000.0) for price in (149999.99, 149999.9, 140000.07, 123456.78, 333333.33)]
+    pairs = [(a, float(b)) for a in bases for b in (-3, -2, 2, 3)]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate([*pairs, (None, 0.0), (math.nan, 1.0)])], "k int, a double, b double")
+    got = [r[0] for r in df.select(R.power(F.col("a"), F.col("b")).alias("v"), "k").orderBy("k").collect()]
+    assert got[: len(pairs)] == [float(Fraction(a) ** int(b)) for a, b in pairs]
+    assert got[-2] is None and math.isnan(got[-1])
+
+
+def test_values_of_queries_are_rounded_as_sql_rounds(spark):
+    values = [7.647990249999999, -13.842120249999999, 528685630858.6225, 24999999953433.867, 0.00000005, -0.00000001, -0.0, 1e300, 1.7e308, math.inf, -math.inf, math.nan]
+    got = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").select(queries._near(F.col("v")), "k").orderBy("k").collect()
+    want = duckdb.execute("SELECT round(v, 7) + 0.0 FROM (SELECT unnest(?) AS v)", [values]).fetchall()
+    assert [repr(r[0]) for r in got] == [repr(w[0]) for w in want]
+
+
 def test_whole_numbers_wrap(spark):
     top, low = 2**63 - 1, -(2**63)
     pairs = [(top, 1), (low, -1), (low, 1), (top, top), (low, low), (7, -3), (-7, 3), (5, 0), (123456789012, 987654321098), (-3, 2**62)]

@@ -1,9 +1,12 @@
 """Functions with signatures, large systems, tensors' equations, tall tables and complex products against numpy."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from axisframe import storage
 from axisframe.operators import contractions, creation, generalized, systems
 from axisframe.plans.einsum import einsum
 
@@ -63,6 +66,40 @@ def test_large_systems(spark):
         systems.solve_panels(creation.array(spark, np.ones((6, 6))), creation.array(spark, np.ones(6)), 2).to_numpy()
 
 
+def test_panels_are_factored_in_groups_and_dropped(spark, monkeypatch):
+    """At most two steps' tables are on disk at once; before, each step's stayed until the session ended."""
+    n, width = 40, 4
+    a, b = R.normal(size=(n, n)), R.normal(size=(n, 2))
+    left = []
+    dropped = systems.dropped
+
+    def counted(spark, path):
+        left.append(sum(p.name.startswith("panel") for p in Path(path.removeprefix("file:")).parent.iterdir()) - before)
+        dropped(spark, path)
+
+    x, y = creation.array(spark, a), creation.array(spark, b)
+    here = Path(storage.new_path(spark, "panels").removeprefix("file:")).parent
+    before = sum(p.name.startswith("panel") for p in here.iterdir()) if here.exists() else 0
+    monkeypatch.setattr(systems, "dropped", counted)
+    monkeypatch.setattr(systems, "PANEL_BYTES", 8 * n * width * 3)  # ten panels, three at once
+    np.testing.assert_allclose(systems.solve_panels(x, y, width).to_numpy(), np.linalg.solve(a, b), atol=1e-8)
+    assert left == [2] * 4
+    assert sum(p.name.startswith("panel") for p in here.iterdir()) - before == 1
+
+
+def test_products_by_blocks(spark, monkeypatch):
+    a, b = R.normal(size=(7, 5)), R.normal(size=(5, 6))
+    x, y = creation.array(spark, a), creation.array(spark, b)
+    for most in (contractions.BROADCAST_BYTES, 0):  # the second matrix at once, or joined by a shuffle
+        monkeypatch.setattr(contractions, "BROADCAST_BYTES", most)
+        for block in (2, 4, 5, 8):
+            out = contractions.blocked_matmul(x, y, block)
+            np.testing.assert_allclose(out.to_numpy(), a @ b, atol=1e-12)
+            assert out.df.count() == 42
+    plan = contractions.blocked_matmul(x, y, 8).df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 2  # the blocks of both matrices; their products were grouped as well before
+
+
 def test_tensor_equations(spark, monkeypatch):
     a, b = R.normal(size=(2, 3, 6)), R.normal(size=(2, 3))
     x, y = creation.array(spark, a), creation.array(spark, b)
